@@ -7,7 +7,9 @@ minimum running backwards in time answers the window question with one sort per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerscope.functions.columns import COMPLETED, INFORMATIONAL, PURCHASE, RECEIVED, VIEWED, send_key
@@ -20,22 +22,30 @@ HOT_ROWS = 1_000_000
 BUCKET_DAYS = 1.0 / 24.0
 
 
-def hot_customers(events: DataFrame, min_rows: int = HOT_ROWS) -> Column:
+def hot_customers(events: DataFrame, min_rows: int = HOT_ROWS) -> list[int]:
     return hot_keys(events, F.col("account_id"), min_rows)
 
 
-def time_bucket(t: Column, width: float = BUCKET_DAYS) -> Column:
-    return F.floor(t / F.lit(width))
-
+def running_in_time(
+    df: DataFrame, hot: Sequence[int], keys: Sequence[str], order: Sequence[str], measures: Sequence[Measure],
+    inclusive: bool = False, descending: bool = False, width: float = BUCKET_DAYS,
+) -> DataFrame:
+    """Running aggregates per customer; a hot customer's rows are cut into time buckets.
 
-def _cut(df: DataFrame, hot: Column, t: str) -> DataFrame:
-    """Mark hot customers' rows and give them time buckets; others stay whole."""
-    return df.withColumn("__hot", is_hot(hot, F.col("customer_id"))).withColumn(
-        "__bucket", F.when(F.col("__hot"), time_bucket(F.col(t))).otherwise(F.lit(0).cast("bigint"))
-    )
+    ``order`` starts with the time column.  With no hot customer the plan is one
+    window and nothing else.
+    """
+    if not hot:
+        return running(df, keys, order, measures, inclusive=inclusive, descending=descending)
+    many = is_hot(hot, F.col("customer_id"))
+    bucket = F.when(many, F.floor(F.col(order[0]) / F.lit(width))).otherwise(F.lit(0).cast("bigint"))
+    return running(
+        df.select("*", bucket.alias("__bucket")), keys, order, measures,
+        bucket="__bucket", inclusive=inclusive, descending=descending, split=many,
+    ).drop("__bucket")
 
 
-def attribute_outcomes(events: DataFrame, hot: Column | None = None) -> DataFrame:
+def attribute_outcomes(events: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """One row per distinct send with the first view and completion at or after it.
 
     Reads the log once.  Events of one instant collapse before the sort, which
@@ -52,18 +62,17 @@ def attribute_outcomes(events: DataFrame, hot: Column | None = None) -> DataFram
     )
     keyed = F.col("customer_id").isNotNull() & F.col("offer_id").isNotNull()
     return (
-        running(
-            _cut(instants, hot, "t_received"),
+        running_in_time(
+            instants,
+            hot,
             ["customer_id", "offer_id"],
             ["t_received"],
             [
                 Measure("next_view", F.when(F.col("__seen"), F.col("t_received")), "min"),
                 Measure("next_completion", F.when(F.col("__done"), F.col("t_received")), "min"),
             ],
-            bucket="__bucket",
             inclusive=True,
             descending=True,
-            split=F.col("__hot"),
         )
         .where("__sent")
         .select(
@@ -78,21 +87,27 @@ def attribute_outcomes(events: DataFrame, hot: Column | None = None) -> DataFram
 
 def close_windows(outcomes: DataFrame, offers: DataFrame) -> DataFrame:
     """Attach the offer's terms and keep the outcomes that fall inside its window."""
-    inside = lambda t: F.when(F.col(t) <= F.col("t_expires"), F.col(t))
-    return (
-        outcomes.join(offer_terms(offers), "offer_id", "left")
-        .withColumn("t_expires", F.col("t_received") + F.col("duration"))
-        .withColumn("round_day", F.round("t_received").cast("int"))
-        .withColumn("t_viewed", inside("next_view"))
-        .withColumn("t_completed", inside("next_completion"))
-        .withColumn("viewed", F.col("t_viewed").isNotNull().cast("int"))
-        .withColumn("completed", F.col("t_completed").isNotNull().cast("int"))
-        .withColumn("opp_id", send_key(F.col("customer_id"), F.col("offer_id"), F.col("t_received")))
-        .drop("next_view", "next_completion")
+    ends = F.col("t_received") + F.col("duration")
+    in_window = {t: F.col(f"next_{event}") <= ends for t, event in (("viewed", "view"), ("completed", "completion"))}
+    return outcomes.join(offer_terms(offers), "offer_id", "left").select(
+        send_key(F.col("customer_id"), F.col("offer_id"), F.col("t_received")).alias("opp_id"),
+        "customer_id",
+        "offer_id",
+        "offer_type",
+        "min_value",
+        "duration",
+        "discount_value",
+        "channels",
+        "t_received",
+        ends.alias("t_expires"),
+        F.round("t_received").cast("int").alias("round_day"),
+        F.when(in_window["viewed"], F.col("next_view")).alias("t_viewed"),
+        F.when(in_window["completed"], F.col("next_completion")).alias("t_completed"),
+        *[F.coalesce(hit, F.lit(False)).cast("int").alias(name) for name, hit in in_window.items()],
     )
 
 
-def informational_success(sends: DataFrame, events: DataFrame, hot: Column | None = None) -> DataFrame:
+def informational_success(sends: DataFrame, events: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """Flag informational sends followed, after the view, by a purchase in the window.
 
     Sends are placed among the customer's purchases at the time of their view;
@@ -108,15 +123,14 @@ def informational_success(sends: DataFrame, events: DataFrame, hot: Column | Non
     )
     placed = sends.withColumn("__at", F.coalesce("t_viewed", "t_received")).withColumn("__purchase", F.lit(0))
     line = placed.unionByName(purchases, allowMissingColumns=True)
-    followed = running(
-        _cut(line, hot, "__at"),
+    followed = running_in_time(
+        line,
+        hot,
         ["customer_id"],
         ["__at", "__purchase"],
         [Measure("__next", F.when(F.col("__purchase") == 1, F.col("__at")), "min")],
-        bucket="__bucket",
         inclusive=True,
         descending=True,
-        split=F.col("__hot"),
     ).where("__purchase = 0")
     worked = (
         F.col("customer_id").isNotNull()

@@ -19,8 +19,8 @@ from offerscope.functions.columns import (
     ratio,
     success,
 )
-from offerscope.operators.attribution import HOT_ROWS, _cut, hot_customers
-from offerscope.operators.timeline import Measure, running
+from offerscope.operators.attribution import HOT_ROWS, hot_customers, running_in_time
+from offerscope.operators.timeline import Measure
 
 # Columns that are keys, outcomes, or properties of the offer that was sent.
 KEY_COLUMNS = ("opp_id", "customer_id", "offer_id", "offer_type", "t_received", "round_day")
@@ -90,7 +90,7 @@ def history(
     events: DataFrame,
     short: float = 7.0,
     long: float = 28.0,
-    hot: Column | None = None,
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """What each customer had done strictly before each moment an offer reached them.
 
@@ -137,8 +137,9 @@ def history(
             ).otherwise(F.array(event_row))
         ),
     )
-    before = running(
-        _cut(line, hot, "at"),
+    before = running_in_time(
+        line,
+        hot,
         ["customer_id"],
         ["at", "role"],
         [
@@ -146,8 +147,6 @@ def history(
             Measure("last_tx", F.when(F.col("tx") > 0, F.col("at")), "max"),
             Measure("last_view", F.when(F.col("viewed") > 0, F.col("at")), "max"),
         ],
-        bucket="__bucket",
-        split=F.col("__hot"),
     ).where("anchor")
     at = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     short_name, long_name = count_names(short, long)

@@ -27,6 +27,10 @@ class Measure:
     def aggregate(self, value: Column) -> Column:
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.how](value)
 
+    def finish(self, value: Column) -> Column:
+        """A sum over no rows is zero."""
+        return F.coalesce(value, F.lit(0)) if self.how == "sum" else value
+
     def combine(self, left: Column, right: Column) -> Column:
         if self.how == "sum":
             return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
@@ -39,58 +43,51 @@ def running(
     order: Sequence[str],
     measures: Sequence[Measure],
     *,
-    bucket: str,
+    bucket: str | None = None,
     inclusive: bool = False,
     descending: bool = False,
     split: Column | None = None,
 ) -> DataFrame:
     """Add one column per measure: its aggregate over the key's rows up to this row.
 
-    ``order`` must be free of ties inside a key, ``bucket`` must follow it.  The
-    row itself counts if ``inclusive``.  ``split`` marks the rows whose key has
-    more than one bucket; others need no total carried over to them.
+    ``order`` must be free of ties between rows that contribute; ``bucket`` must
+    follow it.  The row itself counts if ``inclusive``.  ``split`` marks the rows
+    whose key has more than one bucket; others need no total carried over to
+    them.  Without ``bucket`` each key is one window.
     """
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    up_to = Window.currentRow if inclusive else -1
+    parts = [*keys] if bucket is None else [*keys, bucket]
     inside = (
-        Window.partitionBy(*keys, bucket)
+        Window.partitionBy(*parts)
         .orderBy(*[direction(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, up_to)
-    )
-    across = (
-        Window.partitionBy(*keys).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
-    within = df.select("*", *[m.aggregate(m.value).over(inside).alias(m.name) for m in measures])
-    source = df if split is None else df.where(split)
-    totals = source.groupBy(*keys, bucket).agg(*[m.aggregate(m.value).alias(m.name) for m in measures])
-    carried = totals.select(
-        *keys, bucket, *[m.aggregate(F.col(m.name)).over(across).alias(f"__{m.name}") for m in measures]
+    within = df.select("*", *[m.finish(m.aggregate(m.value).over(inside)).alias(m.name) for m in measures])
+    if bucket is None:
+        return within
+    across = Window.partitionBy(*keys).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (df if split is None else df.where(split)).groupBy(*parts).agg(
+        *[m.aggregate(m.value).alias(m.name) for m in measures]
     )
-    joined = within.join(carried, [*keys, bucket], "left")
-    return joined.select(
+    carried = totals.select(*parts, *[m.aggregate(F.col(m.name)).over(across).alias(f"__{m.name}") for m in measures])
+    return within.join(carried, parts, "left").select(
         *df.columns,
         *[m.combine(F.col(m.name), F.col(f"__{m.name}")).alias(m.name) for m in measures],
     )
 
 
-def hot_keys(df: DataFrame, key: Column, min_rows: int, tracked: int = 10_000) -> Column:
-    """Hashes of the keys that hold more than ``min_rows`` rows, as a scalar array.
+def hot_keys(df: DataFrame, key: Column, min_rows: int, tracked: int = 10_000) -> list[int]:
+    """Hashes of the keys that hold more than ``min_rows`` rows.
 
-    One pass with a fixed-size sketch, no shuffle by key.  The share floor keeps
-    the array short; a key that is missed or listed without need only changes
-    how the work is cut, never a result.
+    One pass over the key column with a sketch of fixed size and no shuffle by
+    key; at most a thousand numbers come back.  The list decides only how the
+    work is cut: a key missed or named without need changes no result.
     """
-    found = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.call_function(
-            "approx_top_k", F.xxhash64(key), F.lit(1000), F.lit(tracked)
-        ).alias("top"),
-    )
-    large = F.filter(
-        "top", lambda item: (item["count"] > min_rows) & (item["count"] > F.col("n") / F.lit(2000))
-    )
-    return found.select(F.transform(large, lambda item: item["item"])).scalar()
+    top = F.call_function("approx_top_k", F.xxhash64(key), F.lit(1000), F.lit(tracked))
+    row = df.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
+    floor = max(min_rows, row["n"] / 2000)
+    return sorted(item["item"] for item in row["top"] or [] if item["count"] > floor)
 
 
-def is_hot(hot: Column, key: Column) -> Column:
-    return F.coalesce(F.array_contains(hot, F.xxhash64(key)), F.lit(False))
+def is_hot(hot: Sequence[int], key: Column) -> Column:
+    return F.xxhash64(key).isin([F.lit(h) for h in hot])
