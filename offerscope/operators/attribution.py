@@ -177,13 +177,13 @@ OPPORTUNITY_COLUMNS = (
 
 
 def opportunities(
-    events: DataFrame, offers: DataFrame, profile: DataFrame, hot_rows: int = HOT_ROWS
+    events: DataFrame, offers: DataFrame, profile: DataFrame, hot: Sequence[int] | None = None
 ) -> DataFrame:
     """The opportunity table: one row per distinct send, with outcomes and attributes.
 
     Customer attributes come last, so the sorts above move narrow rows only.
     """
-    hot = hot_customers(events, hot_rows)
+    hot = hot_customers(events) if hot is None else hot
     sends = close_windows(attribute_outcomes(events, hot), offers)
     judged = informational_success(sends, events, hot)
     return attach_profile(judged, profile).select(*OPPORTUNITY_COLUMNS)

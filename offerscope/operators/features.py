@@ -19,7 +19,7 @@ from offerscope.functions.columns import (
     ratio,
     success,
 )
-from offerscope.operators.attribution import HOT_ROWS, hot_customers, running_in_time
+from offerscope.operators.attribution import hot_customers, running_in_time
 from offerscope.operators.timeline import Measure
 
 # Columns that are keys, outcomes, or properties of the offer that was sent.
@@ -244,14 +244,14 @@ def context_features(
     profile: DataFrame,
     short: float = 7.0,
     long: float = 28.0,
-    hot_rows: int = HOT_ROWS,
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """The context table: keys, outcome, and features known when the offer was sent.
 
     Everything that comes from the opportunity's own row is one projection; only
     the history is joined, on the pair it is keyed by.
     """
-    past = history(events, short, long, hot_customers(events, hot_rows))
+    past = history(events, short, long, hot)
     known = opps.select(
         *base_columns(),
         *offer_columns(),
