@@ -225,17 +225,19 @@ def fill_defaults(df: DataFrame, short: float = 7.0, long: float = 28.0, accurac
     medians = df.agg(
         F.struct(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in imputed]).alias("m")
     ).scalar()
+    # one column with the scalar row, so that the plan holds the subquery once
+    with_medians = df.select("*", medians.alias("__medians"))
     fills = {c: F.lit(0.0) for c in history_columns(short, long)}
     fills |= {c: F.lit(NEVER_DAYS) for c in ("days_since_last_tx", "days_since_last_offer_view")}
     filled = []
     for c in df.columns:
         if c in imputed:
-            filled.append(F.coalesce(F.col(c), medians[c], F.lit(0.0)).alias(c))
+            filled.append(F.coalesce(F.col(c), F.col(f"__medians.{c}"), F.lit(0.0)).alias(c))
         elif c in fills:
             filled.append(F.coalesce(F.col(c).cast("double"), fills[c]).alias(c))
         else:
             filled.append(F.col(c))
-    return df.select(*filled)
+    return with_medians.select(*filled)
 
 
 def context_features(
@@ -291,11 +293,13 @@ def standardize(
             *[F.stddev_pop(c).alias(f"sd_{c}") for c in columns],
         ).alias("s")
     ).scalar()
+    stat = lambda name: F.col(f"__stats.{name}")
     scaled = {
-        c: (F.col(c) - stats[f"mean_{c}"]) / F.coalesce(F.nullif(stats[f"sd_{c}"], F.lit(0.0)), F.lit(1.0))
+        c: (F.col(c) - stat(f"mean_{c}")) / F.coalesce(F.nullif(stat(f"sd_{c}"), F.lit(0.0)), F.lit(1.0))
         for c in columns
     }
-    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+    with_stats = df.select("*", stats.alias("__stats"))
+    return with_stats.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
 def one_hot(column: str, levels: Sequence[str], prefix: str) -> list[Column]:

@@ -174,13 +174,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between the extremes; the last one is closed on the right."""
     value = F.col(column).cast("double")
     ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("e")).scalar()
-    width = (ends["hi"] - ends["lo"]) / bins
-    number = F.when(width > 0, F.least(F.floor((value - ends["lo"]) / width), F.lit(bins - 1))).otherwise(0)
+    low = F.col("__ends.lo")
+    width = (F.col("__ends.hi") - low) / bins
+    number = F.when(width > 0, F.least(F.floor((F.col("__v") - low) / width), F.lit(bins - 1))).otherwise(0)
     return (
         df.where(value.isNotNull())
-        .groupBy(number.cast("int").alias("bin"))
+        .select(value.alias("__v"), ends.alias("__ends"))
+        .groupBy(number.cast("int").alias("bin"), "__ends")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("bin", (ends["lo"] + F.col("bin") * width).alias("bin_start"), "n")
+        .select("bin", (low + F.col("bin") * width).alias("bin_start"), "n")
         .orderBy("bin")
     )
 

@@ -79,7 +79,8 @@ class Campaign:
 
     @cached_property
     def value_list(self) -> list[posterior.Arm]:
-        return posterior.collect_arms(self.arm_values)
+        # the staged contexts carry all the opportunity columns that matter here
+        return posterior.collect_arms(policies.arm_values(self.offers, self.events, self.staged_contexts))
 
     @cached_property
     def values(self) -> dict[str, float]:

@@ -18,6 +18,7 @@ from offerscope.operators.posterior import arms_frame
 from offerscope.plans.campaign import Campaign
 from offerscope.session import new_staging_path
 from offerscope.sources.files import verified_write
+from offerscope.streaming import attribution as stream_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Callable[[Campaign], DataFrame]] = {}
@@ -511,3 +512,17 @@ def calibration_deciles(c: Campaign) -> DataFrame:
 def response_regret(c: Campaign) -> DataFrame:
     scores = policies.map_scores(c.response_models)
     return policies.policy_regret(c.design, scores, c.fixed_policies())
+
+
+# -- streams --------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_attribution(c: Campaign) -> DataFrame:
+    """The event log replayed as a stream of files, attributed as it arrives."""
+    spark = c.offers.sparkSession
+    source, output, checkpoint = (new_staging_path(spark, n) for n in ("stream", "attributed", "progress"))
+    c.events.repartitionByRange(4, "time_since_test_start").write.parquet(source)
+    events = stream_ops.event_stream(spark, source, c.events.schema, files_per_batch=2)
+    stream_ops.run_to_files(stream_ops.attribute_stream(events, c.offers), output, checkpoint)
+    return stream_ops.latest(spark.read.parquet(output))

@@ -559,6 +559,8 @@ def _statements() -> dict[str, str]:
                 example("best_is_informational", top, "best_type = 'informational'", "round_day, opp_id"),
             )
         ),
+        "stream_attribution": f"""SELECT customer_id, offer_id, {rs('t_received, t_expires, t_viewed, t_completed')}
+          FROM opps""",
         # At the optimum of a model with a free intercept the mean prediction is the observed rate.
         "calibration": f"""SELECT offer_id, {r('avg(reward)', 'predicted_avg')}, {r('avg(reward)', 'real_rate')},
           count(*) AS n FROM contexts GROUP BY offer_id""",
