@@ -45,11 +45,16 @@ def query(build: Callable[[Campaign], DataFrame]) -> Callable[[Campaign], DataFr
     return build
 
 
+def run(name: str, campaign: Campaign) -> DataFrame:
+    """One query on a campaign, which several queries may share."""
+    return comparable(_QUERIES[name](campaign))
+
+
 def queries() -> dict[str, Query]:
-    def bind(build: Callable[[Campaign], DataFrame]) -> Query:
-        return lambda spark, sf_dir: comparable(build(Campaign.from_parquet(spark, sf_dir)))
+    def bind(name: str) -> Query:
+        return lambda spark, sf_dir: run(name, Campaign.from_parquet(spark, sf_dir))
 
-    return {name: bind(build) for name, build in _QUERIES.items()}
+    return {name: bind(name) for name in _QUERIES}
 
 
 # -- tables -----------------------------------------------------------------------------
