@@ -1,4 +1,4 @@
-"""Small column expressions: bands, labels, keys, link function."""
+"""Small column expressions: bands, labels, keys, guarded division."""
 
 from __future__ import annotations
 
@@ -49,15 +49,6 @@ def send_key(customer: Column, offer: Column, t: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in (customer, offer, micros)]))
 
 
-def sigmoid(z: Column, bound: float = 35.0) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-bound), F.least(F.lit(bound), z))))
-
-
-def dot(left: Column, right: Column) -> Column:
-    """Inner product of two arrays of double."""
-    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
-
-
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient, 0 where the denominator is missing or not positive."""
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))

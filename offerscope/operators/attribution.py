@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from offerscope.functions.columns import COMPLETED, INFORMATIONAL, PURCHASE, RECEIVED, VIEWED, send_key
 from offerscope.operators.cleaning import offer_terms
 from offerscope.operators.timeline import Measure, hot_keys, is_hot, running
+from offerscope.session import stage
 
-#: A key with more rows than this is cut into time buckets.
-HOT_ROWS = 1_000_000
+#: A customer with more rows than this is cut into time buckets.  Below it one
+#: task sorts the narrow rows faster than the cut pays for itself.
+HOT_ROWS = 10_000_000
 #: Width of such a bucket, in days.
 BUCKET_DAYS = 1.0 / 24.0
 
@@ -185,6 +187,9 @@ def opportunities(
     """
     hot = hot_customers(events) if hot is None else hot
     sends = close_windows(attribute_outcomes(events, hot), offers)
+    if hot:
+        # the cut below reads its input twice
+        sends = stage(sends, "sends")
     judged = informational_success(sends, events, hot)
     return attach_profile(judged, profile).select(*OPPORTUNITY_COLUMNS)
 

@@ -286,8 +286,7 @@ def standardize(
 
     ``fit_on`` takes the statistics from other rows, for example the first round.
     """
-    fit_on = df if fit_on is None else fit_on
-    stats = fit_on.agg(
+    stats = (df if fit_on is None else fit_on).agg(
         F.struct(
             *[F.avg(c).alias(f"mean_{c}") for c in columns],
             *[F.stddev_pop(c).alias(f"sd_{c}") for c in columns],
@@ -314,10 +313,16 @@ def design_names(contexts: DataFrame) -> list[str]:
     return ["bias", *numeric, *[f"gender_{g}" for g in GENDERS]]
 
 
-def design_matrix(contexts: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """Keys, reward and the feature vector ``x``: bias, z-scores, gender indicators."""
+def design_matrix(
+    contexts: DataFrame, fit_on: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Keys, reward and the feature vector ``x``: bias, z-scores, gender indicators.
+
+    Columns named in ``keep`` come along unscaled, as ``raw_<name>``.
+    """
     numeric, _ = feature_columns(contexts)
-    scaled = standardize(contexts, numeric, fit_on)
+    raw = [F.col(c).alias(f"raw_{c}") for c in keep]
+    scaled = standardize(contexts.select("*", *raw), numeric, fit_on)
     return scaled.select(
         *KEY_COLUMNS,
         F.col("reward").cast("int").alias("reward"),
@@ -326,4 +331,5 @@ def design_matrix(contexts: DataFrame, fit_on: DataFrame | None = None) -> DataF
             *[F.col(c).cast("double") for c in numeric],
             *one_hot("customer_gender", GENDERS, "gender"),
         ).alias("x"),
+        *[f"raw_{c}" for c in keep],
     )

@@ -14,15 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerscope.functions import draws
-from offerscope.functions.columns import dot, sigmoid
 from offerscope.operators.metrics import completer_ticket
-from offerscope.operators.posterior import Arm, arms_literal, prior_arms, update_arms
+from offerscope.operators.posterior import Arm, prior_arms, update_arms
 from offerscope.operators.quantiles import exact_quantiles
+from offerscope.operators.scoring import SEED, best_of, map_scores, thompson_scores
 from offerscope.operators.timeline import Measure, running
 
 # The precisions compared by the sweep.
 PRIOR_PRECISIONS = (0.1, 0.5, 1.0, 3.0, 10.0)
-SEED = 42
+#: Unscaled columns the example rows are picked by.
+EXAMPLE_COLUMNS = (
+    "customer_tenure_days",
+    "completion_rate_before",
+    "transaction_count_before",
+    "days_since_last_tx",
+)
 
 
 # -- values and scores ----------------------------------------------------------------------
@@ -40,45 +46,6 @@ def with_values(design: DataFrame, values: DataFrame) -> DataFrame:
     return design.join(values.select("offer_id", "value"), "offer_id", "left")
 
 
-def map_scores(arms: Sequence[Arm], x: Column | None = None) -> Column:
-    """Array of (offer_id, p, score) per row from the posterior means, in order of id."""
-    x = F.col("x") if x is None else x
-
-    def one(arm: Column) -> Column:
-        p = sigmoid(dot(arm["m"], x))
-        return F.struct(arm["offer_id"].alias("offer_id"), p.alias("p"), (p * arm["value"]).alias("score"))
-
-    return F.transform(arms_literal(arms), one)
-
-
-def thompson_scores(arms: Sequence[Arm], seed: int = SEED, x: Column | None = None) -> Column:
-    """Scores from one draw of each arm's weights.
-
-    With independent normal weights the logit itself is normal, with mean m.x
-    and variance sum(x^2/q); so one draw per row and arm is enough, and it is a
-    function of the row's key.
-    """
-    x = F.col("x") if x is None else x
-
-    def one(arm: Column) -> Column:
-        spread = F.aggregate(
-            F.zip_with(x, arm["q"], lambda v, q: v * v / q), F.lit(0.0), lambda total, v: total + v
-        )
-        z = draws.normal(F.concat_ws("|", F.col("opp_id"), arm["offer_id"], F.lit(str(seed))))
-        p = sigmoid(dot(arm["m"], x) + z * F.sqrt(spread))
-        return F.struct(arm["offer_id"].alias("offer_id"), p.alias("p"), (p * arm["value"]).alias("score"))
-
-    return F.transform(arms_literal(arms), one)
-
-
-def best_of(scores: Column) -> Column:
-    """The entry with the highest score, the smallest id among equals."""
-    keyed = F.transform(
-        scores, lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("tie"), s["offer_id"], s["p"])
-    )
-    return F.array_max(keyed)
-
-
 def random_offer(offer_ids: Sequence[str], seed: int = SEED) -> Column:
     ids = F.array(*[F.lit(o) for o in sorted(offer_ids)])
     return F.get(ids, draws.pick(F.concat_ws("|", F.col("opp_id"), F.lit(str(seed))), len(offer_ids)))
@@ -124,7 +91,8 @@ def recommended_share(design: DataFrame, scores: Column) -> DataFrame:
 def mean_scores(design: DataFrame, scores: Column) -> DataFrame:
     """Mean probability and score of every offer over all rows."""
     return (
-        design.select(F.inline(scores))
+        design.select(scores.alias("__scores"))
+        .select(F.inline("__scores"))
         .groupBy("offer_id")
         .agg(F.avg("p").alias("mean_p"), F.avg("score").alias("expected_value"))
     )
@@ -291,21 +259,22 @@ def policy_regret(design: DataFrame, scores: Column, policies: Mapping[str, Colu
     same rows, which are grouped into consecutive parts of the log.
     """
     total = design.agg(F.count(F.lit(1))).scalar()
-    ordered = in_log_order(design, [], [Measure("__before", F.lit(1).cast("bigint"))])
-    worth = ordered.select(
-        ntile(F.col("__before"), total, parts).alias("part"),
-        scores.alias("__scores"),
-        *[c.alias(f"__{n}") for n, c in policies.items()],
+    scored = design.select(
+        "round_day", "opp_id", scores.alias("__scores"), *[c.alias(f"__{n}") for n, c in policies.items()]
     )
     value_of = lambda offer: F.get(
         F.filter("__scores", lambda s: s["offer_id"] == offer), F.lit(0)
     )["score"]
-    best = F.array_max(F.transform("__scores", lambda s: s["score"]))
     named = F.array(
         *[F.struct(F.lit(n).alias("policy"), value_of(F.col(f"__{n}")).alias("chosen_value")) for n in policies]
     )
+    # only these few numbers per row are put in order, not the feature vectors
+    worth = scored.select(
+        "round_day", "opp_id", F.array_max("__scores")["score"].alias("best_value"), named.alias("__values")
+    )
+    ordered = in_log_order(worth, [], [Measure("__before", F.lit(1).cast("bigint"))])
     return (
-        worth.select("part", best.alias("best_value"), F.inline(named))
+        ordered.select(ntile(F.col("__before"), total, parts).alias("part"), "best_value", F.inline("__values"))
         .groupBy("policy", "part")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -359,33 +328,31 @@ def weight_pivot(arms: DataFrame, names: Sequence[str], offer_ids: Sequence[str]
 
 
 def example_customers(
-    contexts: DataFrame, design: DataFrame, scores: Column, offer_types: Mapping[str, str], seed: int = SEED
+    design: DataFrame, scores: Column, offer_types: Mapping[str, str], seed: int = SEED
 ) -> DataFrame:
     """One telling row per category, all found in the same pass over the rows.
 
     Draws order rows by a digest of their key; the rest take the first in log order.
     """
-    late = exact_quantiles(contexts, ["customer_tenure_days"], {"q75": 0.75}).select("q75").scalar()
-    rows = contexts.join(design.select("opp_id", "x"), "opp_id").select(
-        "*", late.alias("__late"), best_of(scores).alias("__best")
-    )
+    late = exact_quantiles(design, ["raw_customer_tenure_days"], {"q75": 0.75}).select("q75").scalar()
+    rows = design.select("*", late.alias("__late"), best_of(scores).alias("__best"))
     kinds = F.create_map(*[F.lit(v) for pair in offer_types.items() for v in pair])
     drawn = F.md5(F.concat_ws("|", "opp_id", F.lit(str(seed))))
     first = F.concat_ws("|", F.lpad(F.col("round_day").cast("string"), 10, "0"), "opp_id")
     best_kind = F.try_element_at(kinds, F.col("__best.offer_id"))
     categories = {
         "long_standing_and_engaged": (
-            (F.col("customer_tenure_days") > F.col("__late")) & (F.col("completion_rate_before") > 0.5),
+            (F.col("raw_customer_tenure_days") > F.col("__late")) & (F.col("raw_completion_rate_before") > 0.5),
             drawn,
         ),
-        "no_purchase_before": (F.col("transaction_count_before") == 0, drawn),
+        "no_purchase_before": (F.col("raw_transaction_count_before") == 0, drawn),
         "most_recent_purchase": (F.lit(True), None),
         "best_is_bogo": (best_kind == "bogo", first),
         "best_is_informational": (best_kind == "informational", first),
     }
     entries = []
     for name, (holds, order) in categories.items():
-        lead = F.col("days_since_last_tx") if order is None else F.lit(0.0)
+        lead = F.col("raw_days_since_last_tx") if order is None else F.lit(0.0)
         key = F.struct(
             lead.alias("lead"),
             (F.col("opp_id") if order is None else order).alias("order"),
@@ -426,11 +393,15 @@ def calibration(design: DataFrame, arms: Sequence[Arm]) -> DataFrame:
 def calibration_deciles(design: DataFrame, arms: Sequence[Arm], accuracy: int = 10_000) -> DataFrame:
     """The same per offer and tenth of the predicted score."""
     scored = predicted(design, arms)
-    edges = scored.groupBy("offer_id").agg(
+    per_offer = scored.groupBy("offer_id").agg(
         F.percentile_approx("p", [i / 10 for i in range(1, 10)], accuracy).alias("edges")
     )
+    # nine numbers per offer: a constant map rather than a join on a ten-valued key
+    edges = per_offer.agg(F.map_from_entries(F.collect_list(F.struct("offer_id", "edges")))).scalar()
+    own = F.try_element_at(F.col("__edges"), F.col("offer_id"))
     return (
-        scored.join(edges, "offer_id")
-        .groupBy("offer_id", (F.size(F.filter("edges", lambda e: e < F.col("p"))) + 1).alias("decile"))
+        scored.select("*", edges.alias("__edges"))
+        .select("offer_id", "p", "reward", (F.size(F.filter(own, lambda e: e < F.col("p"))) + 1).alias("decile"))
+        .groupBy("offer_id", "decile")
         .agg(F.avg("p").alias("predicted_avg"), F.avg("reward").alias("real_rate"), F.count(F.lit(1)).alias("n"))
     )

@@ -8,18 +8,15 @@ the number of rows, reach the driver for the small solve.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.functions.columns import dot, sigmoid
-
 # Bound on one step of a weight, bound on the logit.
 MAX_STEP = 2.0
 LOGIT_BOUND = 35.0
@@ -54,50 +51,11 @@ def arms_frame(spark: SparkSession, arms: Iterable[Arm]) -> DataFrame:
     return spark.createDataFrame([(a.offer_id, a.value, list(a.m), list(a.q)) for a in arms], ARM_SCHEMA)
 
 
-def arms_literal(arms: Sequence[Arm]) -> Column:
-    """All arms as one constant array, so that scoring is a projection without a join."""
-    text = json.dumps([{"offer_id": a.offer_id, "value": a.value, "m": a.m, "q": a.q} for a in arms])
-    kind = f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in ARM_SCHEMA.split(', '))}>>"
-    return F.from_json(F.lit(text), kind)
-
-
 def prior_arms(values: Mapping[str, float], n_features: int, precision: float = 1.0) -> list[Arm]:
     zero, flat = (0.0,) * n_features, (precision,) * n_features
     return [Arm(offer, values[offer], zero, flat) for offer in sorted(values)]
 
 
-# -- one step from the prior, in closed form --------------------------------------------
-
-
-def first_step(design: DataFrame, n_features: int, precision: float = 1.0) -> DataFrame:
-    """Posterior after one diagonal step from a zero mean, per offer.
-
-    At the prior every probability is one half, so the step is a ratio of plain
-    sums.  A second pass adds the curvature at the new mean to the precision.
-    """
-    x = F.col("x")
-    y = F.col("reward")
-    features = range(n_features)
-    sums = design.groupBy("offer_id").agg(
-        *[F.sum((F.lit(0.5) - y) * x[j]).alias(f"g{j}") for j in features],
-        *[F.sum(x[j] * x[j]).alias(f"s{j}") for j in features],
-    )
-
-    def weight(j: int) -> Column:
-        step = F.col(f"g{j}") / (F.lit(precision) + F.col(f"s{j}") / 4)
-        return -F.greatest(F.lit(-MAX_STEP), F.least(F.lit(MAX_STEP), step))
-
-    means = sums.select("offer_id", F.array(*[weight(j) for j in features]).alias("m"))
-    p = sigmoid(dot(F.col("m"), x), LOGIT_BOUND)
-    curved = (
-        design.join(means, "offer_id")
-        .select("offer_id", "x", (p * (1 - p)).alias("c"))
-        .groupBy("offer_id")
-        .agg(F.array(*[F.lit(precision) + F.sum(x[j] * x[j] * F.col("c")) for j in features]).alias("q"))
-    )
-    return means.join(curved, "offer_id")
-
-
 # -- batch Newton -------------------------------------------------------------------------
 
 
@@ -212,6 +170,29 @@ def update_arms(kept: DataFrame, arms: Sequence[Arm]) -> tuple[list[Arm], dict[s
     return updated, sums
 
 
+def first_step(design: DataFrame, values: Mapping[str, float], n_features: int, precision: float = 1.0) -> list[Arm]:
+    """Posterior of every offer after one diagonal step from a zero mean.
+
+    Two passes: slope and curvature at the prior give the step, the curvature at
+    the new mean the precision.  An offer without rows keeps its prior.
+    """
+    rows = design.select(F.col("offer_id").alias("model"), "x", "reward")
+    prior = prior_arms(values, n_features, precision)
+    start = newton_sums(rows, {a.offer_id: np.zeros(n_features) for a in prior})
+    means = {
+        offer: -np.clip(s.gradient / (precision + np.diag(s.hessian)), -MAX_STEP, MAX_STEP) for offer, s in start.items()
+    }
+    if not means:
+        return prior
+    curved = newton_sums(rows, means)
+    return [
+        Arm(a.offer_id, a.value, tuple(means[a.offer_id].tolist()), tuple((precision + np.diag(curved[a.offer_id].hessian)).tolist()))
+        if a.offer_id in means
+        else a
+        for a in prior
+    ]
+
+
 # -- response models ----------------------------------------------------------------------
 
 

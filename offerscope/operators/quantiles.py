@@ -39,13 +39,20 @@ def exact_quantiles(
         F.sum("n").alias("n_all"),
         F.percentile_approx("value", edges, 1000).alias("edges"),
     )
-    # one row per feature and key: Spark sees how small it is when it runs
-    placed = counted.join(scale, group).select(
-        *group,
-        "value",
-        "n",
-        "n_all",
-        F.size(F.filter("edges", lambda edge: edge < F.col("value"))).alias("range_no"),
+    # A few numbers per group, attached as a constant map: a join would send all
+    # values of a feature to one partition.
+    key = F.struct(*group)
+    by_group = scale.agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("n_all", "edges"))))).scalar()
+    placed = (
+        counted.select("*", by_group.alias("__scale"))
+        .select(*group, "value", "n", F.try_element_at("__scale", key).alias("__own"))
+        .select(
+            *group,
+            "value",
+            "n",
+            F.col("__own.n_all").alias("n_all"),
+            F.size(F.filter("__own.edges", lambda edge: edge < F.col("value"))).alias("range_no"),
+        )
     )
     summed = running(placed, group, ["value"], [Measure("n_below", F.col("n"))], bucket="range_no")
 

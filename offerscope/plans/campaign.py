@@ -17,7 +17,8 @@ class Campaign:
     """Raw inputs and everything derived from them.
 
     Tables are lazy plans.  Only those that several passes read are staged as
-    parquet: the context table and the design rows.
+    parquet: the flat events (so that raw text is parsed once, and a scan of one
+    kind of event reads only that kind), the context table and the design rows.
     """
 
     def __init__(self, raw: files.RawTables, hot_rows: int = attribution.HOT_ROWS):
@@ -48,17 +49,21 @@ class Campaign:
     def log(self) -> DataFrame:
         return cleaning.event_log(self.events, self.profile, self.offers)
 
+    @cached_property
+    def staged_events(self) -> DataFrame:
+        return stage(self.events, "events", ("event",))
+
     @cached_property
     def hot(self) -> list[int]:
-        return attribution.hot_customers(self.events, self.hot_rows)
+        return attribution.hot_customers(self.staged_events, self.hot_rows)
 
     @cached_property
     def opps(self) -> DataFrame:
-        return attribution.opportunities(self.events, self.offers, self.profile, self.hot)
+        return attribution.opportunities(self.staged_events, self.offers, self.profile, self.hot)
 
     @cached_property
     def contexts(self) -> DataFrame:
-        return features.context_features(self.opps, self.events, self.profile, hot=self.hot)
+        return features.context_features(self.opps, self.staged_events, self.profile, hot=self.hot)
 
     @cached_property
     def staged_contexts(self) -> DataFrame:
@@ -75,12 +80,12 @@ class Campaign:
 
     @cached_property
     def arm_values(self) -> DataFrame:
-        return policies.arm_values(self.offers, self.events, self.opps)
+        return policies.arm_values(self.offers, self.staged_events, self.opps)
 
     @cached_property
     def value_list(self) -> list[posterior.Arm]:
         # the staged contexts carry all the opportunity columns that matter here
-        return posterior.collect_arms(policies.arm_values(self.offers, self.events, self.staged_contexts))
+        return posterior.collect_arms(policies.arm_values(self.offers, self.staged_events, self.staged_contexts))
 
     @cached_property
     def values(self) -> dict[str, float]:
@@ -91,24 +96,17 @@ class Campaign:
         """Design rows with the value of a success of the logged offer, staged by round."""
         spark = self.offers.sparkSession
         values = posterior.arms_frame(spark, self.value_list)
-        return stage(
-            policies.with_values(features.design_matrix(self.staged_contexts), values), "design", ("round_day",)
-        )
-
-    @cached_property
-    def first_step(self) -> DataFrame:
-        return posterior.first_step(self.design, self.n_features)
+        rows = features.design_matrix(self.staged_contexts, keep=policies.EXAMPLE_COLUMNS)
+        return stage(policies.with_values(rows, values), "design", ("round_day",))
 
     @cached_property
     def arms(self) -> list[posterior.Arm]:
-        """Posterior of every offer after one closed-form step; the prior where nothing was sent."""
-        stepped = {a.offer_id: a for a in posterior.collect_arms(self.first_step)}
-        return [
-            posterior.Arm(a.offer_id, a.value, stepped[a.offer_id].m, stepped[a.offer_id].q)
-            if a.offer_id in stepped
-            else a
-            for a in posterior.prior_arms(self.values, self.n_features)
-        ]
+        """Posterior of every offer after one closed-form step."""
+        return posterior.first_step(self.design, self.values, self.n_features)
+
+    @property
+    def arms_table(self) -> DataFrame:
+        return posterior.arms_frame(self.offers.sparkSession, self.arms)
 
     @cached_property
     def response_models(self) -> list[posterior.Arm]:

@@ -179,12 +179,12 @@ def completion_channel_pivot(c: Campaign) -> DataFrame:
 
 @query
 def spend_by_user_group(c: Campaign) -> DataFrame:
-    return metrics.spend_by_user_group(c.events, c.opps)
+    return metrics.spend_by_user_group(c.staged_events, c.opps)
 
 
 @query
 def spend_ratios(c: Campaign) -> DataFrame:
-    return metrics.spend_ratios(metrics.spend_by_user_group(c.events, c.opps))
+    return metrics.spend_ratios(metrics.spend_by_user_group(c.staged_events, c.opps))
 
 
 @query
@@ -232,7 +232,7 @@ def informational_outcomes(c: Campaign) -> DataFrame:
 
 @query
 def completer_ticket(c: Campaign) -> DataFrame:
-    return metrics.completer_ticket(c.events, c.opps)
+    return metrics.completer_ticket(c.staged_events, c.opps)
 
 
 # -- quality -----------------------------------------------------------------------------------
@@ -271,7 +271,7 @@ def reward_matches_discount(c: Campaign) -> DataFrame:
 
 @query
 def completion_overcount(c: Campaign) -> DataFrame:
-    return quality.completion_overcount(c.events, c.opps)
+    return quality.completion_overcount(c.staged_events, c.opps)
 
 
 @query
@@ -337,13 +337,13 @@ def profile_features(c: Campaign) -> DataFrame:
 
 @query
 def history_features(c: Campaign) -> DataFrame:
-    past = features.history(c.events, hot=c.hot)
+    past = features.history(c.staged_events, hot=c.hot)
     return c.opps.select("opp_id", "customer_id", "t_received").join(past, ["customer_id", "t_received"], "left")
 
 
 @query
 def tenure_features(c: Campaign) -> DataFrame:
-    return c.opps.select("opp_id", features.tenure_column(c.events, c.profile))
+    return c.opps.select("opp_id", features.tenure_column(c.staged_events, c.profile))
 
 
 @query
@@ -395,13 +395,14 @@ def arm_values(c: Campaign) -> DataFrame:
 
 @query
 def arm_posterior_step(c: Campaign) -> DataFrame:
-    pairs = c.first_step.select("offer_id", F.posexplode(F.arrays_zip("m", "q")).alias("position", "pair"))
+    pairs = c.arms_table.select("offer_id", F.posexplode(F.arrays_zip("m", "q")).alias("position", "pair"))
     return pairs.select("offer_id", "position", "pair.m", "pair.q")
 
 
 @query
 def map_scores(c: Campaign) -> DataFrame:
-    return c.design.select("opp_id", F.inline(policies.map_scores(c.arms)))
+    scored = c.design.select("opp_id", policies.map_scores(c.arms).alias("__scores"))
+    return scored.select("opp_id", F.inline("__scores")).drop("tie")
 
 
 @query
@@ -469,17 +470,17 @@ def value_projection(c: Campaign) -> DataFrame:
 
 @query
 def top_weights(c: Campaign) -> DataFrame:
-    return policies.top_weights(c.first_step, c.feature_names)
+    return policies.top_weights(c.arms_table, c.feature_names)
 
 
 @query
 def weight_table(c: Campaign) -> DataFrame:
-    return policies.weight_pivot(c.first_step, c.feature_names, list(c.values))
+    return policies.weight_pivot(c.arms_table, c.feature_names, list(c.values))
 
 
 @query
 def example_customers(c: Campaign) -> DataFrame:
-    return policies.example_customers(c.staged_contexts, c.design, policies.map_scores(c.arms), c.offer_types)
+    return policies.example_customers(c.design, policies.map_scores(c.arms), c.offer_types)
 
 
 # -- learning policies and response models ----------------------------------------------------------------

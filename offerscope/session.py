@@ -19,11 +19,15 @@ RUNTIME_SETTINGS = {
 }
 
 
+#: Settings that only help before the first query: no call-site capture per column.
+STARTUP_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app: str = "offerscope", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **settings}.items():
+    for key, value in {**RUNTIME_SETTINGS, **STARTUP_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -88,7 +88,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     transactions = spark.sql(
         _fill(
             _TRANSACTIONS,
-            k="CAST(get_json_object(props, '$.k') AS INT)",
+            k="from_json(props, 'k INT').k",
             t_us="timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)",
             value=f"named_struct({nested}) AS value",
             events="{events}",
