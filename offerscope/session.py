@@ -59,6 +59,9 @@ def new_staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/offerscope/{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back, so later passes scan columns, not the plan.
 
@@ -67,7 +70,17 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     """
     spark = df.sparkSession
     path = new_staging_path(spark, name)
+    _STAGED.append(path)
     laid_out = df.hint("rebalance", *partition_by) if partition_by else df
     laid_out.write.partitionBy(*partition_by).parquet(path)
     columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
     return spark.read.schema(df.select(*columns).schema).parquet(path).select(*df.columns)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete the tables this process staged; returns how many.  Frames that read them are then void."""
+    count = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
