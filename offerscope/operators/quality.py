@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerscope.functions.columns import COMPLETED, RECEIVED, SEND_ROUNDS, UNKNOWN
@@ -188,15 +191,17 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, from one aggregate row.
+    """Pearson correlation of every pair of columns.
 
-    A pair with a constant column has no correlation and gets null.
+    Spark ML adds the products up per partition; only the columns-by-columns
+    matrix reaches the driver.  A constant column has no correlation: null.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    corr = lambda a, b: F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-    row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells: list[Column] = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.nanvl(F.col(f"c{i}"), F.lit(None)).alias("r"))
-        for i, (a, b) in enumerate(pairs)
+    vectors = df.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("v"))
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    pairs = [
+        (a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if i < j
     ]
-    return row.select(F.inline(F.array(*cells)))
+    return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")

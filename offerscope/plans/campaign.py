@@ -51,7 +51,7 @@ class Campaign:
 
     @cached_property
     def staged_events(self) -> DataFrame:
-        return stage(self.events, "events", ("event",))
+        return stage(self.events, "events", ("event",), rebalance=False)
 
     @cached_property
     def hot(self) -> list[int]:

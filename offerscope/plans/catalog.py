@@ -307,8 +307,8 @@ def histogram_limit(c: Campaign) -> DataFrame:
 
 @query
 def feature_correlation(c: Campaign) -> DataFrame:
-    numeric, _ = features.feature_columns(c.contexts)
-    return quality.correlation(c.contexts, numeric)
+    numeric, _ = features.feature_columns(c.staged_contexts)
+    return quality.correlation(c.staged_contexts, numeric)
 
 
 @query

@@ -62,16 +62,19 @@ def new_staging_path(spark: SparkSession, name: str) -> str:
 _STAGED: list[str] = []
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rebalance: bool = True
+) -> DataFrame:
     """Write ``df`` once and read it back, so later passes scan columns, not the plan.
 
     The files survive the loss of executors.  With ``partition_by`` a rebalance
-    splits large partition values over several files and merges small ones.
+    splits large partition values over several files and merges small ones; it
+    is not worth its shuffle for a column of a handful of values.
     """
     spark = df.sparkSession
     path = new_staging_path(spark, name)
     _STAGED.append(path)
-    laid_out = df.hint("rebalance", *partition_by) if partition_by else df
+    laid_out = df.hint("rebalance", *partition_by) if partition_by and rebalance else df
     laid_out.write.partitionBy(*partition_by).parquet(path)
     columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
     return spark.read.schema(df.select(*columns).schema).parquet(path).select(*df.columns)

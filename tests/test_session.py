@@ -17,3 +17,25 @@ def test_staged_tables_keep_types_and_can_be_released(spark, monkeypatch):
 
 def test_runtime_settings(spark):
     assert session.tune(spark).conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """Run the Python-side operators from a folder where the package cannot be imported."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    from conftest import SF_DIR
+
+    root = Path(__file__).resolve().parent.parent
+    script = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as entry
+from offerscope.session import build_session
+spark = build_session("elsewhere", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2",
+    "spark.checkpoint.dir": {str(tmp_path / "staging")!r}}})
+for name in ("thompson_choice", "stream_attribution"):
+    assert entry.queries()[name](spark, {SF_DIR!r}).count() > 0, name
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
