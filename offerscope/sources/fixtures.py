@@ -5,7 +5,7 @@ One text serves both engines; only the engine-specific expressions differ.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from offerscope.sources.files import RawTables
 
