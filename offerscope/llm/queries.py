@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm import secrets, sharding
+from offerscope.llm import bpe, packing, secrets, sharding
 
 SHARDS = 8
+SEQUENCE = 2048
+
+
+def word_vocabulary() -> str:
+    """Place of the public word-end vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +29,14 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("law", F.lit("key"))
 
 
+def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), SEQUENCE)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -28,6 +44,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rendezvous_sharding": op2_rendezvous_sharding,
+        "op3_tree_bpe": op3_tree_bpe,
+        "op8_bin_completion_packing": op8_bin_completion_packing,
         "op10_secret_scan": op10_secret_scan,
     }
 
