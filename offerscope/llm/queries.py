@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm import bpe, packing, secrets, sharding
+from offerscope.llm import bpe, language, packing, quality, secrets, sharding
 
 SHARDS = 8
 SEQUENCE = 2048
@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(key: str, divisor: int):
+    """crc32 of the key as text, modulo ``divisor``; a null key counts as empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    profiles = language.learn(docs.filter(~held_out))
+    return language.identify(docs, profiles, keep=["doc_id", held_out.alias("held_out")])
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_records(table(spark, sf_dir, "documents"), weights=[1.0] * SHARDS)
     return rows.withColumn("law", F.lit("key"))
@@ -33,6 +45,18 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+#: From this score on a document is taken for label 1.
+GOOD = 0.3
+
+
+def op6_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    texts, marks = quality.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda key: remainder(key, 5) != 0)
+    scored = quality.score(docs, quality.train(texts, marks), keep=["doc_id", held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), SEQUENCE)
 
@@ -43,8 +67,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rank_order_language": op1_rank_order_language,
         "op2_rendezvous_sharding": op2_rendezvous_sharding,
         "op3_tree_bpe": op3_tree_bpe,
+        "op6_quality_network": op6_quality_network,
         "op8_bin_completion_packing": op8_bin_completion_packing,
         "op10_secret_scan": op10_secret_scan,
     }
