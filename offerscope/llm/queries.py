@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm import bpe, language, packing, quality, secrets, sharding
+from offerscope.llm import bpe, html_text, language, packing, quality, secrets, sharding
 
 SHARDS = 8
 SEQUENCE = 2048
@@ -45,6 +45,12 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op4_tree_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    extractor = html_text.learn(html_text.training_pages(pages))
+    return html_text.extract(pages, extractor).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 #: From this score on a document is taken for label 1.
 GOOD = 0.3
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rank_order_language": op1_rank_order_language,
         "op2_rendezvous_sharding": op2_rendezvous_sharding,
         "op3_tree_bpe": op3_tree_bpe,
+        "op4_tree_html_text": op4_tree_html_text,
         "op6_quality_network": op6_quality_network,
         "op8_bin_completion_packing": op8_bin_completion_packing,
         "op10_secret_scan": op10_secret_scan,
