@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm import bpe, html_text, language, packing, quality, secrets, sharding
+from offerscope.llm import bpe, html_text, language, packing, quality, secret_scan, sharding, shingle_join
 
 SHARDS = 8
 SEQUENCE = 2048
@@ -63,12 +63,16 @@ def op6_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
+def op7_bitmap_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), SEQUENCE)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_tree_bpe": op3_tree_bpe,
         "op4_tree_html_text": op4_tree_html_text,
         "op6_quality_network": op6_quality_network,
+        "op7_bitmap_jaccard_join": op7_bitmap_jaccard_join,
         "op8_bin_completion_packing": op8_bin_completion_packing,
         "op10_secret_scan": op10_secret_scan,
     }
