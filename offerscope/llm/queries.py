@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm import bpe, html_text, language, packing, quality, secret_scan, sharding, shingle_join
+from offerscope.llm import bpe, html_text, language, neardup, packing, quality, secret_scan, sharding, shingle_join, topk
 
 SHARDS = 8
 SEQUENCE = 2048
@@ -51,6 +51,11 @@ def op4_tree_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, extractor).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op5_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_numbers(F.col("embedding"), 1024).alias("vector"))
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0)
+
+
 #: From this score on a document is taken for label 1.
 GOOD = 0.3
 
@@ -71,6 +76,10 @@ def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), SEQUENCE)
 
 
+def op9_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -81,9 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_rendezvous_sharding": op2_rendezvous_sharding,
         "op3_tree_bpe": op3_tree_bpe,
         "op4_tree_html_text": op4_tree_html_text,
+        "op5_norm_bucket_topk": op5_norm_bucket_topk,
         "op6_quality_network": op6_quality_network,
         "op7_bitmap_jaccard_join": op7_bitmap_jaccard_join,
         "op8_bin_completion_packing": op8_bin_completion_packing,
+        "op9_cross_polytope_dedup": op9_cross_polytope_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
 
