@@ -10,6 +10,7 @@ at the lower bound, or after ``max_nodes`` nodes with the best solution found.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 #: A filling, largest size first, and how many bins have it.
@@ -19,19 +20,23 @@ Pattern = tuple[tuple[int, ...], int]
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Best-fit decreasing; bins that are filled alike are handled together."""
     open_: dict[int, list[list]] = {}  # room left -> [[sizes, bins], ...]
+    rooms: list[int] = []  # the keys of open_, ascending
     full: list[Pattern] = []
 
     def put(sizes: tuple[int, ...], bins: int, room: int) -> None:
         if room == 0:
             full.append((sizes, bins))
         else:
-            open_.setdefault(room, []).append([sizes, bins])
+            if room not in open_:
+                insort(rooms, room)
+                open_[room] = []
+            open_[room].append([sizes, bins])
 
     for size in sorted(counts, reverse=True):
         left = counts[size]
         while left:
-            room = min((r for r in open_ if r >= size), default=None)
-            if room is None:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
                 per_bin = capacity // size
                 whole, rest = divmod(left, per_bin)
                 if whole:
@@ -39,6 +44,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
                 if rest:
                     put((size,) * rest, 1, capacity - size * rest)
                 break
+            room = rooms[at]
             group = open_[room][-1]
             # as many of this size as the room takes, bin by bin
             per_bin = room // size
@@ -49,7 +55,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
             if not group[1]:
                 open_[room].pop()
                 if not open_[room]:
-                    del open_[room]
+                    del open_[room], rooms[at]
             left -= per_bin * whole
             put(group[0] + (size,) * per_bin, whole, room - size * per_bin)
     return full + [(g[0], g[1]) for groups in open_.values() for g in groups]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerscope.llm.wordbpe import WordBpe
+from offerscope.llm.wordbpe import WordBpe, worker_encoder
 
 #: Rows of a batch are encoded in groups of about so many characters.
 GROUP_CHARS = 2_000_000
@@ -59,7 +59,7 @@ def map_encodings(
     n_keep = len(keep)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordBpe(file.value)
+        encoder = worker_encoder(file.value)
         for batch in batches:
             at = 0
             for group in text_groups(batch.column(n_keep)):

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+import types
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -27,8 +29,8 @@ import numpy as np
 
 #: Symbols (bytes) up to which a word is encoded at once.
 LEAF = 64
-#: Words and chunks kept by a task before the cache is emptied (about 200 MB at most).
-CACHE_ENTRIES = 400_000
+#: Words and chunks kept by a worker before they are forgotten (about 200 MB at most).
+CACHE_ENTRIES = 600_000
 
 # The white space and the split pattern that the vocabulary file states.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -46,6 +48,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def worker_encoder(file: str) -> WordBpe:
+    """The encoder of ``file``, kept with its cache for the next task of this worker process."""
+    kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
+    mark = hash(file)
+    if getattr(kept, "mark", None) != mark:
+        kept.mark, kept.encoder = mark, WordBpe(file)
+    return kept.encoder
+
+
 class WordBpe:
     """Encoder for a vocabulary file of the ``tokenizers`` library of the word-end kind."""
 
