@@ -170,8 +170,9 @@ def identify(
     text: str = "text",
     keep: Sequence[str | Column] = ("doc_id",),
     size: int = PROFILE_SIZE,
+    names: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """``keep`` columns, lang_pred and score."""
+    """``keep`` columns, the language and 1 less its relative distance."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, known = NGrams(), Profiles(profiles, size)
@@ -183,9 +184,9 @@ def identify(
                     pa.array([name for name, _ in found], pa.string()),
                     pa.array([score for _, score in found], pa.float64()),
                 ],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                names=[*batch.schema.names[:-1], *names],
             )
 
     kept = docs.select(*keep)
-    schema = T.StructType([*kept.schema.fields]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    schema = T.StructType([*kept.schema.fields]).add(names[0], T.StringType()).add(names[1], T.DoubleType())
     return docs.select(*keep, F.col(text).alias("_whole_text")).mapInArrow(judge, schema)

@@ -212,7 +212,7 @@ def labelled_sample(
 ) -> tuple[list[bytes], list[int]]:
     """Texts (cut) and labels of up to ``rows`` labelled rows whose key is ``allowed``, chosen by a hash of the key."""
     chosen = (
-        labels.select(F.col(key).alias("_key"), F.col(target).cast("int").alias("_label"))
+        labels.select(F.col(key).cast("long").alias("_key"), F.col(target).cast("int").alias("_label"))
         .filter(F.col("_label").isin(0, 1))
         .filter(allowed("_key"))
         .select("_key", "_label")
@@ -226,7 +226,7 @@ def labelled_sample(
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["_key", "_label", "part"])
 
     # at most ``rows`` rows of two numbers, so the broadcast is bounded
-    joined = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "_key")
+    joined = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "_key")
     # repeated rows of a key must not lengthen the sample
     found = (
         joined.select("_key", "_label", "_text")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,7 +256,12 @@ def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_components(
+def row_hash(key: str, text: str) -> Column:
+    """A hash of key and text, by which narrow results find their rows again."""
+    return F.xxhash64(F.col(key), F.col(text).cast("binary"))
+
+
+def jaccard_classes(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
@@ -264,8 +269,11 @@ def jaccard_components(
     part: int = 75,
     whole: int = 100,
 ) -> DataFrame:
-    """key, n_shingles and component_id of every row; sets link from similarity part / whole on."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    """For every row: _key, _hash (``row_hash``), n (size of its set) and component (null for
+    an empty set); sets link from similarity part / whole on."""
+    rows = docs.select(
+        F.col(key).alias("_key"), row_hash(key, text).alias("_hash"), F.col(text).cast("binary").alias("_text")
+    )
     described = T.StructType(
         [
             T.StructField("_key", rows.schema["_key"].dataType),
@@ -275,12 +283,11 @@ def jaccard_components(
             T.StructField("keys", T.ArrayType(T.LongType())),
         ]
     )
-    text_hash = F.xxhash64("_text")
-    sets = stage(rows.select("_key", text_hash.alias("_hash"), "_text").mapInArrow(_describe(n), described), "sets")
+    sets = stage(rows.mapInArrow(_describe(n), described), "sets")
     classes = stage(
         sets.filter("n > 0")
         .groupBy("digest")
-        .agg(F.first(F.struct("_key", "_hash", "n", "keys")).alias("s"))
+        .agg(F.first(F.struct("_hash", "n", "keys")).alias("s"))
         .select(F.monotonically_increasing_id().alias("node"), "digest", "s.*"),
         "classes",
     )
@@ -291,12 +298,9 @@ def jaccard_components(
         in_bands.join(tiles.filter("leader < last").select("tile", "leader", "size"), "tile"), "tile-members"
     )
     wanted = members.groupBy("node").agg(F.min("leader").alias("leader"))
-    pointers = classes.select("node", F.col("_key").alias("_at"), F.col("_hash").alias("_at_hash")).join(wanted, "node")
-    hashed = rows.filter("_text IS NOT NULL").withColumn("_hash", text_hash)
+    pointers = classes.select("node", "_hash").join(wanted, "node")
     texts = stage(
-        hashed.join(pointers, (F.col("_hash") == F.col("_at_hash")) & F.col("_key").eqNullSafe(F.col("_at")))
-        .groupBy("node", "leader")
-        .agg(F.first("_text").alias("text")),
+        rows.select("_hash", "_text").join(pointers, "_hash").groupBy("node", "leader").agg(F.first("_text").alias("text")),
         "tile-texts",
     )
     nearest = texts.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -354,10 +358,27 @@ def jaccard_components(
         "digest", F.coalesce("component", "node").alias("component")
     )
 
-    numbered = sets.select("_key", "n", "digest").join(of_class, "digest", "left")
-    smallest = numbered.filter("n > 0").groupBy("component").agg(F.min("_key").alias("component_id"))
-    return numbered.join(smallest, "component", "left").select(
+    return sets.select("_key", "_hash", "n", "digest").join(of_class, "digest", "left").drop("digest")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """key, n_shingles and component_id of every row; options as in ``jaccard_classes``."""
+    rows = jaccard_classes(docs, key, text, **options)
+    smallest = rows.filter("n > 0").groupBy("component").agg(F.min("_key").alias("component_id"))
+    return rows.join(smallest, "component", "left").select(
         F.col("_key").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_key")).alias("component_id"),
     )
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The row of the smallest key of every component, and all rows without shingles; all
+    columns.  Rows of equal key and text are one row."""
+    rows = jaccard_classes(docs, key, text, **options)
+    first = rows.filter("n > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("_key").isNull().alias("last"), "_key", "_hash")).alias("kept")
+    )
+    kept = first.select(F.col("kept._hash").alias("_hash")).unionByName(rows.filter("n = 0").select("_hash"))
+    hashed = docs.withColumn("_hash", row_hash(key, text))
+    return hashed.join(kept, "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
