@@ -29,12 +29,14 @@ PROFILE_SIZE = 300
 #: Characters that are counted at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Stands for a gap in codes; no letter has this code point.
+GAP = 1
 
 Counts = tuple[np.ndarray, np.ndarray]
 
 
 class NGrams:
-    """Counts of n-grams as 63-bit codes: 21 bits a character, 0 for a gap between words."""
+    """Counts of n-grams as 63-bit codes: 21 bits a character, ``GAP`` for a gap between words."""
 
     def __init__(self, longest: int = 3):
         self.longest = longest
@@ -52,10 +54,10 @@ class NGrams:
     def codes(self, points: np.ndarray) -> np.ndarray:
         """Codes of all n-grams of letters with single gaps, of which at least one is a letter."""
         found = [points[points > 0]]
-        code = points
+        code = points = np.where(points > 0, points, GAP)
         for n in range(1, self.longest):
             code = code[:-1] | points[n:] << (21 * n)
-            found.append(code[code != 0])
+            found.append(code)
         return np.concatenate(found)
 
     def count(self, text: str) -> Counts:

@@ -38,6 +38,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 #: Separators that Python's split() takes for white space and the vocabulary does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
+#: The first code point without a meaning; below it all tables agree.
+FIRST_UNASSIGNED = "\u0378"
+
 NONE = np.int64(1 << 40)
 
 
@@ -63,6 +66,7 @@ class WordBpe:
     def __init__(self, file: str):
         import regex
 
+        self.file, self.library = file, None
         spec = json.loads(file)
         model = spec["model"]
         vocab = model["vocab"]
@@ -281,12 +285,23 @@ class WordBpe:
         # character by character: a final sigma is no special case
         return "".join([c.lower() for c in chunk]) if "Σ" in chunk else chunk.lower()
 
+    def _by_library(self, chunk: str) -> list[int]:
+        """For characters that this Python's Unicode tables do not know: the library has its own."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.file)
+        return self.library.encode(chunk, add_special_tokens=False).ids
+
     def _learn(self, chunks: Iterable[str]) -> None:
         """Put all of ``chunks`` into the cache."""
         known, words = self.of_chunk, self.of_word
         plain, plain_words, marks = [], [], []  # chunks of one word with or without a closing mark
         mixed: list[tuple[str, list[str | int]]] = []
         for chunk in chunks:
+            if not chunk.isascii() and max(chunk) >= FIRST_UNASSIGNED and any(unicodedata.category(c) == "Cn" for c in chunk):
+                known[chunk] = np.array(self._by_library(chunk), "<u4").tobytes()
+                continue
             normal = self._normal(chunk)
             if normal.isalpha():
                 plain.append(chunk)
