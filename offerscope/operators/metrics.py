@@ -21,7 +21,7 @@ from offerscope.functions.columns import (
     age_band,
     completable,
 )
-from offerscope.operators.attribution import HOT_ROWS, hot_customers, running_in_time
+from offerscope.operators.attribution import running_in_time
 from offerscope.operators.timeline import Measure
 
 
@@ -269,10 +269,6 @@ def send_rank(opps: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
     )
 
 
-def hot_senders(events: DataFrame, min_rows: int = HOT_ROWS) -> list[int]:
-    return hot_customers(events, min_rows)
-
-
 def first_vs_repeat(opps: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
     return rate_by(
         send_rank(opps.where(completable()), hot),

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerscope.functions import draws
 from offerscope.operators.metrics import completer_ticket
 from offerscope.operators.posterior import Arm, prior_arms, update_arms
 from offerscope.operators.quantiles import exact_quantiles
-from offerscope.operators.scoring import SEED, best_of, map_scores, thompson_scores
+from offerscope.operators.scoring import SEED, best_of, map_scores, scores_by_round, thompson_scores
 from offerscope.operators.timeline import Measure, running
 
 # The precisions compared by the sweep.
@@ -42,8 +42,15 @@ def arm_values(offers: DataFrame, events: DataFrame, opps: DataFrame) -> DataFra
     )
 
 
-def with_values(design: DataFrame, values: DataFrame) -> DataFrame:
-    return design.join(values.select("offer_id", "value"), "offer_id", "left")
+def with_values(design: DataFrame, values: Mapping[str, float]) -> DataFrame:
+    """The value of the logged offer, null for an unknown one.
+
+    The values are few and already checked, so they are a constant map: a join
+    would send the feature vectors to as many partitions as there are offers.
+    """
+    entries = [F.lit(x) for offer in sorted(values) for x in (offer, values[offer])]
+    known = F.create_map(*entries) if entries else F.expr("CAST(map() AS map<string, double>)")
+    return design.withColumn("value", F.try_element_at(known, F.col("offer_id")))
 
 
 def random_offer(offer_ids: Sequence[str], seed: int = SEED) -> Column:
@@ -176,19 +183,23 @@ def thompson_replay(
     n_features: int,
     precisions: Sequence[float] = (1.0,),
     seed: int = SEED,
+    history: list | None = None,
 ) -> tuple[DataFrame, dict[float, list[Arm]]]:
     """Replay of a policy that learns, one send round at a time.
 
     Offers go out in synchronised rounds and their outcomes arrive later, so a
     round is chosen with the posterior of the rounds before it, for all rows at
     once, and then updates it.  All precisions share each round's passes.
-    Returns one row per precision and round, and the final arms.
+    Returns one row per precision and round, and the final arms.  ``history`` gets
+    what each round was chosen with: (round, its draws' seed, arms by precision).
     """
     spark = design.sparkSession
     arms = {p: prior_arms(values, n_features, p) for p in precisions}
     rounds = [r["round_day"] for r in design.groupBy("round_day").count().orderBy("round_day").collect()]
     rows = []
     for number, day in enumerate(rounds):
+        if history is not None:
+            history.append((day, seed + number, dict(arms)))
         of_round = design.where(F.col("round_day").eqNullSafe(day))
         choices = {
             str(p): best_of(thompson_scores(arms[p], seed + number))["offer_id"] for p in precisions
@@ -220,6 +231,14 @@ def thompson_replay(
     return spark.createDataFrame(rows, schema), arms
 
 
+def learning_curve(by_round: DataFrame) -> DataFrame:
+    """The rounds of a learning replay with cumulative reward and value; a handful of rows."""
+    upto = Window.partitionBy("prior_precision").orderBy("round_day").rowsBetween(Window.unboundedPreceding, 0)
+    return by_round.select(
+        "*", F.sum("reward").over(upto).alias("cumulative_reward"), F.sum("gain").over(upto).alias("cumulative_value")
+    )
+
+
 def learning_summary(by_round: DataFrame, design: DataFrame) -> DataFrame:
     """Totals of a learning replay per prior precision."""
     n_total = design.agg(F.count(F.lit(1))).scalar()
@@ -390,6 +409,31 @@ def calibration(design: DataFrame, arms: Sequence[Arm]) -> DataFrame:
     )
 
 
+def optimality(design: DataFrame, arms: Sequence[Arm], names: Sequence[str]) -> DataFrame:
+    """What holds at the optimum of each response model, per offer and feature.
+
+    There the mean of p * x_j, plus the pull of the ridge w_j / n, equals the mean of
+    reward * x_j; the right-hand side does not depend on the model.
+    """
+    pull = F.create_map(*[F.lit(v) for a in arms for v in (a.offer_id, [m * q for m, q in zip(a.m, a.q)])])
+    own = F.filter(map_scores(arms), lambda s: s["offer_id"] == F.col("offer_id"))
+    each = (
+        design.where(F.col("offer_id").isin([a.offer_id for a in arms]))
+        .select("offer_id", "reward", F.get(own, F.lit(0))["p"].alias("p"), "x")
+        .select("offer_id", "reward", "p", F.posexplode("x").alias("at", "v"))
+    )
+    means = each.groupBy("offer_id", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("p") * F.col("v")).alias("fitted"), F.avg(F.col("reward") * F.col("v")).alias("observed")
+    )
+    return means.select(
+        "offer_id",
+        F.get(F.lit(list(names)), F.col("at")).alias("feature"),
+        "n",
+        (F.col("fitted") + F.get(F.try_element_at(pull, F.col("offer_id")), F.col("at")) / F.col("n")).alias("fitted"),
+        "observed",
+    )
+
+
 def calibration_deciles(design: DataFrame, arms: Sequence[Arm], accuracy: int = 10_000) -> DataFrame:
     """The same per offer and tenth of the predicted score."""
     scored = predicted(design, arms)

@@ -12,7 +12,6 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ MAX_STEP = 2.0
 LOGIT_BOUND = 35.0
 #: Models are small state held on the driver; more than this is a wrong key.
 MAX_MODELS = 10_000
+#: Tasks that add up packed sums before the driver does.
+TASK_GROUPS = 8
 
 ARM_SCHEMA = "offer_id string, value double, m array<double>, q array<double>"
 
@@ -84,15 +85,24 @@ def _pack(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     p = 1.0 / (1.0 + np.exp(-z))
     loss = np.logaddexp(0.0, z) - y * z
     hessian = (x * (p * (1 - p))[:, None]).T @ x
-    return np.concatenate([[len(y), y.sum(), loss.sum()], x.T @ (p - y), hessian.ravel()])
+    upper = hessian[np.triu_indices(len(w))]
+    return np.concatenate([[len(y), y.sum(), loss.sum()], x.T @ (p - y), upper])
 
 
 def _unpack(packed: np.ndarray, d: int) -> Sums:
-    return Sums(packed[0], packed[1], packed[2], packed[3 : 3 + d], packed[3 + d :].reshape(d, d))
+    hessian = np.zeros((d, d))
+    hessian[np.triu_indices(d)] = packed[3 + d :]
+    hessian = hessian + np.triu(hessian, 1).T
+    return Sums(packed[0], packed[1], packed[2], packed[3 : 3 + d], hessian)
 
 
 def newton_sums(rows: DataFrame, weights: Mapping[str, np.ndarray]) -> dict[str, Sums]:
-    """Add up gradient and Hessian of each model over ``rows`` (model, x, reward)."""
+    """Add up gradient and Hessian of each model over ``rows`` (model, x, reward).
+
+    Every task sends one packed row per model; groups of tasks are added up in Arrow
+    before the driver adds the groups.  Rows of a model without weights are left out: a send
+    of an offer that is not in the offer table says nothing about the others.
+    """
     d = len(next(iter(weights.values())))
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,24 +113,38 @@ def newton_sums(rows: DataFrame, weights: Mapping[str, np.ndarray]) -> dict[str,
             codes = batch.column("model").dictionary_encode()
             index = codes.indices.to_numpy(zero_copy_only=False)
             for code, model in enumerate(codes.dictionary.to_pylist()):
+                if model not in weights:
+                    continue
                 mine = index == code
                 part = _pack(x[mine], y[mine], weights[model])
                 total[model] = total[model] + part if model in total else part
+        yield from packed(total)
+
+    def packed(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if total:
-            long = pd.concat(
-                pd.DataFrame({"model": model, "position": np.arange(len(part)), "part": part})
-                for model, part in total.items()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "model": pa.array(list(total), pa.string()),
+                    "parts": pa.array(list(total.values()), pa.list_(pa.float64())),
+                }
             )
-            yield pa.RecordBatch.from_pandas(long, preserve_index=False)
-
-    parts = rows.select("model", "x", "reward").mapInArrow(per_partition, "model string, position long, part double")
-    summed = parts.groupBy("model", "position").agg(F.sum("part").alias("part")).toPandas()
-    out = {}
-    for model, group in summed.groupby("model"):
-        packed = np.zeros(3 + d + d * d)
-        packed[group["position"].to_numpy()] = group["part"].to_numpy()
-        out[model] = _unpack(packed, d)
-    return out
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for model, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = part.values.to_numpy()
+                total[model] = total[model] + part if model in total else part
+        yield from packed(total)
+
+    shape = "model string, parts array<double>"
+    parts = rows.select("model", "x", "reward").mapInArrow(per_partition, shape)
+    grouped = parts.repartition(TASK_GROUPS, "model", F.pmod(F.monotonically_increasing_id(), F.lit(TASK_GROUPS)))
+    out: dict[str, np.ndarray] = {}
+    for row in sorted(grouped.mapInArrow(added, shape).collect(), key=lambda r: (r["model"], r["parts"])):
+        part = np.array(row["parts"])
+        out[row["model"]] = out[row["model"]] + part if row["model"] in out else part
+    return {model: _unpack(part, d) for model, part in out.items()}
 
 
 def fit(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,23 +71,24 @@ def running(
         *[m.aggregate(m.value).alias(m.name) for m in measures]
     )
     carried = totals.select(*parts, *[m.aggregate(F.col(m.name)).over(across).alias(f"__{m.name}") for m in measures])
-    return within.join(carried, parts, "left").select(
+    # null keys are groups of their own, so they must meet their totals too
+    named = carried.select(*[F.col(p).alias(f"__at_{p}") for p in parts], *[f"__{m.name}" for m in measures])
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"__at_{p}")) for p in parts])
+    return within.join(named, same, "left").select(
         *df.columns,
         *[m.combine(F.col(m.name), F.col(f"__{m.name}")).alias(m.name) for m in measures],
     )
 
 
-def hot_keys(df: DataFrame, key: Column, min_rows: int, tracked: int = 10_000) -> list[int]:
+def hot_keys(df: DataFrame, key: Column, min_rows: int) -> list[int]:
     """Hashes of the keys that hold more than ``min_rows`` rows.
 
-    One pass over the key column with a sketch of fixed size and no shuffle by
-    key; at most a thousand numbers come back.  The list decides only how the
-    work is cut: a key missed or named without need changes no result.
+    An exact count with partial sums on the map side; of n rows at most
+    n / min_rows keys can come back.  The list decides only how the work is cut:
+    a key named without need changes no result.
     """
-    top = F.call_function("approx_top_k", F.xxhash64(key), F.lit(1000), F.lit(tracked))
-    row = df.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
-    floor = max(min_rows, row["n"] / 2000)
-    return sorted(item["item"] for item in row["top"] or [] if item["count"] > floor)
+    counts = df.groupBy(F.xxhash64(key).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["item"] for r in counts.where(F.col("n") > min_rows).select("item").collect())
 
 
 def is_hot(hot: Sequence[int], key: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerscope.functions.columns import GENDERS
-from offerscope.operators import attribution, cleaning, features, metrics, policies, posterior
+from offerscope.operators import attribution, cleaning, features, metrics, policies, posterior, quality
 from offerscope.session import stage, tune
 from offerscope.sources import files, fixtures
 
@@ -51,7 +51,8 @@ class Campaign:
 
     @cached_property
     def staged_events(self) -> DataFrame:
-        return stage(self.events, "events", ("event",), rebalance=False)
+        # sorted inside each task, so that the files' statistics prune kinds of events
+        return stage(self.events.sortWithinPartitions("event"), "events")
 
     @cached_property
     def hot(self) -> list[int]:
@@ -94,20 +95,35 @@ class Campaign:
     @cached_property
     def design(self) -> DataFrame:
         """Design rows with the value of a success of the logged offer, staged by round."""
-        spark = self.offers.sparkSession
-        values = posterior.arms_frame(spark, self.value_list)
+        numeric, _ = features.feature_columns(self.staged_contexts)
+        quality.require_no_nulls(self.staged_contexts, numeric)
         rows = features.design_matrix(self.staged_contexts, keep=policies.EXAMPLE_COLUMNS)
-        return stage(policies.with_values(rows, values), "design", ("round_day",))
+        return stage(policies.with_values(rows, self.values), "design", ("round_day",))
 
     @cached_property
     def arms(self) -> list[posterior.Arm]:
-        """Posterior of every offer after one closed-form step."""
+        """Posterior of every offer after one closed-form step, a check of the formulas only."""
         return posterior.first_step(self.design, self.values, self.n_features)
 
     @property
     def arms_table(self) -> DataFrame:
         return posterior.arms_frame(self.offers.sparkSession, self.arms)
 
+    @cached_property
+    def learning(self) -> tuple[DataFrame, list[posterior.Arm], list[tuple]]:
+        """The learning replay: its rounds, its final arms, and the arms each round was chosen with."""
+        history: list[tuple] = []
+        by_round, arms = policies.thompson_replay(self.design, self.values, self.n_features, history=history)
+        return by_round, arms[1.0], history
+
+    @property
+    def trained_arms(self) -> list[posterior.Arm]:
+        return self.learning[1]
+
+    @property
+    def trained_table(self) -> DataFrame:
+        return posterior.arms_frame(self.offers.sparkSession, self.trained_arms)
+
     @cached_property
     def response_models(self) -> list[posterior.Arm]:
         return posterior.fit_response_models(self.design, self.values, self.n_features)
@@ -119,10 +135,22 @@ class Campaign:
     @cached_property
     def offer_types(self) -> dict[str, str]:
         rows = self.offers.select("id", "offer_type").limit(posterior.MAX_MODELS + 1).collect()
+        if len(rows) > posterior.MAX_MODELS:
+            raise ValueError(f"more than {posterior.MAX_MODELS} offers")
         return {r["id"]: r["offer_type"] for r in rows}
 
-    def fixed_policies(self) -> dict:
-        """Policies that do not learn during the replay."""
+    def policies(self) -> dict:
+        """What is compared.  The policies that learn choose each round with arms that saw earlier rounds only."""
+        history = self.learning[2]
+        return {
+            "random": policies.random_offer(list(self.values)),
+            "fixed": F.lit(self.best_by_rate),
+            "greedy": policies.best_of(policies.scores_by_round(history, draw=False))["offer_id"],
+            "thompson": policies.best_of(policies.scores_by_round(history))["offer_id"],
+        }
+
+    def step_policies(self) -> dict:
+        """The same names with the closed-form arms, which saw all rounds: for checks of the formulas."""
         map_scores = policies.map_scores(self.arms)
         return {
             "random": policies.random_offer(list(self.values)),

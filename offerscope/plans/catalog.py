@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from offerscope.functions.columns import AGE_BANDS, COMPLETABLE_TYPES, age_band
 from offerscope.operators import features, metrics, policies, quality
-from offerscope.operators.posterior import arms_frame
 from offerscope.plans.campaign import Campaign
-from offerscope.session import new_staging_path
+from offerscope.session import new_staging_path, release_staged, staging_root, tune
+from offerscope.sources import files, fixtures
 from offerscope.sources.files import verified_write
 from offerscope.streaming import attribution as stream_ops
 
@@ -50,9 +50,29 @@ def run(name: str, campaign: Campaign) -> DataFrame:
     return comparable(_QUERIES[name](campaign))
 
 
+_SHARED: dict[tuple, Campaign] = {}
+
+
+def shared_campaign(spark: SparkSession, sf_dir: str) -> Campaign:
+    """One campaign for all queries of a session on a folder, as long as its input files stay the same."""
+    key = (spark.sparkContext.applicationId, staging_root(spark), sf_dir, fixtures.input_state(spark, sf_dir))
+    if key not in _SHARED:
+        for old in [k for k in _SHARED if k[:3] == key[:3] or k[0] != key[0]]:
+            del _SHARED[old]
+        _SHARED[key] = Campaign.from_parquet(spark, sf_dir)
+    tune(spark)
+    return _SHARED[key]
+
+
+def release(spark: SparkSession) -> int:
+    """Forget the shared campaigns and delete what they staged."""
+    _SHARED.clear()
+    return release_staged(spark)
+
+
 def queries() -> dict[str, Query]:
     def bind(name: str) -> Query:
-        return lambda spark, sf_dir: run(name, Campaign.from_parquet(spark, sf_dir))
+        return lambda spark, sf_dir: run(name, shared_campaign(spark, sf_dir))
 
     return {name: bind(name) for name in _QUERIES}
 
@@ -71,6 +91,20 @@ def sink_roundtrip(c: Campaign) -> DataFrame:
     )
 
 
+@query
+def json_roundtrip(c: Campaign) -> DataFrame:
+    """The raw tables written as JSON and read again with the declared schemas."""
+    folder = new_staging_path(c.offers.sparkSession, "json")
+    files.write_raw(c.raw, folder)
+    back = Campaign(files.read_raw(c.offers.sparkSession, folder))
+    counts = [
+        back.offers.agg(F.lit("offers").alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum("discount_value").alias("total")),
+        back.profile.agg(F.lit("profile").alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum("credit_card_limit").alias("total")),
+        back.events.agg(F.lit("transactions").alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")),
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query
 def profile_clean(c: Campaign) -> DataFrame:
     return c.profile
@@ -429,33 +463,34 @@ def replay_running(c: Campaign) -> DataFrame:
 
 @query
 def policy_summary(c: Campaign) -> DataFrame:
-    return policies.replay(c.design, c.fixed_policies())
+    return policies.replay(c.design, c.policies())
 
 
 @query
 def best_offer_by_value(c: Campaign) -> DataFrame:
-    return policies.best_offer_by_value(c.design, policies.map_scores(c.arms))
+    return policies.best_offer_by_value(c.design, policies.map_scores(c.response_models))
 
 
 @query
 def recommend(c: Campaign) -> DataFrame:
-    return policies.recommend(c.design, policies.map_scores(c.arms))
+    return policies.recommend(c.design, policies.map_scores(c.trained_arms))
 
 
 @query
 def top3_offers(c: Campaign) -> DataFrame:
-    return policies.recommend(c.design, policies.map_scores(c.arms), top=3)
+    return policies.recommend(c.design, policies.map_scores(c.trained_arms), top=3)
 
 
 @query
 def recommended_share(c: Campaign) -> DataFrame:
-    return policies.recommended_share(c.design, policies.map_scores(c.arms))
+    return policies.recommended_share(c.design, policies.map_scores(c.trained_arms))
 
 
 @query
 def policy_regret(c: Campaign) -> DataFrame:
-    scores = policies.map_scores(c.arms)
-    return policies.policy_regret(c.design, scores, {**c.fixed_policies(), "logged": F.col("offer_id")})
+    return policies.policy_regret(
+        c.design, policies.map_scores(c.trained_arms), {**c.policies(), "logged": F.col("offer_id")}
+    )
 
 
 @query
@@ -465,21 +500,75 @@ def historic_value(c: Campaign) -> DataFrame:
 
 @query
 def value_projection(c: Campaign) -> DataFrame:
-    return policies.value_projection(c.design, policies.replay(c.design, c.fixed_policies()))
+    return policies.value_projection(c.design, policies.replay(c.design, c.policies()))
 
 
 @query
 def top_weights(c: Campaign) -> DataFrame:
-    return policies.top_weights(c.arms_table, c.feature_names)
+    return policies.top_weights(c.trained_table, c.feature_names)
 
 
 @query
 def weight_table(c: Campaign) -> DataFrame:
-    return policies.weight_pivot(c.arms_table, c.feature_names, list(c.values))
+    return policies.weight_pivot(c.trained_table, c.feature_names, list(c.values))
 
 
 @query
 def example_customers(c: Campaign) -> DataFrame:
+    return policies.example_customers(c.design, policies.map_scores(c.trained_arms), c.offer_types)
+
+
+# -- the same formulas with closed-form arms, which SQL can compute too ------------------------------------
+
+
+@query
+def step_replay(c: Campaign) -> DataFrame:
+    return policies.replay(c.design, c.step_policies())
+
+
+@query
+def step_best_offer(c: Campaign) -> DataFrame:
+    return policies.best_offer_by_value(c.design, policies.map_scores(c.arms))
+
+
+@query
+def step_ranking(c: Campaign) -> DataFrame:
+    return policies.recommend(c.design, policies.map_scores(c.arms))
+
+
+@query
+def step_top3(c: Campaign) -> DataFrame:
+    return policies.recommend(c.design, policies.map_scores(c.arms), top=3)
+
+
+@query
+def step_share(c: Campaign) -> DataFrame:
+    return policies.recommended_share(c.design, policies.map_scores(c.arms))
+
+
+@query
+def step_regret(c: Campaign) -> DataFrame:
+    scores = policies.map_scores(c.arms)
+    return policies.policy_regret(c.design, scores, {**c.step_policies(), "logged": F.col("offer_id")})
+
+
+@query
+def step_projection(c: Campaign) -> DataFrame:
+    return policies.value_projection(c.design, policies.replay(c.design, c.step_policies()))
+
+
+@query
+def step_top_weights(c: Campaign) -> DataFrame:
+    return policies.top_weights(c.arms_table, c.feature_names)
+
+
+@query
+def step_weights(c: Campaign) -> DataFrame:
+    return policies.weight_pivot(c.arms_table, c.feature_names, list(c.values))
+
+
+@query
+def step_examples(c: Campaign) -> DataFrame:
     return policies.example_customers(c.design, policies.map_scores(c.arms), c.offer_types)
 
 
@@ -488,14 +577,17 @@ def example_customers(c: Campaign) -> DataFrame:
 
 @query
 def arm_posterior(c: Campaign) -> DataFrame:
-    _, arms = policies.thompson_replay(c.design, c.values, c.n_features)
-    return policies.weight_table(arms_frame(c.offers.sparkSession, arms[1.0]), c.feature_names)
+    return policies.weight_table(c.trained_table, c.feature_names)
 
 
 @query
 def replay_thompson(c: Campaign) -> DataFrame:
-    by_round, _ = policies.thompson_replay(c.design, c.values, c.n_features)
-    return policies.learning_summary(by_round, c.design)
+    return policies.learning_summary(c.learning[0], c.design)
+
+
+@query
+def replay_thompson_rounds(c: Campaign) -> DataFrame:
+    return policies.learning_curve(c.learning[0])
 
 
 @query
@@ -509,6 +601,11 @@ def calibration(c: Campaign) -> DataFrame:
     return policies.calibration(c.design, c.response_models)
 
 
+@query
+def response_optimality(c: Campaign) -> DataFrame:
+    return policies.optimality(c.design, c.response_models, c.feature_names)
+
+
 @query
 def calibration_deciles(c: Campaign) -> DataFrame:
     return policies.calibration_deciles(c.design, c.response_models)
@@ -516,8 +613,7 @@ def calibration_deciles(c: Campaign) -> DataFrame:
 
 @query
 def response_regret(c: Campaign) -> DataFrame:
-    scores = policies.map_scores(c.response_models)
-    return policies.policy_regret(c.design, scores, c.fixed_policies())
+    return policies.policy_regret(c.design, policies.map_scores(c.response_models), c.policies())
 
 
 # -- streams --------------------------------------------------------------------------------------------------

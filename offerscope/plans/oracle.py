@@ -63,8 +63,13 @@ def _ctes() -> list[tuple[str, str]]:
     z_list = ", ".join(f"CAST({z[c]} AS DOUBLE)" for c in NUMERIC)
     onehot = ", ".join(f"CAST(customer_gender = '{g}' AS INT)::DOUBLE" for g in GENDERS)
     first = f"CASE WHEN {COMPLETABLE} AND completed = 1 THEN customer_id END"
-    noise_key = f"concat_ws('|', opp_id, a.offer_id, '{SEED}')"
-    words = [WORD.format(key=noise_key, start=start) for start in (1, 9)]
+    salted = f"concat_ws('|', a.offer_id, '{SEED}')"
+    noise = f"""SELECT opp_id, a.offer_id, {', '.join(
+        f"xor({WORD.format(key='opp_id', start=at)}, {WORD.format(key=salted, start=at)})::UBIGINT AS {h}"
+        for h, at in (('h1', 1), ('h2', 9)))} FROM design CROSS JOIN arms a"""
+    for bits, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        noise = f"""SELECT opp_id, offer_id, {', '.join(
+            f"(xor({h}, {h} >> {bits}) * {factor}::UBIGINT) % 4294967296::UBIGINT AS {h}" for h in ('h1', 'h2'))} FROM ({noise})"""
     return [
         *duckdb_ctes(),
         (
@@ -230,14 +235,15 @@ def _ctes() -> list[tuple[str, str]]:
             "ranked",
             "SELECT *, row_number() OVER (PARTITION BY opp_id ORDER BY score DESC, offer_id) AS offer_rank FROM scores",
         ),
+        ("noise", noise),
         (
             "drawn",
-            f"""SELECT *, p * value AS score FROM (
-              SELECT opp_id, a.offer_id, a.value, 1 / (1 + exp(-greatest(-35, least(35, list_dot_product(m, x)
-                + sqrt(-2 * ln(({words[0]} + 0.5) / 4294967296.0)) * cos(2 * pi() * ({words[1]} + 0.5) / 4294967296.0)
+            """SELECT *, p * value AS score FROM (
+              SELECT design.opp_id, a.offer_id, a.value, 1 / (1 + exp(-greatest(-35, least(35, list_dot_product(m, x)
+                + sqrt(-2 * ln((h1 + 0.5) / 4294967296.0)) * cos(2 * pi() * (h2 + 0.5) / 4294967296.0)
                 * sqrt(list_dot_product(list_transform(x, lambda v: v * v),
                     list_transform(q, lambda v: CAST(1 AS DOUBLE) / v))))))) AS p
-              FROM design CROSS JOIN arms a)""",
+              FROM design CROSS JOIN arms a JOIN noise z ON z.opp_id = design.opp_id AND z.offer_id = a.offer_id)""",
         ),
         (
             "thompson",
@@ -274,7 +280,7 @@ def _ctes() -> list[tuple[str, str]]:
 
 
 #: Tables worth computing once inside a statement.
-_MATERIALIZED = {"tx", "sends", "opps", "contexts", "design", "arms", "scores", "ranked", "drawn", "choices", "flat"}
+_MATERIALIZED = {"tx", "sends", "opps", "contexts", "design", "arms", "scores", "ranked", "drawn", "noise", "choices", "flat"}
 
 
 def _with(select: str) -> str:
@@ -354,6 +360,9 @@ def _statements() -> dict[str, str]:
     return {
         "sink_roundtrip": """SELECT count(*) AS n_stored, count(DISTINCT round_day) AS n_rounds,
           CAST(sum(completed) AS BIGINT) AS n_completed FROM opps""",
+        "json_roundtrip": f"""SELECT 'offers' AS table_name, count(*) AS n, {r('sum(discount_value)', 'total')} FROM offers
+          UNION ALL SELECT 'profile', count(*), round(sum(credit_card_limit), 6) + 0.0 FROM profile
+          UNION ALL SELECT 'transactions', count(*), round(sum(amount), 6) + 0.0 FROM tx""",
         "profile_clean": """SELECT id, age, gender, credit_card_limit,
           CAST(registered_on_date AS VARCHAR) AS registered_on_date FROM profile""",
         "transactions_flat": f"""SELECT account_id, event, {r('t', 'time_since_test_start')}, offer_id,
@@ -517,16 +526,16 @@ def _statements() -> dict[str, str]:
         "replay_running": f"""SELECT policy, round_day, opp_id, reward, {r('gain')}, count(*) {upto} AS position,
           CAST(sum(reward) {upto} AS BIGINT) AS cumulative_reward, {r(f'sum(gain) {upto}', 'cumulative_value')}
           FROM ({kept})""",
-        "policy_summary": f"SELECT {summary} FROM replayed WHERE policy <> 'logged'",
-        "best_offer_by_value": f"""SELECT offer_id, {r('avg(p)', 'mean_p')}, {r('avg(score)', 'expected_value')}
+        "step_replay": f"SELECT {summary} FROM replayed WHERE policy <> 'logged'",
+        "step_best_offer": f"""SELECT offer_id, {r('avg(p)', 'mean_p')}, {r('avg(score)', 'expected_value')}
           FROM scores GROUP BY offer_id ORDER BY avg(score) DESC, offer_id LIMIT 1""",
-        "recommend": f"""SELECT opp_id, customer_id, CAST(offer_rank AS INT) AS offer_rank, offer_id, {r('p')},
+        "step_ranking": f"""SELECT opp_id, customer_id, CAST(offer_rank AS INT) AS offer_rank, offer_id, {r('p')},
           {r('score', 'expected_value')} FROM ranked""",
-        "top3_offers": f"""SELECT opp_id, customer_id, CAST(offer_rank AS INT) AS offer_rank, offer_id, {r('p')},
+        "step_top3": f"""SELECT opp_id, customer_id, CAST(offer_rank AS INT) AS offer_rank, offer_id, {r('p')},
           {r('score', 'expected_value')} FROM ranked WHERE offer_rank <= 3""",
-        "recommended_share": f"""SELECT offer_id, count(*) AS n, {r('count(*) / (SELECT count(*) FROM design)', 'share')}
+        "step_share": f"""SELECT offer_id, count(*) AS n, {r('count(*) / (SELECT count(*) FROM design)', 'share')}
           FROM ranked WHERE offer_rank = 1 GROUP BY offer_id""",
-        "policy_regret": f"""SELECT policy, CAST(part AS INT) AS part, count(*) AS n, {r('avg(best)', 'mean_best_value')},
+        "step_regret": f"""SELECT policy, CAST(part AS INT) AS part, count(*) AS n, {r('avg(best)', 'mean_best_value')},
           {r('avg(score)', 'mean_chosen_value')}, {r('avg(best - score)', 'mean_regret')}
           FROM (SELECT opp_id, ntile(8) OVER (ORDER BY round_day, opp_id) AS part FROM design)
           JOIN (SELECT opp_id, max(score) AS best FROM scores GROUP BY opp_id) USING (opp_id)
@@ -534,17 +543,17 @@ def _statements() -> dict[str, str]:
           GROUP BY policy, part""",
         "historic_value": f"""SELECT {r('avg(reward)', 'conversion_rate')}, {r('avg(reward * value)', 'value_per_contact')}
           FROM design""",
-        "value_projection": f"""SELECT policy, {rs('conversion_rate, value_per_contact')}, n_opportunities,
+        "step_projection": f"""SELECT policy, {rs('conversion_rate, value_per_contact')}, n_opportunities,
           {r('value_per_contact * n_opportunities', 'projected_value')} FROM (
             SELECT policy, conversion_rate, value_per_contact FROM replayed WHERE policy <> 'logged' UNION ALL
             SELECT 'historic', avg(reward), avg(reward * value) FROM design)
           CROSS JOIN (SELECT count(*) AS n_opportunities FROM design)""",
-        "top_weights": f"""SELECT feature, offer_id, {rs('weight, strength')} FROM {weights} AS weights
+        "step_top_weights": f"""SELECT feature, offer_id, {rs('weight, strength')} FROM {weights} AS weights
           JOIN ({strength.replace('FROM weights', f'FROM {weights} AS weights')}) USING (feature)""",
-        "weight_table": "SELECT feature, "
+        "step_weights": "SELECT feature, "
         + ", ".join(r(f"max(weight) FILTER (offer_id = 'offer_{i}')", f"offer_{i}") for i in range(10))
         + f" FROM {weights} AS weights GROUP BY feature",
-        "example_customers": " UNION ALL ".join(
+        "step_examples": " UNION ALL ".join(
             (
                 example(
                     "long_standing_and_engaged",
@@ -561,6 +570,9 @@ def _statements() -> dict[str, str]:
         ),
         "stream_attribution": f"""SELECT customer_id, offer_id, {rs('t_received, t_expires, t_viewed, t_completed')}
           FROM opps""",
+        # Both sides of the optimum's condition; "fitted" comes from the model in Spark, from the data here.
+        "response_optimality": f"""SELECT offer_id, feature, count(*) AS n, {r('avg(reward * v)', 'fitted')},
+          {r('avg(reward * v)', 'observed')} FROM flat JOIN {feature_list} USING (j) GROUP BY offer_id, feature""",
         # At the optimum of a model with a free intercept the mean prediction is the observed rate.
         "calibration": f"""SELECT offer_id, {r('avg(reward)', 'predicted_avg')}, {r('avg(reward)', 'real_rate')},
           count(*) AS n FROM contexts GROUP BY offer_id""",

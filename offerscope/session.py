@@ -55,11 +55,14 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
-def new_staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/offerscope/{name}-{uuid.uuid4().hex}"
+_STAGED: list[str] = []
 
 
-_STAGED: list[str] = []
+def new_staging_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder; ``release_staged`` deletes it."""
+    path = f"{staging_root(spark)}/offerscope/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def stage(
@@ -73,7 +76,6 @@ def stage(
     """
     spark = df.sparkSession
     path = new_staging_path(spark, name)
-    _STAGED.append(path)
     laid_out = df.hint("rebalance", *partition_by) if partition_by and rebalance else df
     laid_out.write.partitionBy(*partition_by).parquet(path)
     columns = [c for c in df.columns if c not in partition_by] + list(partition_by)

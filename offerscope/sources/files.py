@@ -37,6 +37,12 @@ def read_raw(spark: SparkSession, folder: str) -> RawTables:
     )
 
 
+def write_raw(raw: RawTables, folder: str) -> None:
+    """The raw tables as JSON lines, as ``read_raw`` takes them; null fields are left out."""
+    for name in ("offers", "profile", "transactions"):
+        getattr(raw, name).write.json(f"{folder}/{name}.json")
+
+
 def write_opportunities(
     opps: DataFrame, path: str, partition_by: str = "round_day", observation: Observation | None = None
 ) -> None:

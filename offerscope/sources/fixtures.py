@@ -9,19 +9,18 @@ from pyspark.sql import SparkSession
 
 from offerscope.sources.files import RawTables
 
-_CHANNEL_ITEMS = """CASE WHEN true THEN 'email' END, CASE WHEN p_partkey <> 9 THEN 'mobile' END,
-    CASE WHEN p_partkey NOT IN (2, 5) THEN 'web' END,
-    CASE WHEN p_partkey IN (0, 2, 3, 6, 7, 8) THEN 'social' END"""
+_CHANNEL_ITEMS = """CASE WHEN true THEN 'email' END, CASE WHEN k <> 9 THEN 'mobile' END,
+    CASE WHEN k NOT IN (2, 5) THEN 'web' END,
+    CASE WHEN k IN (0, 2, 3, 6, 7, 8) THEN 'social' END"""
 
 _OFFERS = """
-SELECT 'offer_' || CAST(p_partkey AS STRING) AS id,
-  CASE WHEN p_partkey % 5 = 2 THEN 'informational' WHEN p_partkey % 2 = 0 THEN 'bogo' ELSE 'discount' END AS offer_type,
-  CAST(3 + p_size % 8 AS DOUBLE) AS duration,
-  CAST(CASE WHEN p_partkey % 5 = 2 THEN 0 ELSE 5 + 5 * (p_partkey % 4) END AS DOUBLE) AS min_value,
-  CAST(CASE WHEN p_partkey % 5 = 2 THEN 0 WHEN p_partkey % 2 = 0 THEN 5 + 5 * (p_partkey % 4)
-    ELSE 2 + p_partkey % 4 END AS DOUBLE) AS discount_value,
+SELECT 'offer_' || CAST(k AS STRING) AS id,
+  CASE WHEN k % 5 = 2 THEN 'informational' WHEN k % 2 = 0 THEN 'bogo' ELSE 'discount' END AS offer_type,
+  CAST(3 + size % 8 AS DOUBLE) AS duration,
+  CAST(CASE WHEN k % 5 = 2 THEN 0 ELSE 5 + 5 * (k % 4) END AS DOUBLE) AS min_value,
+  CAST(CASE WHEN k % 5 = 2 THEN 0 WHEN k % 2 = 0 THEN 5 + 5 * (k % 4) ELSE 2 + k % 4 END AS DOUBLE) AS discount_value,
   <channels> AS channels
-FROM <part> WHERE p_partkey < 10
+FROM (SELECT p_partkey % 10 AS k, sum(p_size) AS size FROM <part> GROUP BY p_partkey % 10) AS p
 """
 
 _PROFILE = """
@@ -41,20 +40,21 @@ _TRANSACTIONS = """
 WITH e AS (
   SELECT event_id, CAST(user_id AS STRING) AS account_id, event_type, value AS v,
     'offer_' || CAST(<k> % 10 AS STRING) AS oid, <t_us> AS raw_us
-  FROM <events> WHERE event_type <> 'error'),
+  FROM <events>),
 x AS (
   SELECT e.*, o.offer_type, o.discount_value,
     CASE WHEN event_type <> 'signup' THEN raw_us
       ELSE 86400000000 * CASE WHEN raw_us >= 24 * 86400000000 THEN 24 WHEN raw_us >= 21 * 86400000000 THEN 21
         WHEN raw_us >= 17 * 86400000000 THEN 17 WHEN raw_us >= 14 * 86400000000 THEN 14
         WHEN raw_us >= 7 * 86400000000 THEN 7 ELSE 0 END END AS t_us
-  FROM e JOIN <offers> o ON o.id = e.oid)
+  FROM e LEFT JOIN <offers> o ON o.id = e.oid)
 SELECT account_id,
   CASE event_type WHEN 'signup' THEN 'offer received' WHEN 'view' THEN 'offer viewed'
-    WHEN 'click' THEN 'offer completed' ELSE 'transaction' END AS event,
+    WHEN 'click' THEN CASE WHEN offer_type = 'informational' THEN 'offer clicked' ELSE 'offer completed' END
+    WHEN 'purchase' THEN 'transaction' ELSE event_type END AS event,
   t_us / CAST(86400000000 AS DOUBLE) AS time_since_test_start,
   <value>
-FROM x WHERE NOT (event_type = 'click' AND offer_type = 'informational')
+FROM x
 """
 
 _VALUE_FIELDS = {
@@ -71,11 +71,23 @@ def _fill(text: str, **parts: str) -> str:
     return text
 
 
+TABLES = ("part", "customer", "orders", "events")
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of the input files, to tell whether they are still the same."""
+    state = []
+    for name in TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in sorted(system.listStatus(path), key=lambda s: s.getPath().toString()):
+            state.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(state)
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     """Offers, profile and transactions read from the parquet files in ``sf_dir``."""
-    source = {
-        name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("part", "customer", "orders", "events")
-    }
+    source = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
     offers = spark.sql(
         _fill(_OFFERS, channels=f"array_compact(array({_CHANNEL_ITEMS}))", part="{part}"), part=source["part"]
     )

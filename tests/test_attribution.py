@@ -2,7 +2,7 @@ import small
 from pyspark.sql import functions as F
 from small import done, paid, seen, sent
 
-from offerscope.operators import attribution, cleaning, metrics, quality
+from offerscope.operators import attribution, cleaning, features, metrics, quality
 from offerscope.operators.timeline import Measure, hot_keys, running
 
 
@@ -91,6 +91,25 @@ def test_cutting_hot_customers_changes_nothing(spark, campaign):
     assert small.rows(metrics.send_rank(cut, everybody)) == small.rows(metrics.send_rank(campaign.opps))
 
 
+def test_cutting_customers_with_null_keys_changes_nothing(spark):
+    rows = [
+        *[sent(c, o, t) for c in ("a", None) for o in ("b", None, "gone") for t in (0.0, 7.0, 14.0)],
+        seen("a", "b", 8.0), seen("a", "gone", 8.0), done("a", "b", 9.0), paid("a", 9.0), paid(None, 9.0),
+    ]
+    events = cleaning.flatten_transactions(small.transactions(spark, rows))
+    offers, profile = small.offers(spark), cleaning.clean_profile(small.profile(spark))
+    everybody = hot_keys(events, F.col("account_id"), 1)
+    assert len(everybody) == 2
+    whole = attribution.opportunities(events, offers, profile, [])
+    cut = attribution.opportunities(events, offers, profile, everybody)
+    assert small.rows(cut) == small.rows(whole)
+    ranks = small.rows(metrics.send_rank(cut, everybody))
+    assert ranks == small.rows(metrics.send_rank(whole, []))
+    assert sorted(r[-1] for r in ranks) == sorted([1, 2, 3] * 6)
+    history = [small.rows(features.history(events, hot=hot)) for hot in ([], everybody)]
+    assert history[0] == history[1]
+
+
 def test_partitioning_changes_nothing(spark, campaign):
     shuffled = campaign.events.repartition(13, F.rand(7))
     again = attribution.opportunities(shuffled, campaign.offers, campaign.profile)

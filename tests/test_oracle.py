@@ -11,12 +11,24 @@ from conftest import SF_DIR
 
 TABLES = ("part", "customer", "orders", "events")
 SQL = oracle.oracle_sql()
+#: Rest on iterative fits or on the learning replay; compared with brute force in test_policies.
 WITHOUT_SQL = {
     "arm_posterior",
     "replay_thompson",
+    "replay_thompson_rounds",
     "prior_sweep",
     "calibration_deciles",
     "response_regret",
+    "policy_summary",
+    "best_offer_by_value",
+    "recommend",
+    "top3_offers",
+    "recommended_share",
+    "policy_regret",
+    "value_projection",
+    "top_weights",
+    "weight_table",
+    "example_customers",
 }
 
 

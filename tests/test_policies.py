@@ -1,10 +1,12 @@
+import hashlib
+
 import numpy as np
 import pytest
 import small
 from pyspark.sql import functions as F
 
 from offerscope.functions import draws
-from offerscope.operators import policies, posterior
+from offerscope.operators import policies, posterior, scoring
 from offerscope.operators.posterior import Arm, Model, fit
 
 
@@ -124,16 +126,16 @@ def test_learning_replay_equals_a_plain_loop(campaign):
         state = {o: (np.zeros(d), np.full(d, precision)) for o in values}
         days = sorted({r["round_day"] for r in design.select("round_day").distinct().collect()})
         for number, day in enumerate(days):
-            noise = [
-                draws.normal(F.concat_ws("|", "opp_id", F.lit(o), F.lit(str(policies.SEED + number)))).alias(o)
-                for o in sorted(values)
-            ]
-            rows = design.where(F.col("round_day") == day).select("offer_id", "x", "reward", *noise).collect()
+            salt = scoring.salts([f"{o}|{policies.SEED + number}" for o in sorted(values)])
+            rows = design.where(F.col("round_day") == day).select("opp_id", "offer_id", "x", "reward").collect()
             kept = []
             for r in rows:
                 x = np.array(r["x"])
+                digest = hashlib.md5(r["opp_id"].encode()).hexdigest()
+                words = (np.array([int(digest[at : at + 8], 16)]) for at in (0, 8))
+                noise = dict(zip(sorted(values), scoring.keyed_normals(*words, salt)[0]))
                 score = {
-                    o: values[o] / (1 + np.exp(-(m @ x + r[o] * np.sqrt((x**2 / q).sum())))) for o, (m, q) in state.items()
+                    o: values[o] / (1 + np.exp(-(m @ x + noise[o] * np.sqrt((x**2 / q).sum())))) for o, (m, q) in state.items()
                 }
                 if max(sorted(score), key=score.get) == r["offer_id"]:
                     kept.append((r["offer_id"], x, r["reward"]))
@@ -150,6 +152,64 @@ def test_learning_replay_equals_a_plain_loop(campaign):
             assert np.allclose(arm.m, state[arm.offer_id][0], atol=1e-5)
 
 
+def test_no_policy_is_scored_by_arms_that_saw_the_round(campaign):
+    """The arms of a round are those of a replay that ends before it."""
+    _, _, history = campaign.learning
+    for day, _, arms in history:
+        before = campaign.design.where(F.col("round_day") < F.lit(day))
+        _, expected = policies.thompson_replay(before, campaign.values, campaign.n_features)
+        for a, b in zip(arms[1.0], expected[1.0]):
+            assert a.offer_id == b.offer_id and np.allclose(a.m, b.m, atol=1e-9) and np.allclose(a.q, b.q, atol=1e-9)
+
+
+def test_thompson_row_of_the_comparison_is_the_learning_replay(campaign):
+    row = policies.replay(campaign.design, campaign.policies()).where("policy = 'thompson'").first()
+    total = campaign.learning[0].agg(F.sum("n_kept"), F.sum("reward"), F.sum("gain")).first()
+    assert row["n_kept"] == total[0]
+    assert abs(row["conversion_rate"] * total[0] - total[1]) < 1e-9
+    assert abs(row["value_per_contact"] * total[0] - total[2]) < 1e-6
+
+
+def test_recommendations_are_those_of_the_trained_arms(campaign):
+    arms = campaign.trained_arms
+    rows = {r["opp_id"]: r["x"] for r in campaign.design.select("opp_id", "x").collect()}
+    ranked = policies.recommend(campaign.design, policies.map_scores(arms)).collect()
+    by_row = {}
+    for r in ranked:
+        by_row.setdefault(r["opp_id"], []).append(r)
+    assert set(by_row) == set(rows)
+    for opp_id, found in by_row.items():
+        score = {a.offer_id: a.value / (1 + np.exp(-np.dot(a.m, rows[opp_id]))) for a in arms}
+        expected = sorted(score, key=lambda o: (-score[o], o))
+        assert [r["offer_id"] for r in sorted(found, key=lambda r: r["offer_rank"])] == expected
+        assert all(abs(r["expected_value"] - score[r["offer_id"]]) < 1e-9 for r in found)
+    share = {r["offer_id"]: r["n"] for r in policies.recommended_share(campaign.design, policies.map_scores(arms)).collect()}
+    tops = [next(r["offer_id"] for r in found if r["offer_rank"] == 1) for found in by_row.values()]
+    assert share == {o: tops.count(o) for o in set(tops)}
+
+
+def test_rows_of_unknown_offers_are_left_out_of_fits(spark, campaign):
+    known = campaign.design.select(F.col("offer_id").alias("model"), "x", "reward")
+    unknown = known.limit(3).withColumn("model", F.lit("no such offer")).unionByName(
+        known.limit(1).withColumn("model", F.lit(None).cast("string"))
+    )
+    prior = posterior.prior_arms(campaign.values, campaign.n_features)
+    expected, found = (posterior.update_arms(rows, prior)[0] for rows in (known, known.unionByName(unknown)))
+    for a, b in zip(expected, found):
+        assert np.allclose(a.m, b.m, atol=1e-9)
+
+
+def test_values_need_no_join(campaign):
+    plan = policies.with_values(campaign.design.drop("value"), campaign.values)._jdf.queryExecution().optimizedPlan()
+    assert "Join" not in plan.toString()
+
+
+def test_only_candidates_are_chosen(spark):
+    arms = [Arm(o, v, (0.0,), (1.0,)) for o, v in (("a", 1.0), ("b", 3.0), ("c", 2.0))]
+    df = spark.createDataFrame([([1.0],)], "x array<double>")
+    assert df.select(policies.best_of(policies.map_scores(arms), ["a", "c"])["offer_id"]).first()[0] == "c"
+
+
 def test_deciles_cover_all_rows(campaign):
     by_decile = policies.calibration_deciles(campaign.design, campaign.response_models)
     assert by_decile.agg(F.sum("n")).first()[0] == campaign.design.count()
