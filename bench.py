@@ -1,7 +1,8 @@
 """Time the headline queries once each and print one JSON line.
 
 BENCH_SF_DIR names the folder of the test tables, BENCH_CPUS the local cores.
-Every result is produced in full, into a sink that discards it.
+Every result is produced in full, into a sink that discards it.  The queries of a session
+share one campaign, so the tables it stages are made by the first query that needs them.
 """
 
 from __future__ import annotations
@@ -70,6 +71,7 @@ def main() -> None:
             }
         )
     )
+    catalog.release(spark)
     spark.stop()
 
 

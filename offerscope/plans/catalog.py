@@ -624,7 +624,7 @@ def stream_attribution(c: Campaign) -> DataFrame:
     """The event log replayed as a stream of files, attributed as it arrives."""
     spark = c.offers.sparkSession
     source, output, checkpoint = (new_staging_path(spark, n) for n in ("stream", "attributed", "progress"))
-    c.events.repartitionByRange(4, "time_since_test_start").write.parquet(source)
+    c.events.repartitionByRange("time_since_test_start").write.parquet(source)
     events = stream_ops.event_stream(spark, source, c.events.schema, files_per_batch=2)
     stream_ops.run_to_files(stream_ops.attribute_stream(events, c.offers), output, checkpoint)
     return stream_ops.latest(spark.read.parquet(output))

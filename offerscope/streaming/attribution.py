@@ -101,10 +101,7 @@ def attribute_stream(events: DataFrame, offers: DataFrame, delay: str = "30 days
     t = F.col("time_since_test_start")
     keyed = (
         events.where(
-            F.col("event").isin(RECEIVED, VIEWED, COMPLETED)
-            & F.col("account_id").isNotNull()
-            & F.col("offer_id").isNotNull()
-            & t.isNotNull()
+            F.col("event").isin(RECEIVED, VIEWED, COMPLETED) & t.isNotNull()
         )
         .select(
             F.col("account_id").alias("customer_id"),
@@ -116,9 +113,15 @@ def attribute_stream(events: DataFrame, offers: DataFrame, delay: str = "30 days
         .withWatermark("at", delay)
     )
     terms = offer_terms(offers).select("offer_id", "duration")
+    # An event without customer or offer matches nothing: such a send gets a state of its
+    # own, by its time, from which no outcome can come.
+    known = F.col("customer_id").isNotNull() & F.col("offer_id").isNotNull()
+    lone = F.when(~known, F.col("t"))
     return (
-        keyed.join(terms, "offer_id", "left")
-        .groupBy("customer_id", "offer_id")
+        keyed.where(known | (F.col("event") == RECEIVED))
+        .join(terms, "offer_id", "left")
+        .withColumn("lone", lone)
+        .groupBy("customer_id", "offer_id", "lone")
         .applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
@@ -138,7 +141,8 @@ def run_to_files(stream: DataFrame, output: str, checkpoint: str) -> None:
 
 def latest(emitted: DataFrame) -> DataFrame:
     """The final outcome of every send emitted so far."""
-    return emitted.groupBy("customer_id", "offer_id", "t_received", "t_expires").agg(
+    ends = F.nanvl("t_expires", F.lit(None)).alias("t_expires")
+    return emitted.groupBy("customer_id", "offer_id", "t_received", ends).agg(
         F.min(F.nanvl("t_viewed", F.lit(None))).alias("t_viewed"),
         F.min(F.nanvl("t_completed", F.lit(None))).alias("t_completed"),
     )

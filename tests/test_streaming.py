@@ -44,6 +44,18 @@ def test_state_is_dropped_behind_the_watermark(spark, tmp_path):
     assert small.rows(found) == [("c1", "b", 1.0, 6.0, 2.0, None), ("c1", "b", 20.0, 25.0, 21.0, None)]
 
 
+def test_sends_without_customer_or_offer_are_kept_without_outcome(spark, tmp_path):
+    batches = [
+        [sent(None, "b", 1.0), sent("c1", None, 2.0), seen(None, "b", 1.5), seen("c1", None, 3.0)],
+        [sent(None, "b", 1.0), sent(None, None, 4.0), done(None, "b", 2.0), sent("c1", "b", 5.0), seen("c1", "b", 6.0)],
+    ]
+    found = attributed(spark, tmp_path, batches, "30 days")
+    assert small.rows(found) == sorted(
+        [(None, "b", 1.0, 6.0, None, None), ("c1", None, 2.0, None, None, None), (None, None, 4.0, None, None, None), ("c1", "b", 5.0, 10.0, 6.0, None)],
+        key=repr,
+    )
+
+
 def test_online_posterior_equals_batches_in_turn(spark, campaign, tmp_path):
     outcomes = campaign.design.select("offer_id", "x", "reward", "round_day")
     source = str(tmp_path / "outcomes")
