@@ -14,11 +14,13 @@ from pyspark.sql import types as T
 
 from offerscope.functions.columns import AGE_BANDS, COMPLETABLE_TYPES, age_band
 from offerscope.operators import features, metrics, policies, quality
+from offerscope.operators.posterior import arms_frame, collect_arms, prior_arms
 from offerscope.plans.campaign import Campaign
 from offerscope.session import new_staging_path, release_staged, staging_root, tune
 from offerscope.sources import files, fixtures
 from offerscope.sources.files import verified_write
 from offerscope.streaming import attribution as stream_ops
+from offerscope.streaming import posterior as online
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Callable[[Campaign], DataFrame]] = {}
@@ -619,6 +621,22 @@ def response_regret(c: Campaign) -> DataFrame:
 # -- streams --------------------------------------------------------------------------------------------------
 
 
+@query
+def online_posterior(c: Campaign) -> DataFrame:
+    """The posterior updated as each round's outcomes arrive; the weights of its last version."""
+    spark = c.offers.sparkSession
+    source, table, progress = (new_staging_path(spark, n) for n in ("outcomes", "posterior", "progress"))
+    outcomes = c.design.select("offer_id", "x", "reward", "round_day")
+    prior = prior_arms(c.values, c.n_features)
+    days = [r["round_day"] for r in outcomes.select("round_day").distinct().orderBy("round_day").collect()]
+    for day in days:
+        outcomes.where(F.col("round_day").eqNullSafe(day)).write.mode("append").parquet(source)
+        stream = stream_ops.event_stream(spark, source, outcomes.schema, files_per_batch=1_000_000)
+        online.run_updates(stream, table, progress, prior)
+    arms = collect_arms(spark.read.parquet(online.version_path(table, len(days) - 1))) if days else prior
+    return policies.weight_table(arms_frame(spark, arms), c.feature_names)
+
+
 @query
 def stream_attribution(c: Campaign) -> DataFrame:
     """The event log replayed as a stream of files, attributed as it arrives."""

@@ -19,6 +19,7 @@ WITHOUT_SQL = {
     "prior_sweep",
     "calibration_deciles",
     "response_regret",
+    "online_posterior",
     "policy_summary",
     "best_offer_by_value",
     "recommend",

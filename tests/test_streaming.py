@@ -56,6 +56,20 @@ def test_sends_without_customer_or_offer_are_kept_without_outcome(spark, tmp_pat
     )
 
 
+def test_online_posterior_query_equals_rounds_in_turn(campaign):
+    from offerscope.plans import catalog
+
+    arms = posterior.prior_arms(campaign.values, campaign.n_features)
+    for day in sorted(r[0] for r in campaign.design.select("round_day").distinct().collect()):
+        rows = campaign.design.where(F.col("round_day") == day).select(F.col("offer_id").alias("model"), "x", "reward")
+        arms, _ = posterior.update_arms(rows, arms)
+    found = {(r["offer_id"], r["feature"]): r["weight"] for r in catalog.run("online_posterior", campaign).collect()}
+    assert len(found) == len(arms) * campaign.n_features
+    for a in arms:
+        for name, weight in zip(campaign.feature_names, a.m):
+            assert abs(found[a.offer_id, name] - weight) < 1e-5
+
+
 def test_online_posterior_equals_batches_in_turn(spark, campaign, tmp_path):
     outcomes = campaign.design.select("offer_id", "x", "reward", "round_day")
     source = str(tmp_path / "outcomes")
