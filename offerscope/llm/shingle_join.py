@@ -8,7 +8,9 @@
 3. Tiles whose classes are still in different components are cut into blocks, sorted by set
    size.  Block by block, size bounds and then the bits of hashed bitmaps bound the overlap
    from above: ``|A & B| <= (|A| + |B| - bits that differ) / 2``.
-4. Pairs that pass are verified by intersecting the sorted arrays, and added.
+4. Pairs that pass are verified by intersecting the sorted arrays, those of the best bounds
+   first.  What they connect is not compared again; the other pairs follow in later steps,
+   until none is left.
 
 Two sets with Jaccard similarity s share a tile unless all keys differ, (1 - s^2)^BANDS: 5e-15
 at 0.75, less above it.  Everything after that is exact; no bucket, partner or candidate is
@@ -38,7 +40,10 @@ from offerscope.llm.components import components
 from offerscope.session import stage
 
 BANDS = 40
-BLOCK = 256
+BLOCK = 1024
+#: Of the partners that a class may link with in a block, ranked by their bound, those
+#: up to these ranks are verified together; the last step takes all the rest.
+STEPS = (2, 16, 128, None)
 SEED = 11
 
 
@@ -201,16 +206,22 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _bound(part: int, whole: int):
-    """Sorted rows of tile, i, j, node, side, component, n, bits -> pairs whose bound lets them link."""
+def _bound(part: int, whole: int, low: int, high: int | None):
+    """Sorted rows of tile, i, j, node, side, component, now, n, bits -> pairs whose bound lets them link.
+
+    For each class its partners in other components are ranked by their bound; pairs of
+    the ranks from ``low`` to ``high`` come out, unless they are connected by ``now``.  A
+    tile with more ranks comes out as (tile, -1).
+    """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, 3):
             get = lambda name: table.column(name).to_numpy()
             order = np.argsort(get("n"), kind="stable")
-            node, side, component, n = (get(c)[order] for c in ("node", "side", "component", "n"))
-            if (component == component[0]).all():
+            node, side, component, now, n = (get(c)[order] for c in ("node", "side", "component", "now", "n"))
+            if (now == now[0]).all():
                 continue
+            more = False
             across = bool(get("i")[0] != get("j")[0])  # of two blocks: only between them
             bits = table.column("bits").to_pylist()
             bits = [np.frombuffer(bits[k], np.uint8) for k in order]
@@ -228,9 +239,17 @@ def _bound(part: int, whole: int):
                 theirs = np.stack([bits[o] if len(bits[o]) == len(mine) else fold(bits[o], log_bits) for o in others])
                 apart = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
                 overlap = (n[k] + n[others] - apart) // 2
-                good = others[whole * overlap >= part * (n[k] + n[others] - overlap)]
+                may = whole * overlap >= part * (n[k] + n[others] - overlap)
+                likeness = overlap[may] / (n[k] + n[others[may]] - overlap[may])
+                good = others[may][np.lexsort((node[others[may]], -likeness))]
+                more |= high is not None and len(good) > high
+                good = good[low:high]
+                good = good[now[good] != now[k]]
                 found_a += [node[k]] * len(good)
                 found_b += node[good].tolist()
+            if more:
+                found_a.append(get("tile")[0])
+                found_b.append(-1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"]
             )
@@ -256,6 +275,14 @@ def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until it is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_hash(key: str, text: str) -> Column:
     """A hash of key and text, by which narrow results find their rows again."""
     return F.xxhash64(F.col(key), F.col(text).cast("binary"))
@@ -313,7 +340,7 @@ def jaccard_classes(
 
     # tiles that still hold several components; of tiles with the same classes, one
     placed = members.join(first_roots, "node")
-    open_tiles = (
+    open_tiles = stage(
         placed.groupBy("tile")
         .agg(
             F.min("component").alias("low"),
@@ -324,36 +351,52 @@ def jaccard_classes(
         .filter("low < high")
         .groupBy("size", "sum")
         .agg(F.min("tile").alias("tile"))
-        .select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    in_blocks = (
-        placed.drop("size")
-        .join(open_tiles, "tile")
-        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "component"
-        )
+        .select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        "open-tiles",
     )
     sizes = classes.select("node", "n")
     sketches = stage(
         texts.select("node", "text").mapInArrow(_bitmaps(n), "node long, bits binary").join(sizes, "node"), "bitmaps"
     )
-    blocks = in_blocks.join(sketches, "node").select("tile", "i", "j", "node", "side", "component", "n", "bits")
-    pairs = (
-        blocks.repartition("tile", "i", "j")
-        .sortWithinPartitions("tile", "i", "j")
-        .mapInArrow(_bound(part, whole), "a long, b long")
-        .distinct()
-    )
-    more = stage(_with_texts(pairs, texts.select("node", "text")).mapInArrow(_verify(n, part, whole), "a long, b long"), "links")
-    joined = more.join(first_roots.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(
-        first_roots.select(F.col("node").alias("b"), F.col("component").alias("y")), "b"
-    )
-    second = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    roots_ = first_roots.join(
-        second.select(F.col("node").alias("component"), F.col("root").alias("top")), "component", "left"
-    ).select("node", F.coalesce("top", "component").alias("component"))
+    roots_ = first_roots.withColumn("now", F.col("component"))
+    low = 0
+    for high in STEPS:
+        in_blocks = (
+            members.select("tile", "node")
+            .join(open_tiles, "tile")
+            .withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side")
+        )
+        found = stage(
+            in_blocks.join(sketches.join(roots_, "node"), "node")
+            .select("tile", "i", "j", "node", "side", "component", "now", "n", "bits")
+            .repartition("tile", "i", "j")
+            .sortWithinPartitions("tile", "i", "j")
+            .mapInArrow(_bound(part, whole, low, high), "a long, b long")
+            .distinct(),
+            "bounded-pairs",
+        )
+        pairs = found.filter("b >= 0")
+        links = stage(
+            _with_texts(pairs, texts.select("node", "text")).mapInArrow(_verify(n, part, whole), "a long, b long"), "links"
+        )
+        now = roots_.select("node", "now")
+        met = links.join(now.select(F.col("node").alias("a"), F.col("now").alias("x")), "a").join(
+            now.select(F.col("node").alias("b"), F.col("now").alias("y")), "b"
+        )
+        merged = components(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots_ = stage(
+            roots_.join(merged.select(F.col("node").alias("now"), "root"), "now", "left").select(
+                "node", "component", F.coalesce("root", "now").alias("now")
+            ),
+            "roots",
+        )
+        open_tiles = stage(open_tiles.join(found.filter("b = -1").select(F.col("a").alias("tile")), "tile", "left_semi"), "open-tiles")
+        low = high
+        if open_tiles.isEmpty():
+            break
+    roots_ = roots_.select("node", F.col("now").alias("component"))
     of_class = classes.select("node", "digest").join(roots_, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component")
     )
@@ -380,5 +423,6 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.min(F.struct(F.col("_key").isNull().alias("last"), "_key", "_hash")).alias("kept")
     )
     kept = first.select(F.col("kept._hash").alias("_hash")).unionByName(rows.filter("n = 0").select("_hash"))
-    hashed = docs.withColumn("_hash", row_hash(key, text))
-    return hashed.join(kept, "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
+    mark = unused(docs, "_hash")
+    hashed = docs.withColumn(mark, row_hash(key, text))
+    return hashed.join(kept.withColumnRenamed("_hash", mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
