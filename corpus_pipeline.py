@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from offerscope.llm import language, packing, quality, secret_scan, shingle_join
 from offerscope.llm.queries import GOOD, SEQUENCE, remainder, table, word_vocabulary
+from offerscope.llm.shingle_join import unused
 from offerscope.session import stage
 
 #: Part of the largest possible distance that a document must fall short of for its nearest language.
@@ -29,15 +30,17 @@ MARK = "[SECRET]"
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     texts, marks = quality.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda key: remainder(key, 5) != 0)
-    scored = quality.score(docs, quality.train(texts, marks), keep=docs.columns, name="_quality")
-    return scored.filter(F.col("_quality") >= GOOD).drop("_quality")
+    name = unused(docs, "_quality")
+    scored = quality.score(docs, quality.train(texts, marks), keep=docs.columns, name=name)
+    return scored.filter(F.col(name) >= GOOD).drop(name)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language.learn(docs.filter(remainder("doc_id", 3) != 1))
-    judged = language.identify(docs, profiles, keep=docs.columns, names=("_language", "_likeness"))
-    kept = (F.col("_language") != language.UNKNOWN) & (F.col("_likeness") >= LEAST_LIKENESS)
-    return judged.filter(kept).drop("_language", "_likeness")
+    names = unused(docs, "_language"), unused(docs, "_likeness")
+    judged = language.identify(docs, profiles, keep=docs.columns, names=names)
+    kept = (F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_LIKENESS)
+    return judged.filter(kept).drop(*names)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,20 +48,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hashed = docs.withColumn("_hash", shingle_join.row_hash("doc_id", "text"))
-    spans = (
-        secret_scan.secret_spans(hashed, keep=["_hash"])
-        .filter(F.size("spans") > 0)
-        .withColumnRenamed("spans", "_spans")
-        .dropDuplicates(["_hash"])
+    mark, spans = unused(docs, "_hash"), unused(docs, "_spans")
+    hashed = docs.withColumn(mark, shingle_join.row_hash("doc_id", "text"))
+    found = (
+        secret_scan.secret_spans(hashed, keep=[mark])
+        .withColumnRenamed("spans", spans)
+        .filter(F.size(spans) > 0)
+        .dropDuplicates([mark])
     )
-    found = hashed.join(spans, "_hash", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        secret_scan.redacted(F.col("text"), F.col("_spans"), MARK)
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(
+        secret_scan.redacted(F.col("text"), F.col(spans), MARK)
     )
     return (
-        found.withColumn("text", clean)
-        .withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
+        hashed.join(found, mark, "left")
+        .withColumn("text", clean)
+        .withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
         .select(*docs.columns)
     )
 
