@@ -40,7 +40,7 @@ from offerscope.llm.components import components
 from offerscope.session import stage
 
 BANDS = 40
-BLOCK = 1024
+BLOCK = 4096
 #: Of the partners that a class may link with in a block, ranked by their bound, those
 #: up to these ranks are verified together; the last step takes all the rest.
 STEPS = (2, 16, 128, None)
@@ -120,7 +120,8 @@ def fold(bits: np.ndarray, log_bits: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    return max(6, int(2 * size - 1).bit_length())
+    """Logarithm of the bits of a set's map: 8 to 16 bits an element, so that few differences hide."""
+    return max(6, int(8 * size - 1).bit_length())
 
 
 def linked(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:

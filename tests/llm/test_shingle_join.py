@@ -109,7 +109,9 @@ def test_bounds_never_rule_out_a_link():
         assert len(np.intersect1d(a, b)) <= bound
 
 
-def test_components_of_chains_stars_and_rings(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components_of_chains_stars_and_rings(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
     rng.shuffle(edges)
