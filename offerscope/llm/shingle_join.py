@@ -393,7 +393,17 @@ def jaccard_classes(
             ),
             "roots",
         )
-        open_tiles = stage(open_tiles.join(found.filter("b = -1").select(F.col("a").alias("tile")), "tile", "left_semi"), "open-tiles")
+        # what has more ranks and is not connected by now goes on
+        ranked = open_tiles.join(found.filter("b = -1").select(F.col("a").alias("tile")), "tile", "left_semi")
+        apart = (
+            members.select("tile", "node")
+            .join(ranked, "tile")
+            .join(roots_.select("node", "now"), "node")
+            .groupBy("tile", "blocks")
+            .agg(F.min("now").alias("first"), F.max("now").alias("last"))
+            .filter("first < last")
+        )
+        open_tiles = stage(apart.select("tile", "blocks"), "open-tiles")
         low = high
         if open_tiles.isEmpty():
             break
