@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerscope.llm.bins import Pattern, bin_completion
+from offerscope.llm.bins import BUDGET, Pattern, bin_completion
 from offerscope.llm.bpe import map_encodings
 from offerscope.llm.sharding import number_slots
 from offerscope.llm.wordbpe import WordBpe
@@ -113,7 +113,7 @@ def pack(
     end_id: int = 0,
     text: str = "text",
     key: str = "doc_id",
-    max_nodes: int = 200,
+    budget: int = BUDGET,
 ) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = pieces(docs, vocabulary, capacity, end_id, text, [key])
@@ -122,5 +122,5 @@ def pack(
     rows = histogram.limit(capacity + 1).collect()
     if len(rows) > capacity:
         raise ValueError("more lengths than a sequence allows")
-    patterns = bin_completion({r["length"]: r["n"] for r in rows}, capacity, max_nodes)
+    patterns = bin_completion({r["length"]: r["n"] for r in rows}, capacity, budget)
     return assign(numbered.select(key, *PIECES.names, "number"), plan_rows(patterns))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import zlib
+from collections import Counter
 
 import cases
 import numpy as np
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from offerscope.llm import bpe, packing
-from offerscope.llm.bins import best_fit, bin_completion, bins_of, lower_bound
+from offerscope.llm.bins import Work, best_fit, bin_completion, bins_of, fillings, lower_bound
 from offerscope.llm.queries import word_vocabulary
 from offerscope.llm.wordbpe import LEAF, WordBpe
 
@@ -147,3 +149,25 @@ def test_bin_completion_finds_what_best_fit_misses():
         assert bins_of(bin_completion(counts, 20)) == optimum
         better += bins_of(best_fit(counts, 20)) > optimum
     assert better >= 0
+
+
+def test_bins_of_short_pieces_reach_the_bound():
+    for seed in (3, 5, 6, 12, 19):  # best-fit misses the bound on these
+        rng = random.Random(seed)
+        sizes = rng.sample(range(100, 301), rng.choice((4, 6, 8, 12, 20, 60, 201)))
+        counts = {s: rng.randint(1, 60) for s in sizes}
+        patterns = bin_completion(counts, 2048)
+        held = Counter()
+        for sizes, n in patterns:
+            assert sum(sizes) <= 2048
+            for s in sizes:
+                held[s] += n
+        assert held == counts
+        assert bins_of(patterns) == lower_bound(counts, 2048) < bins_of(best_fit(counts, 2048))
+
+
+def test_fillings_take_as_many_items_as_fit():
+    found = list(fillings({3: 9, 5: 1}, 24, 24, Work(10_000)))
+    assert found[0] == ((3,) * 8, 0) and ((5, *(3,) * 6), 1) in found
+    assert all(waste < 3 for _, waste in found)  # a 3 would fit
+    assert list(fillings({5: 1}, 4, 4, Work(100))) == [((), 4)]
