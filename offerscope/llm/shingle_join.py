@@ -13,7 +13,8 @@
    until none is left.
 
 Two sets with Jaccard similarity s share a tile unless all keys differ, (1 - s^2)^BANDS: 5e-15
-at 0.75, less above it.  Everything after that is exact; no bucket, partner or candidate is
+at 0.75, less above it.  Everything after that is exact, but for hashes: different tiles are
+told apart by 128 bits and more (``distinct_tiles``).  No bucket, partner or candidate is
 capped, and no pair inside a component is lost to the class result.
 
 Texts are shuffled once, to pick out those of classes that share a tile; after that only
@@ -289,6 +290,33 @@ def row_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text).cast("binary"))
 
 
+def distinct_tiles(placed: DataFrame) -> DataFrame:
+    """tile and size of the tiles of ``placed`` (tile, node, component) that hold several
+    components; of tiles with the same nodes, the smallest.
+
+    Tiles count as the same if they agree in size, least and greatest node and 128 bits: sums
+    of the halves of two hashes with different seeds.  The sums cannot overflow.
+    """
+    hashes = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
+    halves = [half for h in hashes for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    marks = ["size", "least", "greatest", *[f"sum{i}" for i in range(len(halves))]]
+    return (
+        placed.groupBy("tile")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count(F.lit(1)).alias("size"),
+            F.min("node").alias("least"),
+            F.max("node").alias("greatest"),
+            *[F.sum(half).alias(f"sum{i}") for i, half in enumerate(halves)],
+        )
+        .filter("low < high")
+        .groupBy(*marks)
+        .agg(F.min("tile").alias("tile"))
+        .select("tile", "size")
+    )
+
+
 def jaccard_classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -342,17 +370,7 @@ def jaccard_classes(
     # tiles that still hold several components; of tiles with the same classes, one
     placed = members.join(first_roots, "node")
     open_tiles = stage(
-        placed.groupBy("tile")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("size"),
-            F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"),
-        )
-        .filter("low < high")
-        .groupBy("size", "sum")
-        .agg(F.min("tile").alias("tile"))
-        .select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        distinct_tiles(placed).select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
         "open-tiles",
     )
     sizes = classes.select("node", "n")

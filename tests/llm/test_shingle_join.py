@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 from offerscope.llm import components, shingle_join
 
@@ -119,3 +120,19 @@ def test_components_of_chains_stars_and_rings(spark, monkeypatch, one_task):
     found = {r["node"]: r["root"] for r in components.components(df).collect()}
     assert found == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(400)}, **{2000 + i: 2000 for i in range(50)}}
     assert components.components(df.limit(0)).count() == 0
+
+
+def test_tiles_of_different_classes_are_kept_apart(spark):
+    """Pairs of nodes whose sums of 40 bits of one hash agree are still two tiles."""
+    hashed = spark.range(4000).select(F.xxhash64("id") % (1 << 40)).collect()
+    short = np.array([r[0] for r in hashed])
+    a, b = np.triu_indices(len(short), 1)
+    sums = short[a] + short[b]
+    order = np.argsort(sums)
+    same = np.flatnonzero(np.diff(sums[order]) == 0)
+    assert len(same)
+    for k in same[:5]:
+        pairs = [(tile, int(node)) for tile, at in enumerate(order[k : k + 2]) for node in (a[at], b[at])]
+        twice = [(2, node) for tile, node in pairs if tile == 0]
+        placed = spark.createDataFrame(pairs + twice, "tile long, node long").withColumn("component", F.col("node"))
+        assert sorted(map(tuple, shingle_join.distinct_tiles(placed).collect())) == [(0, 2), (1, 2)]
