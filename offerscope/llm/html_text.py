@@ -406,13 +406,18 @@ def learn(pages: Sequence[str], made: int = 400, seed: int = 4) -> Extractor:
 
 
 def training_pages(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = TRAIN_PAGES) -> list[str]:
-    """Pages to learn from: up to ``most``, none longer than ``TRAIN_CHARS``, chosen by a hash of the key."""
+    """Pages to learn from: up to ``most``, none longer than ``TRAIN_CHARS``, chosen by a hash of the key; one page of each key."""
     short = pages.select(F.col(key).alias("_key"), F.col(html).alias("_html")).filter(
         F.col("_key").isNotNull() & (F.char_length("_html") <= TRAIN_CHARS)
     )
     # keys first: each task would otherwise send its own best pages to the driver
-    keys = short.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(most).distinct()
-    chosen = short.join(F.broadcast(keys), "_key", "left_semi").orderBy(F.xxhash64("_key"), "_key", "_html").limit(most)
+    keys = short.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(most)
+    chosen = (
+        short.join(F.broadcast(keys), "_key", "left_semi")
+        .groupBy("_key")
+        .agg(F.min("_html").alias("_html"))
+        .orderBy(F.xxhash64("_key"), "_key")
+    )
     return [r["_html"] for r in chosen.collect()]
 
 

@@ -10,7 +10,7 @@ Filters start as byte strings drawn from the training texts and are then learnt
 rest by Adam; through a maximum only the window that won it is changed.
 
 A share of the training texts of label 1 is cut to a few words in each epoch, so that a short text is
-not taken for a poor one.  Learning takes at most ``TRAIN_ROWS`` labelled rows and ``TRAIN_CHUNKS`` chunks of each
+not taken for a poor one.  Learning takes at most ``TRAIN_ROWS`` labelled keys, each once, and ``TRAIN_CHUNKS`` chunks of each
 (spread evenly over the text), about 12 MB, so it fits the driver whatever the corpus.
 Scores always come from whole texts, in blocks of bounded size.
 
@@ -210,13 +210,20 @@ def labelled_sample(
     allowed: Callable[[str], Column],
     rows: int = TRAIN_ROWS,
 ) -> tuple[list[bytes], list[int]]:
-    """Texts (cut) and labels of up to ``rows`` labelled rows whose key is ``allowed``, chosen by a hash of the key."""
+    """Texts (cut) and labels of up to ``rows`` keys that are ``allowed``, labelled and in ``docs``, chosen by a hash of the key.
+
+    A key counts once, with the label that most of its rows have (0 if even) and the first of its texts.
+    """
+    present = docs.select(F.col(key).cast("long").alias("_key")).distinct()
     chosen = (
         labels.select(F.col(key).cast("long").alias("_key"), F.col(target).cast("int").alias("_label"))
         .filter(F.col("_label").isin(0, 1))
         .filter(allowed("_key"))
+        .groupBy("_key")
+        .agg((F.avg("_label") > 0.5).cast("int").alias("_label"))
+        .join(present, "_key", "left_semi")
         .select("_key", "_label")
-        .orderBy(F.xxhash64("_key"), "_key", "_label")
+        .orderBy(F.xxhash64("_key"), "_key")
         .limit(rows)
     )
 
@@ -227,12 +234,12 @@ def labelled_sample(
 
     # at most ``rows`` rows of two numbers, so the broadcast is bounded
     joined = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "_key")
-    # repeated rows of a key must not lengthen the sample
     found = (
         joined.select("_key", "_label", "_text")
         .mapInArrow(cut, "_key long, _label int, part binary")
-        .orderBy(F.xxhash64("_key"), "_key", "_label", "part")
-        .limit(rows)
+        .groupBy("_key", "_label")
+        .agg(F.min("part").alias("part"))
+        .orderBy(F.xxhash64("_key"), "_key")
         .collect()
     )
     return [bytes(r["part"]) for r in found], [r["_label"] for r in found]

@@ -94,3 +94,9 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 3) ^ (x[:, 3] > 5)).astype(float)
     trees = boosting.fit(x[:1500], y[:1500])
     assert ((trees.logits(x[1500:]) > 0) == y[1500:]).mean() > 0.98
+
+
+def test_training_pages_have_a_key_each(spark):
+    rows = [(i, f"<p>{i}</p>") for i in range(10)] + [(i, f"<p>{i} again</p>") for i in range(10) for _ in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert sorted(html_text.training_pages(pages, most=10)) == sorted(f"<p>{i} again</p>" for i in range(10))

@@ -69,3 +69,11 @@ def test_held_out_accuracy(spark):
     held = both[both.held_out]
     good = held[held.quality == 1]
     assert (held.predicted == held.quality).mean() > 0.9 and good.predicted.mean() > 0.97
+
+
+def test_repeated_and_foreign_keys_leave_the_sample_whole(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(7, "text 7")] * 60, "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(20)] + [(7, 1)] * 60 + [(i, 1) for i in range(1000, 1400)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    texts, marks = quality.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda key: F.lit(True), rows=20)
+    assert sorted(zip(texts, marks)) == sorted((f"text {i}".encode(), i % 2) for i in range(20))
