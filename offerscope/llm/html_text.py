@@ -122,7 +122,7 @@ class Reader(HTMLParser):
         if tag in ENDS_SAME:
             self._close(ENDS_SAME[tag], within=("ul", "ol", "dl", "table"))
         tokens = [t for name, value in attrs if name in ("class", "id", "role") and value for t in SPLIT_TOKENS.split(value.lower()) if len(t) > 1]
-        self.open.append(self._add(tag, tuple(dict.fromkeys(tokens))[:8]))
+        self.open.append(self._add(tag, tuple(dict.fromkeys(tokens))))
         self.link_depth = 0
 
     def handle_endtag(self, tag: str) -> None:

@@ -100,3 +100,12 @@ def test_training_pages_have_a_key_each(spark):
     rows = [(i, f"<p>{i}</p>") for i in range(10)] + [(i, f"<p>{i} again</p>") for i in range(10) for _ in range(50)]
     pages = spark.createDataFrame(rows, "page_id long, html string")
     assert sorted(html_text.training_pages(pages, most=10)) == sorted(f"<p>{i} again</p>" for i in range(10))
+
+
+def test_all_tokens_of_a_node_are_read():
+    names = "container mx auto px py max xl lg md sm wide sidebar"
+    page = html_text.read_page(f'<div class="{names}" role="complementary"><p>text</p></div>')
+    assert page.tokens[1] == (*names.split(), "complementary")
+    marked = html_text.read_page(f'<article><p>main</p><div class="{names}"><p>aside</p></div></article>')
+    label = html_text.marked_runs(marked)
+    assert [t for t, y in zip(marked.text, label) if y and t] == ["main"]
