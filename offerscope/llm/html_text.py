@@ -13,8 +13,8 @@ pass downward from the root reads off the runs to keep.
 
 Learning: up to ``TRAIN_PAGES`` pages of at most ``TRAIN_CHARS`` characters.  Those with
 semantic mark-up (article, main) are labelled by it; their runs are also set anew in other
-layouts (menus, notices, forms, sidebars, adverts, comments around or inside the text),
-where labels are known by construction.
+layouts (menus, notices, forms, sidebars, adverts, comments around or inside the text; whole
+pages in a form, or below a menu or form that is left open), where labels are known by construction.
 
 Defined results: a null or empty page, or one without text, gives an empty text; broken
 mark-up is read as far as it goes; repeated rows are read one by one; other columns are ignored.
@@ -46,13 +46,15 @@ RUN = "#text"
 GROUP_NODES = 8000
 
 # Elements that do not end a run of text, elements without an end tag,
-# elements that never hold main text, and those that mark it.
+# elements that never hold main text, those that seldom do but can be around all of it (``ruled_out``), and
+# those that mark it.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike"
     " strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style noscript template select button textarea svg iframe object form nav".split())
+NEVER = frozenset("head script style template select textarea svg".split())
+SELDOM = frozenset("noscript button iframe object form nav".split())
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav aside footer form header".split())
 ASIDE_TOKENS = frozenset(
@@ -254,11 +256,32 @@ LOGS = 4
 ONLY_POINTS = {c: None for c in range(128) if chr(c) not in ".,;:!?"}
 
 
+def ruled_out(page: Page) -> list[bool]:
+    """Nodes that hold no main text whatever the trees say.
+
+    A form, menu or the like is left to the trees if it is around an article, a main part, a
+    heading h1 or more than half of the page's text.
+    """
+    out = [tag in NEVER for tag in page.tag]
+    seldom = [i for i, tag in enumerate(page.tag) if tag in SELDOM]
+    if seldom:
+        chars = [len(t) for t in page.text]
+        main = [tag in MAIN or tag == "h1" for tag in page.tag]
+        for i in range(len(out) - 1, 0, -1):
+            p = page.parent[i]
+            chars[p] += chars[i]
+            main[p] = main[p] or main[i]
+        for i in seldom:
+            out[i] = not main[i] and 2 * chars[i] <= chars[0]
+    return out
+
+
 def keep_runs(page: Page, logits: np.ndarray) -> list[int]:
     """The runs of the most likely labelling without contradictions between ancestors and descendants."""
     best = logits.tolist()
+    out = ruled_out(page)
     for i in range(len(best) - 1, 0, -1):
-        if best[i] > 0 and page.tag[i] not in NEVER:
+        if best[i] > 0 and not out[i]:
             best[page.parent[i]] += best[i]
         else:
             best[i] = 0.0
@@ -300,14 +323,17 @@ class Extractor:
 def marked_runs(page: Page) -> np.ndarray | None:
     """1 for nodes whose subtree holds main text by the page's semantic mark-up; None if it has none."""
     n = len(page.tag)
-    inside, outside = np.zeros(n, bool), np.zeros(n, bool)
+    inside, outside, wrapped = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     label = np.zeros(n)
     for i in range(n):
         p = max(page.parent[i], 0)
-        aside = page.tag[i] in ASIDE | NEVER or bool(ASIDE_TOKENS & set(page.tokens[i]))
-        inside[i] = inside[p] or page.tag[i] in MAIN
+        tag = page.tag[i]
+        aside = tag in (ASIDE | NEVER) - SELDOM or bool(ASIDE_TOKENS & set(page.tokens[i]))
+        inside[i] = inside[p] or tag in MAIN
         outside[i] = outside[p] or aside
-        label[i] = page.tag[i] == RUN and inside[i] and not outside[i]
+        # main text that begins inside such an element is not ruled out by it
+        wrapped[i] = (wrapped[p] or tag in SELDOM) and tag not in MAIN
+        label[i] = tag == RUN and inside[i] and not outside[i] and not wrapped[i]
     if not inside.any():
         return None
     for i in range(n - 1, 0, -1):
@@ -331,6 +357,15 @@ LAYOUTS = {
     "share": ['div class="share"', 'div class="social"', 'ul class="sharing"', 'div class="tags"', 'div class="author-bio"'],
 }
 
+#: Elements around a whole page, and what they hold before it if they are left open.
+WRAPS = {
+    "form": lambda items, words: f"<p>{NO}{words(4)}</p>",
+    'form id="aspnetForm"': lambda items, words: f"<label>{NO}{words(2)}</label>",
+    "nav": lambda items, words: items(5),
+    "object": lambda items, words: NO + words(3),
+    "noscript": lambda items, words: NO + words(6),
+}
+
 
 def recomposed(rng: random.Random, texts: list[str], labels: str = YES) -> str:
     """A page in a random layout with main text drawn from ``texts``."""
@@ -368,7 +403,12 @@ def recomposed(rng: random.Random, texts: list[str], labels: str = YES) -> str:
     around = [other(r) for r in ("notice", "header", "menu", "ad") if rng.random() < 0.7]
     below = [other(r) for r in ("side", "share", "form", "comments", "ad", "footer") if rng.random() < 0.5]
     body = "".join([*around, main, *below])
-    return f"<html><body>{f'<div class=page>{body}</div>' if rng.random() < 0.4 else body}</body></html>"
+    body = f"<div class=page>{body}</div>" if rng.random() < 0.4 else body
+    drawn = rng.random()
+    if drawn < 0.2:  # all of it in one element, or below one that is left open
+        tag = rng.choice(tuple(WRAPS))
+        body = f"<{tag}>{body}</{tag.split()[0]}>" if drawn < 0.1 else f"<{tag}>{WRAPS[tag](items, words)}{body}"
+    return f"<html><body>{body}</body></html>"
 
 
 def known_runs(page: Page) -> np.ndarray:

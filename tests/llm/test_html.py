@@ -109,3 +109,15 @@ def test_all_tokens_of_a_node_are_read():
     marked = html_text.read_page(f'<article><p>main</p><div class="{names}"><p>aside</p></div></article>')
     label = html_text.marked_runs(marked)
     assert [t for t, y in zip(marked.text, label) if y and t] == ["main"]
+
+
+def test_whole_pages_inside_a_form_or_an_open_menu(pages, extractor):
+    wholes = pages.html.tolist()[:40]
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li></ul>'
+    for before, after in (("<form>", "</form>"), ("<form>", ""), ("<nav>" + menu, ""), ("<object>", "</object>")):
+        changed = [re.sub(r"<body>(.*)</body>", lambda m: f"<body>{before}{m[1]}{after}</body>", x, flags=re.S) for x in wholes]
+        assert changed != wholes
+        assert list(extractor.texts(changed)) == list(extractor.texts(wholes))
+    wrapped = html_text.read_page("<form><article><p>main</p><form>search</form><nav>menu</nav></article><p>end</p></form>")
+    label = html_text.marked_runs(wrapped)
+    assert [t for t, y in zip(wrapped.text, label) if y and t] == ["main"]
