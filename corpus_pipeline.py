@@ -4,7 +4,8 @@ Each stage works on all that its predecessor kept and is written as Parquet befo
 one reads it.  All stages but the last return the columns of documents.
 
 quality    documents that the quality network scores below 0.3 go
-language   documents without a letter, or far from every language's profile, go
+language   documents without a letter, or far from every language's profile (likeness below
+           0.3), go; if no row has a language to learn from, only those without a letter
 duplicates one document of each group of near copies stays, the one of the smallest id
 secrets    secrets are replaced by a mark; n_chars is counted anew; every document stays
 packing    documents become pieces placed in sequences of at most 2048 tokens
@@ -38,6 +39,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language.learn(docs.filter(remainder("doc_id", 3) != 1))
     names = unused(docs, "_language"), unused(docs, "_likeness")
+    if not profiles:  # nothing to be far from
+        return language.with_letters(docs)
     judged = language.identify(docs, profiles, keep=docs.columns, names=names)
     kept = (F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_LIKENESS)
     return judged.filter(kept).drop(*names)

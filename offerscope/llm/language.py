@@ -192,3 +192,16 @@ def identify(
     kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields]).add(names[0], T.StringType()).add(names[1], T.DoubleType())
     return docs.select(*keep, F.col(text).alias("_whole_text")).mapInArrow(judge, schema)
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, as the n-grams count letters."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = NGrams()
+        for batch in batches:
+            found = [len(grams.count(x.as_py() or "")[0]) > 0 for x in batch.column(batch.num_columns - 1)]
+            kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield kept.filter(pa.array(found, pa.bool_()))
+
+    return docs.select("*", F.col(text).alias("_whole_text")).mapInArrow(judge, docs.schema)

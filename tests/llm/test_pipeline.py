@@ -99,3 +99,11 @@ def test_run_gives_the_rows_of_the_stages(steps, spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == [
         "quality", "language", "duplicates", "secrets", "packing",
     ]
+
+
+def test_without_a_language_to_learn_from_texts_with_letters_stay(spark):
+    rows = [(1, "a clean text", None), (2, "", None), (3, None, None), (4, "12 34 !", None), (5, "noch ein Text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.known_language(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[4]]
