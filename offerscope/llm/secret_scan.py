@@ -5,7 +5,8 @@
    ``loose``) are candidates only.
 2. Each candidate's value is hashed, and the hashes are aggregated over the whole corpus
    by distinct repositories and distinct owners.
-3. A value held by ``example_owners`` owners or more is a widely copied example.  Of the
+3. A value held by ``example_owners`` owners or more is a widely copied example; the number
+   of repositories is reported only, since one owner's copies do not make a secret public.  Of the
    rest, values that look generated (digits and letters, enough different characters)
    are live-looking.  Wider candidates become spans only if they are live-looking.
 
