@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm import bpe, html_text, language, neardup, packing, quality, secret_scan, sharding, shingle_join, topk
+from offerscope.llm import (
+    bpe,
+    html_text,
+    language,
+    neardup,
+    packing,
+    prefix_trie,
+    quality,
+    secret_scan,
+    sharding,
+    shingle_join,
+    topk,
+)
 
 SHARDS = 8
 SEQUENCE = 2048
@@ -84,6 +96,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op11_block_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.share_beginnings(prefix_trie.number_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -96,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bin_completion_packing": op8_bin_completion_packing,
         "op9_cross_polytope_dedup": op9_cross_polytope_dedup,
         "op10_secret_scan": op10_secret_scan,
+        "op11_block_prefix_trie": op11_block_prefix_trie,
     }
 
 
