@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from offerscope.llm import (
     packing,
     prefix_trie,
     quality,
+    runs,
     secret_scan,
     sharding,
     shingle_join,
@@ -101,6 +104,22 @@ def op11_block_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, convs)
 
 
+def planted_period(decimal: bytes, n: int) -> np.ndarray | None:
+    """In one document of ten, the words from a place on repeat a stretch of themselves."""
+    h = zlib.crc32(decimal)
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
+def op12_octave_tile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -114,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_cross_polytope_dedup": op9_cross_polytope_dedup,
         "op10_secret_scan": op10_secret_scan,
         "op11_block_prefix_trie": op11_block_prefix_trie,
+        "op12_octave_tile_runs": op12_octave_tile_runs,
     }
 
 
