@@ -17,6 +17,7 @@ from offerscope.llm import (
     packing,
     prefix_trie,
     quality,
+    repeats,
     runs,
     secret_scan,
     sharding,
@@ -120,6 +121,11 @@ def op12_octave_tile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period)
 
 
+def op13_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -134,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scan": op10_secret_scan,
         "op11_block_prefix_trie": op11_block_prefix_trie,
         "op12_octave_tile_runs": op12_octave_tile_runs,
+        "op13_prefix_free_dedup": op13_prefix_free_dedup,
     }
 
 
