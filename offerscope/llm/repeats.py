@@ -12,17 +12,20 @@ The corpus is ordered by key, then by place in the text; matches never cross tex
 3. Dictionary.  A string that occurs twice has its trigger twice, so phrases whose trigger hash
    occurs once in the corpus leave first.  Of the rest the different phrases are the dictionary,
    each with its first place.  A phrase at a later place than its first is a repeat as a whole.
-4. Corpus order.  Where a trigger has several phrases, the suffixes of these dictionary phrases
-   are grouped by their first ``length`` bytes.  That is all of the suffix array's order that the law
-   asks for: such a group is one interval of suffixes with a common prefix of ``length``.  A
-   group's least place in the corpus order is its first; all others are repeats.
+4. Corpus order.  Where a trigger has several phrases, a suffix array of these dictionary phrases
+   (``suffix_array``) puts their suffixes in order; equal ones, which are those with a common
+   prefix of ``length`` bytes, keep the order of the parse, so that all but the first of an
+   interval are repeats.  Equal strings have one trigger, so each trigger's phrases are sorted on
+   their own.  A trigger with more than ``MANY`` phrases is not sorted by one task: its suffixes are
+   dealt out by a digest of those bytes, and the least place of each is its first.
 
 Only phrases with a repeated trigger are taken up, and only different ones are taken apart into
 suffixes, so highly repetitive text costs little.  Counts and first places are added up before
 they are shuffled; joins on hot triggers or phrases are ones that adaptive execution can split.
 A text is cut every ``CHUNK`` places, so memory is bounded; cuts only add phrases.
 
-Phrases are told apart by 64 bits of the trigger and 64 of a digest, suffixes by 128 of a digest.
+Phrases are told apart by 64 bits of the trigger and 64 of a digest, suffixes by their bytes
+(those of triggers with very many phrases by 128 bits of a digest).
 
 Defined results: a null or empty text has no bytes and its hash is that of nothing; a null key
 comes before all others; rows of one key count as one document with the same places, so that
@@ -32,6 +35,7 @@ an empty result; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -41,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerscope.llm.shingle_join import sorted_groups
 from offerscope.session import stage
 
 LENGTH = 100
@@ -48,6 +53,9 @@ LENGTH = 100
 WINDOW = 36
 #: Bytes judged at once.
 CHUNK = 1 << 17
+#: Phrases whose suffixes are sorted at once, and from how many on those of one trigger are dealt out.
+GROUP = 4096
+MANY = 1000
 #: Low bits of a hash that give way to its place when the least is looked for.
 PLACE = (1 << 20) - 1
 
@@ -157,33 +165,107 @@ def _phrases(length: int, window: int):
     return find
 
 
-SUFFIXES = "w1 long, w2 long, o long, r long, place long"
+PIECES = "t long, many boolean, o long, r long, place long, strings int, phrase binary"
 
 
-def _suffixes(length: int):
-    """o, r, text, wanted phrases -> digests of the first ``length`` bytes of their suffixes."""
+def _cut_phrases(length: int):
+    """o, r, text, wanted phrases -> those phrases with their bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            o, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
             for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
-                places = [
-                    k for p in batch.column(3)[i].as_py() for k in range(p["place"], p["place"] + p["strings"])
-                ]
-                for at in range(0, len(places), CHUNK):
-                    part = places[at : at + CHUNK]
-                    words = b"".join([hashlib.blake2b(text[k : k + length], digest_size=16).digest() for k in part])
-                    words = np.frombuffer(words, np.int64).reshape(-1, 2)
-                    columns = [words[:, 0], words[:, 1], np.full(len(part), o[i]), np.full(len(part), r[i]), np.array(part)]
+                o, r, text, wanted = (batch.column(c)[i].as_py() for c in range(4))
+                for at in range(0, len(wanted), CHUNK // length):
+                    part = wanted[at : at + CHUNK // length]
+                    phrases = [text[p["place"] : p["place"] + p["strings"] + length - 1] for p in part]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns],
-                        names=["w1", "w2", "o", "r", "place"],
+                        [
+                            pa.array([p["t"] for p in part], pa.int64()),
+                            pa.array([p["many"] for p in part], pa.bool_()),
+                            pa.array([o] * len(part), pa.int64()),
+                            pa.array([r] * len(part), pa.int64()),
+                            pa.array([p["place"] for p in part], pa.int64()),
+                            pa.array([p["strings"] for p in part], pa.int32()),
+                            pa.array(phrases, pa.binary()),
+                        ],
+                        names=["t", "many", "o", "r", "place", "strings", "phrase"],
                     )
 
     return make
 
 
+def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``starts`` by their first ``length`` bytes, equal ones in the order
+    given; and where in it a new string begins."""
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts])
+    strings = windows.view(f"V{length}").ravel()
+    order = np.argsort(strings, kind="stable")
+    ordered = strings[order]
+    return order, np.r_[True, ordered[1:] != ordered[:-1]]
+
+
+def _later_suffixes(length: int):
+    """Phrases sorted by trigger, then corpus order -> o, r, start, stop of suffixes that came earlier.
+
+    Phrases of one trigger are taken together, as many triggers at a time as make ``GROUP`` phrases.
+    """
+
+    def spans(table: pa.Table) -> pa.RecordBatch:
+        get = lambda name: table.column(name).to_numpy()
+        strings = get("strings").astype(np.int64)
+        data = np.frombuffer(b"".join(table.column("phrase").to_pylist()), np.uint8)
+        phrase = np.repeat(np.arange(len(strings)), strings)
+        inside = np.arange(len(phrase)) - np.repeat(np.cumsum(strings) - strings, strings)
+        begins = np.cumsum(strings + length - 1) - (strings + length - 1)
+        order, new = suffix_array(data, begins[phrase] + inside, length)
+        o, place = get("o")[phrase], get("place")[phrase] + inside
+        first = order[np.flatnonzero(new)][new.cumsum() - 1]
+        later = np.sort(order[(o[order] != o[first]) | (place[order] != place[first])])
+        start = place[later]
+        # neighbours in one phrase are one span
+        edge = np.r_[True, (phrase[later][1:] != phrase[later][:-1]) | (start[1:] != start[:-1] + 1)][: len(later)]
+        at = np.flatnonzero(edge)
+        stop = start[np.r_[at[1:], len(later)][: len(at)] - 1] + length
+        rows = phrase[later][at]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in (get("o")[rows], get("r")[rows], start[at], stop)],
+            names=["o", "r", "start", "stop"],
+        )
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for group in sorted_groups(batches, 1):
+            held.append(group)
+            if sum(g.num_rows for g in held) >= GROUP:
+                yield spans(pa.concat_tables(held))
+                held = []
+        if held:
+            yield spans(pa.concat_tables(held))
+
+    return find
+
+
+SUFFIXES = "w1 long, w2 long, o long, r long, place long"
+
+
+def _suffixes(length: int):
+    """Phrases -> digests of the first ``length`` bytes of their suffixes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                o, r, place, strings, phrase = (batch.column(c)[i].as_py() for c in range(2, 7))
+                words = b"".join([hashlib.blake2b(phrase[k : k + length], digest_size=16).digest() for k in range(strings)])
+                words = np.frombuffer(words, np.int64).reshape(-1, 2)
+                columns = [words[:, 0], words[:, 1], np.full(strings, o), np.full(strings, r), place + np.arange(strings)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns],
+                    names=["w1", "w2", "o", "r", "place"],
+                )
+
+    return make
+
+
 def kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """Bytes removed, removed runs, and what is left after ``spans`` (start, stop) have gone."""
     merged: list[list[int]] = []
@@ -213,14 +295,38 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """o, r, start, stop of repeated strings in ``rows`` (o: place in the corpus order, r: a hash of
-    the row, text: binary); touching and overlapping ones are left as they are."""
+def _free(spark) -> None:
+    """Shuffle files of steps that are over go when the driver's garbage does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _repeated_phrases(rows: DataFrame, length: int, window: int) -> DataFrame:
+    """All phrases whose trigger occurs more than once."""
     counted = rows.select("text").mapInArrow(_triggers(length, window), "t long, n long")
     repeated = stage(counted.groupBy("t").agg(F.sum("n").alias("n")).filter("n > 1").select("t"), "triggers")
-    hits = stage(
+    return stage(
         rows.select("o", "r", "text").mapInArrow(_phrases(length, window), PHRASES).join(repeated, "t"), "phrases"
     )
+
+
+def _pieces(rows: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
+    """The dictionary's phrases of triggers that have several, with their bytes."""
+    several = dictionary.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    wanted = (
+        dictionary.join(several.select("t", (F.col("n") > MANY).alias("many")), "t")
+        .groupBy("first.o", "first.r")
+        .agg(F.collect_list(F.struct("t", "many", "first.place", "strings")).alias("wanted"))
+    )
+    found = rows.join(wanted, ["o", "r"]).select("o", "r", "text", "wanted").mapInArrow(_cut_phrases(length), PIECES)
+    return stage(found, "dictionary-phrases")
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """o, r, start, stop of repeated strings in ``rows`` (o: place in the corpus order, r: a hash of
+    the row, text: binary); touching and overlapping ones are left as they are."""
+    hits = _repeated_phrases(rows, length, window)
+    _free(rows.sparkSession)
     place = F.struct("o", "place")
     dictionary = stage(
         hits.groupBy("t", "d", "strings").agg(
@@ -235,23 +341,23 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW)
         .filter(place > F.struct("first.o", "first.place"))
         .select("o", "r", F.col("place").alias("start"), (F.col("place") + F.col("strings") + length - 1).alias("stop"))
     )
-    # suffixes of phrases that share a trigger with others
-    several = dictionary.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t")
-    wanted = (
-        dictionary.join(several, "t")
-        .groupBy("first.o", "first.r")
-        .agg(F.collect_list(F.struct("first.place", "strings")).alias("wanted"))
-    )
-    suffixes = stage(
-        rows.join(wanted, ["o", "r"]).select("o", "r", "text", "wanted").mapInArrow(_suffixes(length), SUFFIXES), "suffixes"
+    pieces = _pieces(rows, dictionary, length)
+    _free(rows.sparkSession)
+    few = (
+        pieces.filter("NOT many")
+        .repartition("t")
+        .sortWithinPartitions("t", "o", "place")
+        .mapInArrow(_later_suffixes(length), "o long, r long, start long, stop long")
     )
+    # a trigger with very many phrases: their suffixes are dealt out by digest
+    suffixes = stage(pieces.filter("many").mapInArrow(_suffixes(length), SUFFIXES), "suffixes")
     intervals = suffixes.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     parts = (
         suffixes.join(intervals.filter("first < last").drop("last"), ["w1", "w2"])
         .filter(place > F.col("first"))
         .select("o", "r", F.col("place").alias("start"), (F.col("place") + length).alias("stop"))
     )
-    return whole.unionByName(parts)
+    return whole.unionByName(few).unionByName(parts)
 
 
 def without_repeats(

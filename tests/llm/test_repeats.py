@@ -53,9 +53,11 @@ def pages(seed, n=60):
     return docs + docs[:3]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_documents_equal_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "many"), [(1, 2), (2, 1000), (3, 4), (5, 1000)])
+def test_documents_equal_brute_force(spark, seed, many, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 500)
+    monkeypatch.setattr(repeats, "GROUP", 30)
+    monkeypatch.setattr(repeats, "MANY", many)
     docs = pages(seed)
     frame = cases.documents(spark, [(k, t, None, None) for k, t in docs]).repartition(5)
     assert found(frame) == brute_force(docs)
@@ -73,6 +75,16 @@ def test_odd_documents_and_extra_columns(spark):
     assert found(cases.empty(spark)) == []
 
 
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 3000, dtype=np.uint8)
+    starts = np.arange(len(data) - 7)
+    order, new = repeats.suffix_array(data, starts, 8)
+    strings = [bytes(data[s : s + 8]) for s in starts]
+    assert order.tolist() == sorted(range(len(strings)), key=lambda i: (strings[i], i))
+    assert new.sum() == len(set(strings))
+
+
 def test_a_passage_with_other_surroundings_in_each_document(spark):
     # one trigger, one string or a few, and as many phrases as documents
     rng = random.Random(9)
