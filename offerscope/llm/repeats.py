@@ -50,12 +50,12 @@ from offerscope.session import stage
 
 LENGTH = 100
 #: Bytes of the rolling hash.
-WINDOW = 36
+WINDOW = 20
 #: Bytes judged at once.
 CHUNK = 1 << 17
 #: Phrases whose suffixes are sorted at once, and from how many on those of one trigger are dealt out.
 GROUP = 4096
-MANY = 1000
+MANY = 10_000
 #: Low bits of a hash that give way to its place when the least is looked for.
 PLACE = (1 << 20) - 1
 
