@@ -211,12 +211,13 @@ def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of a, b, conv_id -> a, b, first id, ids joined by commas, ``PIECE`` bytes at most."""
     open_: tuple | None = None
     ids: list[str] = []
-    size = 0
+    pieces: list[tuple] = []
+    size = held = 0
 
-    def piece() -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array([x]) for x in (*open_, int(ids[0]))] + [pa.array([",".join(ids).encode()], pa.binary())],
-            names=["a", "b", "first", "ids"],
+            [pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names=["a", "b", "first", "ids"]
         )
 
     for batch in batches:
@@ -227,16 +228,21 @@ def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if open_ != (int(a[at]), int(b[at])):
                 if open_:
-                    yield piece()
+                    pieces.append((*open_, int(ids[0]), ",".join(ids).encode()))
                 open_, ids, size = (int(a[at]), int(b[at])), [], 0
             for one in map(str, conv[at:stop].tolist()):
                 if size > PIECE:
-                    yield piece()
+                    pieces.append((*open_, int(ids[0]), ",".join(ids).encode()))
                     ids, size = [], 0
                 ids.append(one)
                 size += len(one) + 1
+                held += len(one) + 1
+            if held > 4 * PIECE and pieces:
+                yield out()
+                pieces, held = [], 0
     if open_:
-        yield piece()
+        pieces.append((*open_, int(ids[0]), ",".join(ids).encode()))
+        yield out()
 
 
 def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
