@@ -2,8 +2,8 @@
 concatenation for long unsplit text.
 
 A text is split at white space, then into words by the vocabulary's pattern; no merge
-crosses a word.  Words seen before come from a bounded cache.  New words are merged
-together: every round applies each word's lowest-ranked pair, leftmost first, to all
+crosses a word.  Words seen before come from a cache of bounded bytes that never takes up a
+long one.  New words are merged together: every round applies each word's lowest-ranked pair, leftmost first, to all
 words at once.
 
 A word longer than ``LEAF`` symbols (text without white space, digits or a change between
@@ -29,8 +29,11 @@ import numpy as np
 
 #: Symbols (bytes) up to which a word is encoded at once.
 LEAF = 64
-#: Words and chunks kept by a worker before they are forgotten (about 200 MB at most).
-CACHE_ENTRIES = 600_000
+#: Bytes of words and chunks, with their ids, that a worker keeps before it forgets them all, what an
+#: entry takes besides, and the characters beyond which one is never kept.
+CACHE_BYTES = 250_000_000
+ENTRY_BYTES = 250
+KEPT_CHARS = 256
 
 # The white space and the split pattern that the vocabulary file states.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -88,6 +91,7 @@ class WordBpe:
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.of_word: dict[str, bytes] = {}
         self.of_chunk: dict[str, bytes] = {}
+        self.held = 0
 
     # pairs of tokens -> rank, by an open-addressed table
 
@@ -293,52 +297,84 @@ class WordBpe:
             self.library = Tokenizer.from_str(self.file)
         return self.library.encode(chunk, add_special_tokens=False).ids
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Put all of ``chunks`` into the cache."""
+    def _parts(self, chunk: str, normal: str) -> list[str | int]:
+        """The words of a chunk, and the numbers of special strings in it."""
+        if not (self.special and "<" in chunk and (found := list(self.special.finditer(chunk)))):
+            return self.words.findall(normal)
+        parts: list[str | int] = []
+        at = 0
+        for m in found:
+            parts += [*self.words.findall(self._normal(chunk[at : m.start()])), self.specials[m[0]]]
+            at = m.end()
+        return parts + self.words.findall(self._normal(chunk[at:]))
+
+    def _unknown(self, chunk: str) -> bool:
+        return max(chunk) >= FIRST_UNASSIGNED and any(unicodedata.category(c) == "Cn" for c in chunk)
+
+    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """Put ``chunks`` into the cache; those too long for it are returned."""
         known, words = self.of_chunk, self.of_word
-        plain, plain_words, marks = [], [], []  # chunks of one word with or without a closing mark
-        mixed: list[tuple[str, list[str | int]]] = []
+        passing: dict[str, bytes] = {}
+        # chunks of one word, and of one word and a closing mark
+        plain: dict[str, tuple[list[str], list[str]]] = {m: ([], []) for m in ("", ",", ".")}
+        mixed, mixed_parts = [], []
+        size = 0
         for chunk in chunks:
-            if not chunk.isascii() and max(chunk) >= FIRST_UNASSIGNED and any(unicodedata.category(c) == "Cn" for c in chunk):
-                known[chunk] = np.array(self._by_library(chunk), "<u4").tobytes()
+            if chunk.isascii():
+                normal = chunk.lower()
+            elif self._unknown(chunk):
+                passing[chunk] = np.array(self._by_library(chunk), "<u4").tobytes()
+                continue
+            else:
+                normal = self._normal(chunk)
+            if len(chunk) > KEPT_CHARS:
+                passing[chunk] = self._encode_long(self._parts(chunk, normal))
                 continue
-            normal = self._normal(chunk)
+            size += len(chunk)
             if normal.isalpha():
-                plain.append(chunk)
-                plain_words.append(normal)
-                marks.append("")
+                of_one, own = plain[""]
             elif normal[-1:] in (",", ".") and normal[:-1].isalpha():
-                plain.append(chunk)
-                plain_words.append(normal[:-1])
-                marks.append(normal[-1])
-            elif self.special and "<" in chunk and (found := list(self.special.finditer(chunk))):
-                parts, at = [], 0
-                for m in found:
-                    parts += [*self.words.findall(self._normal(chunk[at : m.start()])), self.specials[m[0]]]
-                    at = m.end()
-                mixed.append((chunk, parts + self.words.findall(self._normal(chunk[at:]))))
+                of_one, own = plain[normal[-1]]
+                normal = normal[:-1]
             else:
-                mixed.append((chunk, self.words.findall(normal)))
-        new = set(plain_words)
-        new.update([w for _, parts in mixed for w in parts if isinstance(w, str)], (",", "."))
-        self._learn_words([w for w in new if w not in words])
-        marks_of = {"": b"", ",": words[","], ".": words["."]}
-        for chunk, word, mark in zip(plain, plain_words, marks):
-            known[chunk] = words[word] + marks_of[mark]
-        for chunk, parts in mixed:
-            known[chunk] = b"".join([words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts])
-
-    def _learn_words(self, new: list[str]) -> None:
+                mixed.append(chunk)
+                mixed_parts.append(self._parts(chunk, normal))
+                continue
+            of_one.append(chunk)
+            own.append(normal)
+        new = set(plain[""][1]).union(plain[","][1], plain["."][1], (",", "."))
+        new.update([w for parts in mixed_parts for w in parts if isinstance(w, str)])
+        fresh = self._encode_words(new - words.keys())
+        words.update(fresh)
+        before = len(known)
+        get = words.__getitem__
+        known.update(zip(plain[""][0], map(get, plain[""][1])))
+        for mark in (",", "."):
+            end = words[mark]
+            known.update({chunk: words[w] + end for chunk, w in zip(*plain[mark])})
+        for chunk, parts in zip(mixed, mixed_parts):
+            known[chunk] = b"".join([get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in parts])
+        self.held += 3 * size + ENTRY_BYTES * (len(fresh) + len(known) - before)
+        return passing
+
+    def _encode_long(self, parts: list[str | int]) -> bytes:
+        """The ids of a chunk that no cache keeps."""
+        words = self._encode_words({w for w in parts if isinstance(w, str)})
+        return b"".join([words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts])
+
+    def _encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        new = list(words)
         data = [w.encode() for w in new]
+        found: dict[str, bytes] = {}
         short = [i for i, d in enumerate(data) if len(d) <= LEAF]
         if short:
             ids, bounds = self._merge_side_by_side([(data[i], True) for i in short])
             flat, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
-            for i, a, b in zip(short, at, at[1:]):
-                self.of_word[new[i]] = flat[a:b]
+            found = {new[i]: flat[a:b] for i, a, b in zip(short, at, at[1:])}
         for word, d in zip(new, data):
             if len(d) > LEAF:
-                self.of_word[word] = self.tree(d).astype("<u4").tobytes()
+                found[word] = self.tree(d).astype("<u4").tobytes()
+        return found
 
     def chunks(self, text: str) -> list[str]:
         if any(c in text for c in NOT_SPACE):
@@ -347,9 +383,10 @@ class WordBpe:
 
     def encode_batch(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.of_chunk) > CACHE_ENTRIES or len(self.of_word) > CACHE_ENTRIES:
+        if self.held > CACHE_BYTES:
             self.of_chunk.clear()
             self.of_word.clear()
+            self.held = 0
         group: list[list[str]] = []
         size = 0
         for text in texts:
@@ -361,10 +398,21 @@ class WordBpe:
         yield from self._encode_chunks(group)
 
     def _encode_chunks(self, group: list[list[str]]) -> Iterator[bytes]:
-        self._learn(set().union(*group) - self.of_chunk.keys())
-        get = self.of_chunk.__getitem__
-        for chunks in group:
-            yield b"".join(map(get, chunks))
+        get = self.of_chunk.get
+        found = [list(map(get, chunks)) for chunks in group]
+        missing: set[str] = set()
+        for chunks, ids in zip(group, found):
+            if None in ids:
+                missing.update([c for c, x in zip(chunks, ids) if x is None])
+        passing = self._learn(missing) if missing else {}
+        held = self.of_chunk.__getitem__
+        for chunks, ids in zip(group, found):
+            if None not in ids:
+                yield b"".join(ids)
+            elif passing:
+                yield b"".join([passing[c] if c in passing else held(c) for c in chunks])
+            else:
+                yield b"".join(map(held, chunks))
 
     def decode(self, ids: Sequence[int]) -> str:
         """Tokens as the file spells them, word ends included, joined by spaces: it names no decoder."""

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from offerscope.llm import bpe, packing
+from offerscope.llm import bpe, packing, wordbpe
 from offerscope.llm.bins import Work, best_fit, bin_completion, bins_of, fillings, lower_bound
 from offerscope.llm.queries import word_vocabulary
 from offerscope.llm.wordbpe import LEAF, WordBpe
@@ -59,6 +59,24 @@ def test_joins_equal_one_merge_for_any_leaf(encoder):
             assert encoder.tree(data, leaf).tolist() == whole
 
 
+def test_the_cache_is_bounded_by_bytes_and_takes_no_long_text(library, encoder, monkeypatch):
+    rng = random.Random(3)
+    held = lambda: sum(len(k) + len(v) for d in (encoder.of_chunk, encoder.of_word) for k, v in d.items())
+    before = held()
+    for _ in range(3):
+        text = "".join(rng.choice("abtheion") for _ in range(400_000))
+        mixed = "".join(rng.choice("ab1,.-") for _ in range(3_000))
+        ids = found(encoder, f"{text} {mixed} word")
+        assert ids[-1:] == expected(library, "word")
+        assert found(encoder, mixed) == expected(library, mixed)
+    assert held() - before < 10_000
+    monkeypatch.setattr(wordbpe, "CACHE_BYTES", 100_000)
+    for k in range(30):
+        words = [f"q{rng.randrange(10**9)}z" for _ in range(200)]
+        assert found(encoder, " ".join(words)) == expected(library, " ".join(words))
+        assert held() < 400_000
+
+
 def test_special_strings_spaces_and_case(library, encoder):
     for text in ("a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "x\x1cy \x1f z", "ΣΑΣ Σ", "don't 'S's", "\u0085a　b​c", "é é ́a"):
         assert found(encoder, text) == expected(library, text)
