@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerscope.llm.shingle_join import unused
 from offerscope.llm.wordbpe import WordBpe, worker_encoder
 
 #: Rows of a batch are encoded in groups of about so many characters.
@@ -73,7 +74,8 @@ def map_encodings(
                     [*kept.columns, *columns.values()], names=[*kept.schema.names, *columns]
                 )
 
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_whole_text"))
+    whole = unused(docs.select(*keep), "_whole_text")
+    rows = docs.select(*keep, F.col(text).cast("string").alias(whole))
     out = T.StructType([*rows.select(*keep).schema.fields, *schema.fields])
     return rows.mapInArrow(encode, out)
 

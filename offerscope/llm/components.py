@@ -57,8 +57,10 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-    return row[0], row[1]
+    """Number of edges and 128 bits of them, as sums that cannot overflow."""
+    hashes = F.xxhash64("a", "b"), F.xxhash64(F.lit(1), "a", "b")
+    halves = [half for h in hashes for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return tuple(edges.agg(F.count(F.lit(1)), *[F.sum(half) for half in halves]).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

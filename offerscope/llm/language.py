@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerscope.llm.shingle_join import unused
+
 #: N-grams in a profile.
 PROFILE_SIZE = 300
 #: Characters that are counted at once.
@@ -191,7 +193,7 @@ def identify(
 
     kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields]).add(names[0], T.StringType()).add(names[1], T.DoubleType())
-    return docs.select(*keep, F.col(text).alias("_whole_text")).mapInArrow(judge, schema)
+    return docs.select(*keep, F.col(text).alias(unused(kept, "_whole_text"))).mapInArrow(judge, schema)
 
 
 def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -204,4 +206,4 @@ def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
             kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
             yield kept.filter(pa.array(found, pa.bool_()))
 
-    return docs.select("*", F.col(text).alias("_whole_text")).mapInArrow(judge, docs.schema)
+    return docs.select("*", F.col(text).alias(unused(docs, "_whole_text"))).mapInArrow(judge, docs.schema)

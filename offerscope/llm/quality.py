@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerscope.llm.shingle_join import unused
+
 TRAIN_ROWS = 3000
 TRAIN_CHUNKS = 8
 CHUNK = 512
@@ -257,5 +259,7 @@ def score(
                 [*batch.columns[:-1], pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], name]
             )
 
-    schema = T.StructType([*docs.select(*keep).schema.fields]).add(name, T.DoubleType())
-    return docs.select(*keep, F.col(text).cast("binary").alias("_whole_text")).mapInArrow(judge, schema)
+    kept = docs.select(*keep)
+    schema = T.StructType([*kept.schema.fields]).add(name, T.DoubleType())
+    whole = F.col(text).cast("binary").alias(unused(kept, "_whole_text"))
+    return docs.select(*keep, whole).mapInArrow(judge, schema)

@@ -5,12 +5,12 @@
    the set under random orders.  Sets that are equal are one class from here on.
 2. Classes that share a key form a tile.  Each class is first compared with the smallest
    class it shares a tile with; most copies of one text are connected by that.
-3. Tiles whose classes are still in different components are cut into blocks, sorted by set
-   size.  Block by block, size bounds and then the bits of hashed bitmaps bound the overlap
+3. Tiles whose classes are still in different components are cut into blocks by bands of set
+   sizes.  Block by block, size bounds and then the bits of hashed bitmaps bound the overlap
    from above: ``|A & B| <= (|A| + |B| - bits that differ) / 2``.
 4. Pairs that pass are verified by intersecting the sorted arrays, those of the best bounds
-   first.  What they connect is not compared again; the other pairs follow in later steps,
-   until none is left.
+   first.  What they connect is not compared again; the classes of the other pairs go on to
+   later steps, until none is left.
 
 Two sets with Jaccard similarity s share a tile unless all keys differ, (1 - s^2)^BANDS: 5e-15
 at 0.75, less above it.  Everything after that is exact, but for hashes: different tiles are
@@ -18,17 +18,21 @@ told apart by 128 bits and more (``distinct_tiles``).  No bucket, partner or can
 capped, and no pair inside a component is lost to the class result.
 
 Texts are shuffled once, to pick out those of classes that share a tile; after that only
-these move.  A block has at most ``BLOCK`` classes, whatever the size of a tile.
+these move.  A block's maps have at most ``BLOCK_BYTES`` or so, whatever the size of a tile and of
+its texts; the component with most members in a tile is never compared with itself
+(``block_rows``).
 
 Defined results: a null text or one without a word has no shingles, and links with nothing;
 with fewer than ``n`` words the whole sequence is the one shingle; equal sets link; a row with
 a null key is linked like any other, and its component is the smallest key that is not null
-(null if there is none); repeated rows are equal sets; an empty table gives an empty result.
+(null if there is none); repeated rows are equal sets; an empty table gives an empty result; other columns, whatever
+their names, are ignored, and kept as they are by ``one_per_component``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +45,14 @@ from offerscope.llm.components import components
 from offerscope.session import stage
 
 BANDS = 40
-BLOCK = 4096
-#: Of the partners that a class may link with in a block, ranked by their bound, those
-#: up to these ranks are verified together; the last step takes all the rest.
+#: Bytes of bitmaps, by the sizes of their sets, that make a block, and what a small map counts
+#: for, so that a block has at most 4096 classes.
+BLOCK_BYTES = 1 << 22
+LEAST_BYTES = 1 << 10
+#: The band of members that are not at home, if they all fit a block.
+POOLED = -1
+#: Of the partners that a class may link with in a block, ranked by their bound, so many are
+#: verified together in each step; the last step takes all the rest.
 STEPS = (2, 16, 128, None)
 SEED = 11
 
@@ -208,12 +217,24 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _bound(part: int, whole: int, low: int, high: int | None):
+def _folded(n: np.ndarray, bits: list[np.ndarray], rows: np.ndarray, log_bits: int) -> np.ndarray:
+    """The maps of ``rows`` at one length, as a matrix."""
+    out = np.empty((len(rows), (1 << log_bits) // 8), np.uint8)
+    for i, k in enumerate(rows):
+        out[i] = bits[k] if len(bits[k]) == out.shape[1] else fold(bits[k], log_bits)
+    return out
+
+
+BOUNDED = "a long, b long, tile long, i long, j long, side long"
+
+
+def _bound(part: int, whole: int, high: int | None):
     """Sorted rows of tile, i, j, node, side, component, now, n, bits -> pairs whose bound lets them link.
 
-    For each class its partners in other components are ranked by their bound; pairs of
-    the ranks from ``low`` to ``high`` come out, unless they are connected by ``now``.  A
-    tile with more ranks comes out as (tile, -1).
+    For each class its partners in other components are ranked by their bound; pairs of the first
+    ``high`` ranks come out as a, b, unless they are connected by ``now``.  Both classes of a pair
+    that is ranked later come out as a with their block, for the next step; there those that
+    are connected by then fall out of the ranking.
     """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,37 +244,46 @@ def _bound(part: int, whole: int, low: int, high: int | None):
             node, side, component, now, n = (get(c)[order] for c in ("node", "side", "component", "now", "n"))
             if (now == now[0]).all():
                 continue
-            more = False
+            later = np.zeros(len(node), bool)
             across = bool(get("i")[0] != get("j")[0])  # of two blocks: only between them
             bits = table.column("bits").to_pylist()
             bits = [np.frombuffer(bits[k], np.uint8) for k in order]
             stop = np.searchsorted(n, n * whole // part, "right")
             found_a, found_b = [], []
-            for k in range(len(node) - 1):
-                others = np.arange(k + 1, stop[k])
-                others = others[component[others] != component[k]]
-                if across:
-                    others = others[side[others] != side[k]]
-                if not len(others):
-                    continue
-                log_bits = bits_for(int(n[k]))  # the smaller set's own length
-                mine = bits[k]
-                theirs = np.stack([bits[o] if len(bits[o]) == len(mine) else fold(bits[o], log_bits) for o in others])
-                apart = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
-                overlap = (n[k] + n[others] - apart) // 2
-                may = whole * overlap >= part * (n[k] + n[others] - overlap)
-                likeness = overlap[may] / (n[k] + n[others[may]] - overlap[may])
-                good = others[may][np.lexsort((node[others[may]], -likeness))]
-                more |= high is not None and len(good) > high
-                good = good[low:high]
-                good = good[now[good] != now[k]]
-                found_a += [node[k]] * len(good)
-                found_b += node[good].tolist()
-            if more:
-                found_a.append(get("tile")[0])
-                found_b.append(-1)
+            # sizes of a pair differ by a third at most, so the smaller set's length of map
+            # concerns a run of rows, folded to it once
+            lengths = np.array([bits_for(int(x)) for x in n])
+            for log_bits in np.unique(lengths):
+                own = np.flatnonzero(lengths == log_bits)
+                first, last = int(own[0]), int(stop[own[-1]])
+                maps = _folded(n, bits, np.arange(first, last), int(log_bits))
+                for k in own[own < len(node) - 1]:
+                    others = np.arange(k + 1, stop[k])
+                    others = others[(component[others] != component[k]) & (now[others] != now[k])]
+                    if across:
+                        others = others[side[others] != side[k]]
+                    if not len(others):
+                        continue
+                    apart = np.bitwise_count(maps[others - first] ^ maps[k - first]).sum(1, dtype=np.int64)
+                    overlap = (n[k] + n[others] - apart) // 2
+                    may = whole * overlap >= part * (n[k] + n[others] - overlap)
+                    likeness = overlap[may] / (n[k] + n[others[may]] - overlap[may])
+                    good = others[may][np.lexsort((node[others[may]], -likeness))]
+                    if high is not None and len(good) > high:
+                        later[k] = True
+                        later[good[high:]] = True
+                        good = good[:high]
+                    found_a += [node[k]] * len(good)
+                    found_b += node[good].tolist()
+            pairs, waiting = len(found_a), int(later.sum())
+            block = [np.full(waiting, get(c)[0]) for c in ("tile", "i", "j")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"]
+                [
+                    pa.array(found_a + node[later].tolist(), pa.int64()),
+                    pa.array(found_b + [None] * waiting, pa.int64()),
+                    *[pa.array([None] * pairs + x.tolist(), pa.int64()) for x in (*block, side[later])],
+                ],
+                names=["a", "b", "tile", "i", "j", "side"],
             )
 
     return bound
@@ -286,8 +316,9 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def row_hash(key: str, text: str) -> Column:
-    """A hash of key and text, by which narrow results find their rows again."""
-    return F.xxhash64(F.col(key), F.col(text).cast("binary"))
+    """128 bits of key and text, by which narrow results find their rows again."""
+    parts = F.col(key), F.col(text).cast("binary")
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
 def distinct_tiles(placed: DataFrame) -> DataFrame:
@@ -317,6 +348,62 @@ def distinct_tiles(placed: DataFrame) -> DataFrame:
     )
 
 
+def block_rows(placed: DataFrame, part: int, whole: int, limit: int) -> DataFrame:
+    """Rows (tile, i, j, node, side) of ``placed`` (tile, node, component, n): two nodes of one tile, in
+    different components and of sizes that may link, meet in one block (tile, i, j).
+
+    A tile whose maps fit a block is one.  In a larger one the component with most members is at
+    home.  Members go into cells by home or not, by a band of sizes and, where a cell is too
+    large, by a hash.  Bands are so wide that only neighbours can link; the members that are not
+    at home are one cell if they fit a block.  A cell at home meets only cells that are not, so
+    members at home go out once, and the few others once for each cell that they may link with.
+    Nothing is compared inside the home component: the rows grow with a tile's members, not with
+    their square.
+    """
+    width = math.log(whole / part) * 1.0001 if part < whole else 1.0
+    sized = placed.withColumn("bytes", F.greatest(F.lit(LEAST_BYTES), 2 * F.col("n")))
+    totals = sized.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+    tiles = totals.groupBy("tile").agg(
+        F.sum("bytes").alias("total"), F.max(F.struct("m", F.col("component").alias("home"), "bytes")).alias("h")
+    )
+    in_tile = sized.join(tiles.select("tile", "total", "h.home", (F.col("total") - F.col("h.bytes")).alias("away")), "tile")
+    small = in_tile.filter(F.col("total") <= limit)
+    large = stage(
+        in_tile.filter(F.col("total") > limit).select(
+            "tile",
+            "node",
+            "bytes",
+            (F.col("component") == F.col("home")).alias("home"),
+            F.when((F.col("component") != F.col("home")) & (F.col("away") <= limit), POOLED)
+            .otherwise(F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+            .alias("band"),
+        ),
+        "large-tiles",
+    )
+    cells = large.groupBy("tile", "home", "band").agg(F.ceil(F.sum("bytes") / limit).cast("int").alias("parts"))
+    partners = cells.select("tile", *[F.col(c).alias(f"_{c}") for c in ("home", "band", "parts")])
+    # at most a few bands either way: cells of a tile, not members, are paired here
+    meets = (
+        cells.join(partners, "tile")
+        .filter(f"NOT (home AND _home) AND (abs(band - _band) <= 1 OR {POOLED} IN (band, _band))")
+        .groupBy("tile", "home", "band", "parts")
+        .agg(F.collect_list(F.struct("_home", "_band", "_parts")).alias("meets"))
+    )
+    code = lambda home, band, at: (F.col(band) * 2 + F.col(home).cast("int")).cast("long") * (1 << 32) + at
+    spread = (
+        large.join(meets, ["tile", "home", "band"])
+        .withColumn("side", code("home", "band", F.pmod(F.xxhash64("node"), F.col("parts"))))
+        .select("tile", "node", "side", F.explode("meets").alias("meet"))
+        .select("tile", "node", "side", "meet.*")
+        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn("other", code("_home", "_band", F.col("at")))
+    )
+    zero = F.lit(0).cast("long")
+    return small.select("tile", zero.alias("i"), zero.alias("j"), "node", zero.alias("side")).unionByName(
+        spread.select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side")
+    )
+
+
 def jaccard_classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -333,7 +420,7 @@ def jaccard_classes(
     described = T.StructType(
         [
             T.StructField("_key", rows.schema["_key"].dataType),
-            T.StructField("_hash", T.LongType()),
+            T.StructField("_hash", rows.schema["_hash"].dataType),
             T.StructField("n", T.LongType()),
             T.StructField("digest", T.BinaryType()),
             T.StructField("keys", T.ArrayType(T.LongType())),
@@ -367,36 +454,27 @@ def jaccard_classes(
     )
     first_roots = stage(_rooted(texts.select("node"), components(first_links)), "roots")
 
-    # tiles that still hold several components; of tiles with the same classes, one
-    placed = members.join(first_roots, "node")
-    open_tiles = stage(
-        distinct_tiles(placed).select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
-        "open-tiles",
-    )
     sizes = classes.select("node", "n")
     sketches = stage(
         texts.select("node", "text").mapInArrow(_bitmaps(n), "node long, bits binary").join(sizes, "node"), "bitmaps"
     )
+    # tiles that still hold several components; of tiles with the same classes, one
+    placed = members.select("tile", "node").join(first_roots, "node")
+    open_tiles = stage(distinct_tiles(placed), "open-tiles")
+    in_blocks = stage(
+        block_rows(placed.join(open_tiles, "tile").join(sizes, "node"), part, whole, BLOCK_BYTES), "tile-blocks"
+    )
     roots_ = first_roots.withColumn("now", F.col("component"))
-    low = 0
     for high in STEPS:
-        in_blocks = (
-            members.select("tile", "node")
-            .join(open_tiles, "tile")
-            .withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side")
-        )
         found = stage(
             in_blocks.join(sketches.join(roots_, "node"), "node")
             .select("tile", "i", "j", "node", "side", "component", "now", "n", "bits")
             .repartition("tile", "i", "j")
             .sortWithinPartitions("tile", "i", "j")
-            .mapInArrow(_bound(part, whole, low, high), "a long, b long")
-            .distinct(),
+            .mapInArrow(_bound(part, whole, high), BOUNDED),
             "bounded-pairs",
         )
-        pairs = found.filter("b >= 0")
+        pairs = found.filter("b IS NOT NULL").select("a", "b").distinct()
         links = stage(
             _with_texts(pairs, texts.select("node", "text")).mapInArrow(_verify(n, part, whole), "a long, b long"), "links"
         )
@@ -411,19 +489,9 @@ def jaccard_classes(
             ),
             "roots",
         )
-        # what has more ranks and is not connected by now goes on
-        ranked = open_tiles.join(found.filter("b = -1").select(F.col("a").alias("tile")), "tile", "left_semi")
-        apart = (
-            members.select("tile", "node")
-            .join(ranked, "tile")
-            .join(roots_.select("node", "now"), "node")
-            .groupBy("tile", "blocks")
-            .agg(F.min("now").alias("first"), F.max("now").alias("last"))
-            .filter("first < last")
-        )
-        open_tiles = stage(apart.select("tile", "blocks"), "open-tiles")
-        low = high
-        if open_tiles.isEmpty():
+        # only classes with pairs that are still to be looked at go on
+        in_blocks = found.filter("b IS NULL").select("tile", "i", "j", F.col("a").alias("node"), "side")
+        if in_blocks.isEmpty():
             break
     roots_ = roots_.select("node", F.col("now").alias("component"))
     of_class = classes.select("node", "digest").join(roots_, "node", "left").select(
@@ -446,12 +514,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The row of the smallest key of every component, and all rows without shingles; all
-    columns.  Rows of equal key and text are one row."""
+    columns.  Of rows with equal key and text the smallest by their other columns stays."""
     rows = jaccard_classes(docs, key, text, **options)
     first = rows.filter("n > 0").groupBy("component").agg(
         F.min(F.struct(F.col("_key").isNull().alias("last"), "_key", "_hash")).alias("kept")
     )
     kept = first.select(F.col("kept._hash").alias("_hash")).unionByName(rows.filter("n = 0").select("_hash"))
     mark = unused(docs, "_hash")
-    hashed = docs.withColumn(mark, row_hash(key, text))
-    return hashed.join(kept.withColumnRenamed("_hash", mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    hashed = docs.withColumn(mark, row_hash(key, text)).join(kept.withColumnRenamed("_hash", mark), mark, "left_semi")
+    # maps have no order of their own
+    order = [F.to_json(c) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (key, text)]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    smallest = F.min_by(row, F.struct(*order)) if order else F.first(row)
+    return hashed.groupBy(mark).agg(smallest.alias("row")).select("row.*")

@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 
 import cases
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
@@ -69,14 +71,65 @@ def planted(seed=1):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [shingle_join.BLOCK, 3])
+@pytest.mark.parametrize("block", [shingle_join.BLOCK_BYTES, 4096])
 def test_components_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    monkeypatch.setattr(shingle_join, "BLOCK_BYTES", block)
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert cases.rows(shingle_join.jaccard_components(docs)) == brute(rows)
 
 
+def test_blocks_grow_with_members_and_let_all_pairs_meet(spark):
+    rng = random.Random(6)
+    sizes = [100, 110, 140, 3000, 60_000]
+    rows = [(7, i, 0, rng.choice(sizes[:2])) for i in range(20_000)]
+    rows += [(7, 50_000 + i, 50_000 + i, rng.choice(sizes)) for i in range(12)]
+    rows += [(8, i, i % 3, rng.choice(sizes)) for i in range(40)]
+    placed = spark.createDataFrame(rows, "tile long, node long, component long, n long")
+    # the tool's hot input: a group of near copies and a few others in one tile
+    found = shingle_join.block_rows(placed, 75, 100, shingle_join.BLOCK_BYTES).toPandas()
+    assert len(found) < 1.2 * len(rows)
+    # many blocks: every pair that may link meets in exactly one
+    few = [r for r in rows if r[1] % 50 == 0 or r[1] >= 50_000 or r[0] == 8]
+    placed = spark.createDataFrame(few, "tile long, node long, component long, n long")
+    met = {}
+    for _, block in shingle_join.block_rows(placed, 75, 100, 40_000).toPandas().groupby(["tile", "i", "j"]):
+        members = block[["node", "side"]].drop_duplicates().values.tolist()
+        for x, (a, side_a) in enumerate(members):
+            for b, side_b in members[:x]:
+                if block.i.iloc[0] == block.j.iloc[0] or side_a != side_b:
+                    pair = (int(block.tile.iloc[0]), min(a, b), max(a, b))
+                    met[pair] = met.get(pair, 0) + 1
+    for x, (t, a, c, m) in enumerate(few):
+        for u, b, d, k in few[:x]:
+            if t == u and c != d and 100 * min(m, k) >= 75 * max(m, k):
+                assert met[t, min(a, b), max(a, b)] == 1
+
+
+def test_long_near_copies_in_bounded_memory():
+    # 600 classes of 60,000 shingles: maps of 64 KB each, two blocks of 4 MB at a time
+    rng = np.random.default_rng(8)
+    n, log_bits = 60_000, shingle_join.bits_for(60_000)
+    count = 2 * shingle_join.BLOCK_BYTES // (2 * n)
+    maps = [rng.integers(0, 256, (1 << log_bits) // 8, dtype=np.uint8).tobytes() for _ in range(count)]
+    columns = {
+        "tile": [1] * count, "i": [0] * count, "j": [1] * count, "node": range(count), "side": [i % 2 for i in range(count)],
+        "component": range(count), "now": range(count), "n": [n] * count, "bits": maps,
+    }
+    batch = pa.RecordBatch.from_pydict({k: pa.array(list(v)) for k, v in columns.items()})
+    tracemalloc.start()
+    list(shingle_join._bound(75, 100, 2)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 8 * shingle_join.BLOCK_BYTES
+    tracemalloc.stop()
+
+
+def test_the_smallest_of_equal_rows_stays(spark):
+    rows = [(1, "a b c d e f", "z", {"k": 1}), (1, "a b c d e f", "b", {"k": 2}), (1, "a b c d e f", "b", {"k": 1}), (2, "q", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, _hash map<string,int>").repartition(4)
+    kept = sorted(map(tuple, shingle_join.one_per_component(docs).collect()))
+    assert kept == [rows[2], rows[3]]
+
+
 def test_odd_rows(spark):
     found = cases.rows(shingle_join.jaccard_components(cases.documents(spark)))
     assert found == brute([(i, t) for i, t, _, _ in cases.TEXTS])
