@@ -7,7 +7,7 @@ every offer unless the ranking itself is the result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -184,6 +184,7 @@ def thompson_replay(
     precisions: Sequence[float] = (1.0,),
     seed: int = SEED,
     history: list | None = None,
+    update: Callable = update_arms,
 ) -> tuple[DataFrame, dict[float, list[Arm]]]:
     """Replay of a policy that learns, one send round at a time.
 
@@ -192,6 +193,7 @@ def thompson_replay(
     once, and then updates it.  All precisions share each round's passes.
     Returns one row per precision and round, and the final arms.  ``history`` gets
     what each round was chosen with: (round, its draws' seed, arms by precision).
+    ``update`` moves the arms: by the full mode of each round, or by diagonal steps.
     """
     spark = design.sparkSession
     arms = {p: prior_arms(values, n_features, p) for p in precisions}
@@ -211,7 +213,7 @@ def thompson_replay(
         )
         try:
             joint = [Arm(f"{p}|{a.offer_id}", a.value, a.m, a.q) for p in precisions for a in arms[p]]
-            updated, sums = update_arms(kept, joint)
+            updated, sums = update(kept, joint)
         finally:
             kept.unpersist()
         for p in precisions:

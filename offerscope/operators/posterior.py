@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 # Bound on one step of a weight, bound on the logit.
 MAX_STEP = 2.0
 LOGIT_BOUND = 35.0
+# Fixed value: steps of one diagonal update.
+DIAGONAL_STEPS = 3
 #: Models are small state held on the driver; more than this is a wrong key.
 MAX_MODELS = 10_000
 #: Tasks that add up packed sums before the driver does.
@@ -80,24 +82,28 @@ class Sums:
     hessian: np.ndarray
 
 
-def _pack(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _pack(x: np.ndarray, y: np.ndarray, w: np.ndarray, diagonal: bool) -> np.ndarray:
     z = np.clip(x @ w, -LOGIT_BOUND, LOGIT_BOUND)
     p = 1.0 / (1.0 + np.exp(-z))
     loss = np.logaddexp(0.0, z) - y * z
-    hessian = (x * (p * (1 - p))[:, None]).T @ x
-    upper = hessian[np.triu_indices(len(w))]
-    return np.concatenate([[len(y), y.sum(), loss.sum()], x.T @ (p - y), upper])
+    if diagonal:
+        curvature = (p * (1 - p)) @ (x * x)
+    else:
+        curvature = ((x * (p * (1 - p))[:, None]).T @ x)[np.triu_indices(len(w))]
+    return np.concatenate([[len(y), y.sum(), loss.sum()], x.T @ (p - y), curvature])
 
 
 def _unpack(packed: np.ndarray, d: int) -> Sums:
+    if len(packed) == 3 + 2 * d and d > 1:
+        return Sums(packed[0], packed[1], packed[2], packed[3 : 3 + d], np.diag(packed[3 + d :]))
     hessian = np.zeros((d, d))
     hessian[np.triu_indices(d)] = packed[3 + d :]
     hessian = hessian + np.triu(hessian, 1).T
     return Sums(packed[0], packed[1], packed[2], packed[3 : 3 + d], hessian)
 
 
-def newton_sums(rows: DataFrame, weights: Mapping[str, np.ndarray]) -> dict[str, Sums]:
-    """Add up gradient and Hessian of each model over ``rows`` (model, x, reward).
+def newton_sums(rows: DataFrame, weights: Mapping[str, np.ndarray], diagonal: bool = False) -> dict[str, Sums]:
+    """Add up gradient and Hessian, or only its ``diagonal``, of each model over ``rows`` (model, x, reward).
 
     Every task sends one packed row per model; groups of tasks are added up in Arrow
     before the driver adds the groups.  Rows of a model without weights are left out: a send
@@ -116,7 +122,7 @@ def newton_sums(rows: DataFrame, weights: Mapping[str, np.ndarray]) -> dict[str,
                 if model not in weights:
                     continue
                 mine = index == code
-                part = _pack(x[mine], y[mine], weights[model])
+                part = _pack(x[mine], y[mine], weights[model], diagonal)
                 total[model] = total[model] + part if model in total else part
         yield from packed(total)
 
@@ -194,6 +200,30 @@ def update_arms(kept: DataFrame, arms: Sequence[Arm]) -> tuple[list[Arm], dict[s
     return updated, sums
 
 
+def diagonal_update(kept: DataFrame, arms: Sequence[Arm], steps: int = DIAGONAL_STEPS) -> tuple[list[Arm], dict[str, Sums]]:
+    """Posterior of every arm by a few bounded steps with the diagonal of the Hessian only.
+
+    ``kept`` has model = offer_id, x, reward.  Every pass adds up two numbers per feature and arm;
+    the last one, at the new mean, gives the precision.  All rows of a call are one batch.
+    """
+    at = {a.offer_id: np.array(a.m) for a in arms}
+    sums: dict[str, Sums] = {}
+    for step in range(steps + 1):
+        sums = newton_sums(kept, at, diagonal=True)
+        for a in arms if step < steps else ():
+            if a.offer_id in sums:
+                w, q, s = at[a.offer_id], np.array(a.q), sums[a.offer_id]
+                slope = q * (w - np.array(a.m)) + s.gradient
+                at[a.offer_id] = w - np.clip(slope / (q + np.diag(s.hessian)), -MAX_STEP, MAX_STEP)
+    updated = [
+        Arm(a.offer_id, a.value, tuple(at[a.offer_id].tolist()), tuple((np.array(a.q) + np.diag(sums[a.offer_id].hessian)).tolist()))
+        if a.offer_id in sums
+        else a
+        for a in arms
+    ]
+    return updated, sums
+
+
 def first_step(design: DataFrame, values: Mapping[str, float], n_features: int, precision: float = 1.0) -> list[Arm]:
     """Posterior of every offer after one diagonal step from a zero mean.
 

@@ -116,6 +116,23 @@ class Campaign:
         by_round, arms = policies.thompson_replay(self.design, self.values, self.n_features, history=history)
         return by_round, arms[1.0], history
 
+    @cached_property
+    def diagonal(self) -> tuple[DataFrame, list[posterior.Arm], list[tuple]]:
+        """The learning replay by diagonal steps: its rounds, final arms, and the arms each round was chosen with."""
+        history: list[tuple] = []
+        by_round, arms = policies.thompson_replay(
+            self.design, self.values, self.n_features, history=history, update=posterior.diagonal_update
+        )
+        return by_round, arms[1.0], history
+
+    @property
+    def diagonal_arms(self) -> list[posterior.Arm]:
+        return self.diagonal[1]
+
+    @property
+    def diagonal_table(self) -> DataFrame:
+        return posterior.arms_frame(self.offers.sparkSession, self.diagonal_arms)
+
     @property
     def trained_arms(self) -> list[posterior.Arm]:
         return self.learning[1]
@@ -139,9 +156,9 @@ class Campaign:
             raise ValueError(f"more than {posterior.MAX_MODELS} offers")
         return {r["id"]: r["offer_type"] for r in rows}
 
-    def policies(self) -> dict:
+    def policies(self, diagonal: bool = False) -> dict:
         """What is compared.  The policies that learn choose each round with arms that saw earlier rounds only."""
-        history = self.learning[2]
+        history = (self.diagonal if diagonal else self.learning)[2]
         return {
             "random": policies.random_offer(list(self.values)),
             "fixed": F.lit(self.best_by_rate),

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerscope.functions.columns import AGE_BANDS, COMPLETABLE_TYPES, age_band
-from offerscope.operators import features, metrics, policies, quality
+from offerscope.operators import features, metrics, policies, posterior, quality
 from offerscope.operators.posterior import arms_frame, collect_arms, prior_arms
 from offerscope.plans.campaign import Campaign
 from offerscope.session import new_staging_path, release_staged, staging_root, tune
 from offerscope.sources import files, fixtures
 from offerscope.sources.files import verified_write
 from offerscope.streaming import attribution as stream_ops
+from offerscope.streaming import files as stream_files
 from offerscope.streaming import posterior as online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,6 +575,84 @@ def step_examples(c: Campaign) -> DataFrame:
     return policies.example_customers(c.design, policies.map_scores(c.arms), c.offer_types)
 
 
+# -- learning by diagonal steps, which chained SQL can compute too -------------------------------------------
+
+
+@query
+def diagonal_posterior(c: Campaign) -> DataFrame:
+    pairs = c.diagonal_table.select("offer_id", F.posexplode(F.arrays_zip("m", "q")).alias("position", "pair"))
+    return pairs.select("offer_id", "position", "pair.m", "pair.q")
+
+
+@query
+def diagonal_replay(c: Campaign) -> DataFrame:
+    return policies.learning_summary(c.diagonal[0], c.design)
+
+
+@query
+def diagonal_rounds(c: Campaign) -> DataFrame:
+    return policies.learning_curve(c.diagonal[0])
+
+
+@query
+def diagonal_sweep(c: Campaign) -> DataFrame:
+    by_round, _ = policies.thompson_replay(
+        c.design, c.values, c.n_features, policies.PRIOR_PRECISIONS, update=posterior.diagonal_update
+    )
+    return policies.learning_summary(by_round, c.design)
+
+
+@query
+def diagonal_summary(c: Campaign) -> DataFrame:
+    return policies.replay(c.design, c.policies(diagonal=True))
+
+
+@query
+def diagonal_best_offer(c: Campaign) -> DataFrame:
+    return policies.best_offer_by_value(c.design, policies.map_scores(c.diagonal_arms))
+
+
+@query
+def diagonal_recommend(c: Campaign) -> DataFrame:
+    return policies.recommend(c.design, policies.map_scores(c.diagonal_arms))
+
+
+@query
+def diagonal_top3(c: Campaign) -> DataFrame:
+    return policies.recommend(c.design, policies.map_scores(c.diagonal_arms), top=3)
+
+
+@query
+def diagonal_share(c: Campaign) -> DataFrame:
+    return policies.recommended_share(c.design, policies.map_scores(c.diagonal_arms))
+
+
+@query
+def diagonal_regret(c: Campaign) -> DataFrame:
+    scores = policies.map_scores(c.diagonal_arms)
+    return policies.policy_regret(c.design, scores, {**c.policies(diagonal=True), "logged": F.col("offer_id")})
+
+
+@query
+def diagonal_projection(c: Campaign) -> DataFrame:
+    return policies.value_projection(c.design, policies.replay(c.design, c.policies(diagonal=True)))
+
+
+@query
+def diagonal_top_weights(c: Campaign) -> DataFrame:
+    return policies.top_weights(c.diagonal_table, c.feature_names)
+
+
+@query
+def diagonal_weights(c: Campaign) -> DataFrame:
+    return policies.weight_pivot(c.diagonal_table, c.feature_names, list(c.values))
+
+
+@query
+def diagonal_examples(c: Campaign) -> DataFrame:
+    return policies.example_customers(c.design, policies.map_scores(c.diagonal_arms), c.offer_types)
+
+
 # -- learning policies and response models ----------------------------------------------------------------
 
 
@@ -621,9 +700,8 @@ def response_regret(c: Campaign) -> DataFrame:
 # -- streams --------------------------------------------------------------------------------------------------
 
 
-@query
-def online_posterior(c: Campaign) -> DataFrame:
-    """The posterior updated as each round's outcomes arrive; the weights of its last version."""
+def _online(c: Campaign, update_rule) -> list:
+    """The arms after a posterior was updated as each round's outcomes arrived."""
     spark = c.offers.sparkSession
     source, table, progress = (new_staging_path(spark, n) for n in ("outcomes", "posterior", "progress"))
     outcomes = c.design.select("offer_id", "x", "reward", "round_day")
@@ -631,10 +709,22 @@ def online_posterior(c: Campaign) -> DataFrame:
     days = [r["round_day"] for r in outcomes.select("round_day").distinct().orderBy("round_day").collect()]
     for day in days:
         outcomes.where(F.col("round_day").eqNullSafe(day)).write.mode("append").parquet(source)
-        stream = stream_ops.event_stream(spark, source, outcomes.schema, files_per_batch=1_000_000)
-        online.run_updates(stream, table, progress, prior)
-    arms = collect_arms(spark.read.parquet(online.version_path(table, len(days) - 1))) if days else prior
-    return policies.weight_table(arms_frame(spark, arms), c.feature_names)
+        stream = stream_files.event_stream(spark, source, outcomes.schema, files_per_batch=1_000_000)
+        online.run_updates(stream, table, progress, prior, update_rule)
+    return collect_arms(spark.read.parquet(online.version_path(table, len(days) - 1))) if days else prior
+
+
+@query
+def online_posterior(c: Campaign) -> DataFrame:
+    """The weights of the last version of a posterior on a stream of outcomes."""
+    return policies.weight_table(arms_frame(c.offers.sparkSession, _online(c, posterior.update_arms)), c.feature_names)
+
+
+@query
+def diagonal_online(c: Campaign) -> DataFrame:
+    """The same by diagonal steps."""
+    arms = _online(c, posterior.diagonal_update)
+    return policies.weight_table(arms_frame(c.offers.sparkSession, arms), c.feature_names)
 
 
 @query
@@ -643,6 +733,20 @@ def stream_attribution(c: Campaign) -> DataFrame:
     spark = c.offers.sparkSession
     source, output, checkpoint = (new_staging_path(spark, n) for n in ("stream", "attributed", "progress"))
     c.events.repartitionByRange("time_since_test_start").write.parquet(source)
-    events = stream_ops.event_stream(spark, source, c.events.schema, files_per_batch=2)
-    stream_ops.run_to_files(stream_ops.attribute_stream(events, c.offers), output, checkpoint)
+    events = stream_files.event_stream(spark, source, c.events.schema, files_per_batch=2)
+    stream_files.run_to_files(stream_ops.attribute_stream(events, c.offers), output, checkpoint)
     return stream_ops.latest(spark.read.parquet(output))
+
+
+@query
+def stream_labels(c: Campaign) -> DataFrame:
+    """The success label of every send, from the event log replayed as a stream of files."""
+    spark = c.offers.sparkSession
+    source, output, checkpoint = (new_staging_path(spark, n) for n in ("stream", "labels", "progress"))
+    c.events.repartitionByRange("time_since_test_start").write.parquet(source)
+    # closes the windows that are open at the log's end; the operators in a row each need a batch
+    for _ in range(2):
+        stream_ops.heartbeat(c.events, c.offers, delay_days=30).write.mode("append").parquet(source)
+    events = stream_files.event_stream(spark, source, c.events.schema, files_per_batch=2)
+    stream_files.run_to_files(stream_ops.label_stream(events, c.offers, "30 days"), output, checkpoint)
+    return spark.read.schema("opp_id string, customer_id string, offer_id string, t_received double, reward int").parquet(output)

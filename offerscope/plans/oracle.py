@@ -8,7 +8,7 @@ come from rows times offers.
 from __future__ import annotations
 
 from offerscope.functions.columns import AGE_BANDS, CHANNELS, GENDERS, SEND_ROUNDS
-from offerscope.operators.policies import SEED
+from offerscope.operators.policies import PRIOR_PRECISIONS, SEED
 from offerscope.sources.fixtures import duckdb_ctes
 
 NUMERIC = (
@@ -52,8 +52,103 @@ GENDER_LIST = _values([f"({i}, '{g}')" for i, g in enumerate(GENDERS)], "positio
 AGE_LIST = _values([f"({i}, '{b}')" for i, b in enumerate(AGE_BANDS)], "position, age_group", "b")
 
 
-def _ctes() -> list[tuple[str, str]]:
-    """All derived tables, in order; each query takes what it needs."""
+def _noise(seed: int, rows: str) -> str:
+    """Two mixed 32-bit words for every row of ``rows`` and offer."""
+    salted = f"concat_ws('|', a.offer_id, '{seed}')"
+    noise = f"""SELECT opp_id, a.offer_id, {', '.join(
+        f"xor({WORD.format(key='opp_id', start=at)}, {WORD.format(key=salted, start=at)})::UBIGINT AS {h}"
+        for h, at in (('h1', 1), ('h2', 9)))} FROM {rows} CROSS JOIN worth a"""
+    for bits, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        noise = f"""SELECT opp_id, offer_id, {', '.join(
+            f"(xor({h}, {h} >> {bits}) * {factor}::UBIGINT) % 4294967296::UBIGINT AS {h}" for h in ('h1', 'h2'))} FROM ({noise})"""
+    return noise
+
+
+SIGMOID = "1 / (1 + exp(-greatest(-35, least(35, {z}))))"
+#: What one draw adds to the logit m.x of a row x with the words h1, h2.
+DRAW = """sqrt(-2 * ln((h1 + 0.5) / 4294967296.0)) * cos(2 * pi() * (h2 + 0.5) / 4294967296.0)
+  * sqrt(list_dot_product(list_transform(x, lambda v: v * v), list_transform(q, lambda v: CAST(1 AS DOUBLE) / v)))"""
+
+
+def _learning(prefix: str, precisions: str, all_rows: bool = False) -> list[tuple[str, str]]:
+    """Diagonal steps carried over six rounds: state before each round, choices, kept rows, three steps.
+
+    With ``all_rows`` every row of a round is learnt from, whatever was chosen.
+    """
+    state = f"""SELECT prec, offer_id, value, j, CAST(0 AS DOUBLE) AS m, prec AS q FROM worth
+      CROSS JOIN (SELECT CAST(unnest([{precisions}]) AS DOUBLE) AS prec) CROSS JOIN generate_series(1, {len(FEATURES)}) t(j)"""
+    found = [(f"{prefix}s0", state)]
+    for k in range(1, 7):
+        before = f"{prefix}s{k - 1}"
+        rows = f"(SELECT * FROM design JOIN rounds USING (round_day) WHERE k = {k})"
+        arms = f"(SELECT prec, offer_id, value, list(m ORDER BY j) AS m, list(q ORDER BY j) AS q FROM {before} GROUP BY ALL)"
+        found += [
+            (
+                f"{prefix}drawn{k}",
+                f"""SELECT prec, opp_id, logged, offer_id, {SIGMOID.format(z=f"list_dot_product(m, x) + {DRAW}")} * value AS score,
+                  {SIGMOID.format(z="list_dot_product(m, x)")} * value AS map_score
+                FROM (SELECT opp_id, offer_id AS logged, x FROM {rows}) JOIN ({_noise(SEED + k - 1, rows)}) z USING (opp_id)
+                JOIN {arms} a USING (offer_id)""",
+            ),
+            (
+                f"{prefix}picked{k}",
+                f"""SELECT prec, opp_id, any_value(logged) AS logged,
+                  first(offer_id ORDER BY score DESC, offer_id) AS chosen,
+                  first(offer_id ORDER BY map_score DESC, offer_id) AS greedy FROM {prefix}drawn{k} GROUP BY prec, opp_id""",
+            ),
+            (
+                f"{prefix}kept{k}",
+                f"SELECT prec, offer_id, reward, value, x FROM {rows} r CROSS JOIN (SELECT DISTINCT prec FROM {before})"
+                if all_rows
+                else f"""SELECT prec, r.offer_id, reward, r.value, x FROM {rows} r
+                  JOIN {prefix}picked{k} USING (opp_id) WHERE chosen = r.offer_id""",
+            ),
+            (f"{prefix}w{k}_0", f"SELECT *, m AS w FROM {before}"),
+        ]
+        for step in range(1, 5):
+            at = f"{prefix}w{k}_{step - 1}"
+            sums = f"""SELECT prec, offer_id, j, sum((p - reward) * v) AS g, sum(v * v * p * (1 - p)) AS h FROM (
+                SELECT prec, offer_id, reward, p, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM (
+                  SELECT prec, offer_id, reward, x, {SIGMOID.format(z="list_dot_product(w, x)")} AS p FROM {prefix}kept{k}
+                  JOIN (SELECT prec, offer_id, list(w ORDER BY j) AS w FROM {at} GROUP BY ALL) USING (prec, offer_id)))
+                GROUP BY prec, offer_id, j"""
+            if step < 4:
+                moved = "w - greatest(-2, least(2, (q * (w - m) + coalesce(g, 0)) / (q + coalesce(h, 0)))) AS w"
+                found.append(
+                    (f"{prefix}w{k}_{step}", f"SELECT prec, offer_id, value, j, m, q, {moved} FROM {at} LEFT JOIN ({sums}) USING (prec, offer_id, j)")
+                )
+            else:
+                found.append(
+                    (
+                        f"{prefix}s{k}",
+                        f"""SELECT prec, offer_id, value, j, w AS m, q + coalesce(h, 0) AS q FROM {at}
+                          LEFT JOIN ({sums}) USING (prec, offer_id, j)""",
+                    )
+                )
+    each = " UNION ALL ".join(f"SELECT {k} AS k, * FROM {prefix}kept{k}" for k in range(1, 7))
+    found.append((f"{prefix}kept", each))
+    found.append((f"{prefix}picked", " UNION ALL ".join(f"SELECT * FROM {prefix}picked{k}" for k in range(1, 7))))
+    return found
+
+
+def _ctes(diagonal: bool = False) -> list[tuple[str, str]]:
+    """All derived tables, in order; each query takes what it needs.
+
+    With ``diagonal`` arms, weights and choices are those of the learning replay by diagonal steps.
+    """
+    if diagonal:
+        found = dict(_ctes())
+        names = list(found)
+        found["step"] = "SELECT offer_id, j, m FROM d_s6"
+        found["arms"] = "SELECT offer_id, value, list(m ORDER BY j) AS m, list(q ORDER BY j) AS q FROM d_s6 GROUP BY ALL"
+        found["choices"] = (
+            found["choices"]
+            .replace("SELECT opp_id, 'greedy', offer_id FROM ranked WHERE offer_rank = 1", "SELECT opp_id, 'greedy', greedy FROM d_picked")
+            .replace("SELECT opp_id, 'thompson', offer_id FROM thompson", "SELECT opp_id, 'thompson', chosen FROM d_picked")
+        )
+        at = names.index("step")
+        order = [*names[:at], *names[at:]]
+        return [(n, found[n]) for n in order[:at]] + _rounds() + [(n, found[n]) for n in order[at:]]
     counts = "tx_count_7d tx_count_28d transaction_count_before total_spend_before avg_ticket_before".split()
     counts += [f"offers_{k}_count_before" for k in ("received", "viewed", "completed")]
     counts += ["view_rate_before", "completion_rate_before"]
@@ -63,13 +158,6 @@ def _ctes() -> list[tuple[str, str]]:
     z_list = ", ".join(f"CAST({z[c]} AS DOUBLE)" for c in NUMERIC)
     onehot = ", ".join(f"CAST(customer_gender = '{g}' AS INT)::DOUBLE" for g in GENDERS)
     first = f"CASE WHEN {COMPLETABLE} AND completed = 1 THEN customer_id END"
-    salted = f"concat_ws('|', a.offer_id, '{SEED}')"
-    noise = f"""SELECT opp_id, a.offer_id, {', '.join(
-        f"xor({WORD.format(key='opp_id', start=at)}, {WORD.format(key=salted, start=at)})::UBIGINT AS {h}"
-        for h, at in (('h1', 1), ('h2', 9)))} FROM design CROSS JOIN arms a"""
-    for bits, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        noise = f"""SELECT opp_id, offer_id, {', '.join(
-            f"(xor({h}, {h} >> {bits}) * {factor}::UBIGINT) % 4294967296::UBIGINT AS {h}" for h in ('h1', 'h2'))} FROM ({noise})"""
     return [
         *duckdb_ctes(),
         (
@@ -235,14 +323,13 @@ def _ctes() -> list[tuple[str, str]]:
             "ranked",
             "SELECT *, row_number() OVER (PARTITION BY opp_id ORDER BY score DESC, offer_id) AS offer_rank FROM scores",
         ),
-        ("noise", noise),
+        ("noise", _noise(SEED, "design")),
         (
             "drawn",
             """SELECT *, p * value AS score FROM (
-              SELECT design.opp_id, a.offer_id, a.value, 1 / (1 + exp(-greatest(-35, least(35, list_dot_product(m, x)
-                + sqrt(-2 * ln((h1 + 0.5) / 4294967296.0)) * cos(2 * pi() * (h2 + 0.5) / 4294967296.0)
-                * sqrt(list_dot_product(list_transform(x, lambda v: v * v),
-                    list_transform(q, lambda v: CAST(1 AS DOUBLE) / v))))))) AS p
+              SELECT design.opp_id, a.offer_id, a.value, """
+            + SIGMOID.format(z=f"list_dot_product(m, x) + {DRAW}")
+            + """ AS p
               FROM design CROSS JOIN arms a JOIN noise z ON z.opp_id = design.opp_id AND z.offer_id = a.offer_id)""",
         ),
         (
@@ -279,15 +366,25 @@ def _ctes() -> list[tuple[str, str]]:
     ]
 
 
+def _rounds() -> list[tuple[str, str]]:
+    numbered = "SELECT round_day, row_number() OVER (ORDER BY round_day) AS k FROM (SELECT DISTINCT round_day FROM design)"
+    return [
+        ("rounds", numbered),
+        *_learning("d_", "1.0"),
+        *_learning("v_", ", ".join(map(str, PRIOR_PRECISIONS))),
+        *_learning("o_", "1.0", all_rows=True),
+    ]
+
+
 #: Tables worth computing once inside a statement.
-_MATERIALIZED = {"tx", "sends", "opps", "contexts", "design", "arms", "scores", "ranked", "drawn", "noise", "choices", "flat"}
+_MATERIALIZED = {"rounds", "tx", "sends", "opps", "contexts", "design", "arms", "scores", "ranked", "drawn", "noise", "choices", "flat"}
 
 
-def _with(select: str) -> str:
+def _with(select: str, diagonal: bool = False) -> str:
     """Put in front of ``select`` exactly the tables it needs, directly or through others."""
     import re
 
-    ctes = _ctes()
+    ctes = _ctes(diagonal)
     needed: set[str] = set()
     text = [select]
     for name, body in reversed(ctes):
@@ -295,7 +392,9 @@ def _with(select: str) -> str:
             needed.add(name)
             text.append(body)
     listed = ",\n".join(
-        f"{name} AS {'MATERIALIZED ' if name in _MATERIALIZED else ''}({body})" for name, body in ctes if name in needed
+        f"{name} AS {'MATERIALIZED ' if name in _MATERIALIZED or name[:2] in ('d_', 'v_', 'o_') else ''}({body})"
+        for name, body in ctes
+        if name in needed
     )
     return f"WITH {listed}\n{select}"
 
@@ -570,6 +669,7 @@ def _statements() -> dict[str, str]:
         ),
         "stream_attribution": f"""SELECT customer_id, offer_id, {rs('t_received, t_expires, t_viewed, t_completed')}
           FROM opps""",
+        "stream_labels": f"SELECT opp_id, customer_id, offer_id, {r('t_received')}, reward FROM base",
         # Both sides of the optimum's condition; "fitted" comes from the model in Spark, from the data here.
         "response_optimality": f"""SELECT offer_id, feature, count(*) AS n, {r('avg(reward * v)', 'fitted')},
           {r('avg(reward * v)', 'observed')} FROM flat JOIN {feature_list} USING (j) GROUP BY offer_id, feature""",
@@ -579,5 +679,41 @@ def _statements() -> dict[str, str]:
     }
 
 
+def _learnt(prefix: str) -> str:
+    """Totals of a learning replay per prior precision."""
+    return f"""SELECT prec AS prior_precision, n_total, coalesce(n_kept, 0) AS n_kept, {r('coalesce(n_kept, 0) / n_total', 'kept_share')},
+      {rs('conversion_rate, value_per_contact')} FROM (SELECT DISTINCT prec FROM {prefix}s0)
+      CROSS JOIN (SELECT count(*) AS n_total FROM design) LEFT JOIN (SELECT prec, count(*) AS n_kept,
+        avg(reward) AS conversion_rate, avg(reward * value) AS value_per_contact FROM {prefix}kept GROUP BY prec) USING (prec)"""
+
+
+def _diagonal_statements(step: dict[str, str]) -> dict[str, str]:
+    """The learning replay by diagonal steps, and the statements on closed-form arms with its arms."""
+    feature_list = _values([f"({i + 1}, '{n}')" for i, n in enumerate(FEATURES)], "j, feature", "f")
+    upto = "OVER (PARTITION BY prior_precision ORDER BY round_day)"
+    return {
+        "diagonal_posterior": f"SELECT offer_id, CAST(j - 1 AS INT) AS position, {rs('m, q')} FROM d_s6",
+        "diagonal_replay": _learnt("d_"),
+        "diagonal_sweep": _learnt("v_"),
+        "diagonal_rounds": f"""SELECT *, {r(f'sum(reward) {upto}', 'cumulative_reward')}, {r(f'sum(gain) {upto}', 'cumulative_value')}
+          FROM (SELECT CAST(1 AS DOUBLE) AS prior_precision, round_day, count(prec) AS n_kept,
+            {r('coalesce(sum(reward), 0)', 'reward')}, {r('coalesce(sum(reward * value), 0)', 'gain')}
+          FROM rounds LEFT JOIN d_kept USING (k) GROUP BY round_day)""",
+        "diagonal_online": f"SELECT feature, offer_id, {r('m', 'weight')} FROM o_s6 JOIN {feature_list} USING (j)",
+        "diagonal_summary": step["step_replay"],
+        "diagonal_best_offer": step["step_best_offer"],
+        "diagonal_recommend": step["step_ranking"],
+        "diagonal_top3": step["step_top3"],
+        "diagonal_share": step["step_share"],
+        "diagonal_regret": step["step_regret"],
+        "diagonal_projection": step["step_projection"],
+        "diagonal_top_weights": step["step_top_weights"],
+        "diagonal_weights": step["step_weights"],
+        "diagonal_examples": step["step_examples"],
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _with(select) for name, select in _statements().items()}
+    statements = _statements()
+    found = {name: _with(select) for name, select in statements.items()}
+    return found | {name: _with(select, diagonal=True) for name, select in _diagonal_statements(statements).items()}

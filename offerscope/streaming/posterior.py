@@ -14,7 +14,7 @@ def version_path(table: str, batch_id: int) -> str:
     return f"{table}/version={batch_id}"
 
 
-def batch_updater(table: str, prior: Sequence[Arm]) -> Callable[[DataFrame, int], None]:
+def batch_updater(table: str, prior: Sequence[Arm], update_rule: Callable = update_arms) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: read the version before this batch, update it, write this version.
 
     A batch that is run again overwrites its own version from the same
@@ -28,7 +28,7 @@ def batch_updater(table: str, prior: Sequence[Arm]) -> Callable[[DataFrame, int]
         )
         rows = batch.select(F.col("offer_id").alias("model"), "x", "reward").persist()
         try:
-            after, _ = update_arms(rows, before)
+            after, _ = update_rule(rows, before)
         finally:
             rows.unpersist()
         arms_frame(spark, after).coalesce(1).write.mode("overwrite").parquet(version_path(table, batch_id))
@@ -36,9 +36,11 @@ def batch_updater(table: str, prior: Sequence[Arm]) -> Callable[[DataFrame, int]
     return update
 
 
-def run_updates(outcomes: DataFrame, table: str, checkpoint: str, prior: Sequence[Arm]) -> None:
+def run_updates(
+    outcomes: DataFrame, table: str, checkpoint: str, prior: Sequence[Arm], update_rule: Callable = update_arms
+) -> None:
     query = (
-        outcomes.writeStream.foreachBatch(batch_updater(table, prior))
+        outcomes.writeStream.foreachBatch(batch_updater(table, prior, update_rule))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,10 +1,10 @@
 import numpy as np
 import small
 from pyspark.sql import functions as F
-from small import done, seen, sent
+from small import done, paid, seen, sent
 
 from offerscope.operators import cleaning, posterior
-from offerscope.streaming import attribution, posterior as online
+from offerscope.streaming import attribution, files, posterior as online
 
 
 def feed(spark, folder, batches):
@@ -18,8 +18,8 @@ def feed(spark, folder, batches):
 def attributed(spark, tmp_path, batches, delay):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     schema = feed(spark, source, batches)
-    stream = attribution.attribute_stream(attribution.event_stream(spark, source, schema), small.offers(spark), delay)
-    attribution.run_to_files(stream, out, checkpoint)
+    stream = attribution.attribute_stream(files.event_stream(spark, source, schema), small.offers(spark), delay)
+    files.run_to_files(stream, out, checkpoint)
     return attribution.latest(spark.read.parquet(out))
 
 
@@ -56,6 +56,51 @@ def test_sends_without_customer_or_offer_are_kept_without_outcome(spark, tmp_pat
     )
 
 
+def test_no_python_in_the_plan(spark, tmp_path):
+    schema = feed(spark, str(tmp_path / "in"), [[sent("c1", "b", 1.0)]])
+    events = files.event_stream(spark, str(tmp_path / "in"), schema)
+    for stream in (attribution.attribute_stream(events, small.offers(spark)), attribution.label_stream(events, small.offers(spark))):
+        plan = stream._jdf.queryExecution().toString()
+        assert "StreamingSymmetricHashJoin" in plan or "Join" in plan
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def labelled(spark, tmp_path, batches, delay="30 days", beats=2):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = feed(spark, source, batches)
+    for _ in range(beats):
+        log = spark.read.parquet(source).where(F.col("event") != attribution.HEARTBEAT)
+        attribution.heartbeat(log, small.offers(spark), 30).write.mode("append").parquet(source)
+    stream = attribution.label_stream(files.event_stream(spark, source, schema), small.offers(spark), delay)
+    files.run_to_files(stream, out, checkpoint)
+    return sorted((r["customer_id"], r["offer_id"], r["t_received"], r["reward"]) for r in spark.read.parquet(out).fillna("-").collect())
+
+
+def test_labels_come_once_from_chained_events(spark, tmp_path):
+    batches = [
+        [sent("c1", "i", 1.0), sent("c2", "i", 1.0), sent("c3", "i", 1.0), sent("c1", "b", 1.0), sent("c1", "i", 1.0)],
+        [paid("c1", 2.0), seen("c1", "i", 2.0), done("c1", "b", 6.0), done("c1", "b", 6.0), paid("c2", 2.0)],  # equal times count
+        [seen("c2", "i", 3.0), seen("c3", "i", 5.0), paid("c3", 5.0), paid("c2", 5.5)],  # c2: paid before the view, then too late
+        [sent(None, "i", 2.0), sent("c4", None, 2.0), sent("c4", "unknown", 2.0), seen(None, "i", 2.5), paid(None, 3.0), seen("c4", "i", 2.0)],
+    ]
+    assert labelled(spark, tmp_path, batches) == [
+        ("-", "i", 2.0, 0), ("c1", "b", 1.0, 1), ("c1", "i", 1.0, 1), ("c2", "i", 1.0, 0), ("c3", "i", 1.0, 1),
+        ("c4", "-", 2.0, 0), ("c4", "unknown", 2.0, 0),
+    ]
+
+
+def test_out_of_order_and_late_events_of_labels(spark, tmp_path):
+    batches = [
+        [paid("c1", 3.0), seen("c1", "i", 2.0), done("c2", "d", 4.0)],
+        [sent("c1", "i", 1.0), sent("c2", "d", 1.0), sent("c3", "d", 1.0)],
+        [sent("c9", "d", 40.0)],
+        [sent("c9", "d", 41.0)],
+        [done("c3", "d", 2.0)],  # behind the watermark
+    ]
+    found = labelled(spark, tmp_path, batches, delay="5 days")
+    assert found == [("c1", "i", 1.0, 1), ("c2", "d", 1.0, 1), ("c3", "d", 1.0, 0), ("c9", "d", 40.0, 0), ("c9", "d", 41.0, 0)]
+
+
 def test_online_posterior_query_equals_rounds_in_turn(campaign):
     from offerscope.plans import catalog
 
@@ -77,7 +122,7 @@ def test_online_posterior_equals_batches_in_turn(spark, campaign, tmp_path):
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(source)
     prior = posterior.prior_arms(campaign.values, campaign.n_features)
-    stream = attribution.event_stream(spark, source, outcomes.schema)
+    stream = files.event_stream(spark, source, outcomes.schema)
     table = str(tmp_path / "posterior")
     online.run_updates(stream, table, str(tmp_path / "check"), prior)
     arms = prior
