@@ -229,8 +229,9 @@ BOUNDED = "a long, b long, tile long, i long, j long, side long"
 
 
 def _bound(part: int, whole: int, high: int | None):
-    """Sorted rows of tile, i, j, node, side, component, now, n, bits -> pairs whose bound lets them link.
+    """Sorted rows of tile, i, j, node, side, component, now, n, bits, tiles -> pairs whose bound lets them link.
 
+    ``tiles`` are all that a class is in: a pair comes out in the first that both share only.
     For each class its partners in other components are ranked by their bound; pairs of the first
     ``high`` ranks come out as a, b, unless they are connected by ``now``.  Both classes of a pair
     that is ranked later come out as a with their block, for the next step; there those that
@@ -248,6 +249,9 @@ def _bound(part: int, whole: int, high: int | None):
             across = bool(get("i")[0] != get("j")[0])  # of two blocks: only between them
             bits = table.column("bits").to_pylist()
             bits = [np.frombuffer(bits[k], np.uint8) for k in order]
+            tile = int(get("tile")[0])
+            tiles = table.column("tiles").to_pylist()
+            tiles = [set(tiles[k]) for k in order]
             stop = np.searchsorted(n, n * whole // part, "right")
             found_a, found_b = [], []
             # sizes of a pair differ by a third at most, so the smaller set's length of map
@@ -269,6 +273,7 @@ def _bound(part: int, whole: int, high: int | None):
                     may = whole * overlap >= part * (n[k] + n[others] - overlap)
                     likeness = overlap[may] / (n[k] + n[others[may]] - overlap[may])
                     good = others[may][np.lexsort((node[others[may]], -likeness))]
+                    good = np.array([o for o in good if min(tiles[k] & tiles[o]) == tile], np.int64)
                     if high is not None and len(good) > high:
                         later[k] = True
                         later[good[high:]] = True
@@ -455,20 +460,20 @@ def jaccard_classes(
     first_roots = stage(_rooted(texts.select("node"), components(first_links)), "roots")
 
     sizes = classes.select("node", "n")
-    sketches = stage(
-        texts.select("node", "text").mapInArrow(_bitmaps(n), "node long, bits binary").join(sizes, "node"), "bitmaps"
-    )
+    sketches = texts.select("node", "text").mapInArrow(_bitmaps(n), "node long, bits binary").join(sizes, "node")
     # tiles that still hold several components; of tiles with the same classes, one
     placed = members.select("tile", "node").join(first_roots, "node")
     open_tiles = stage(distinct_tiles(placed), "open-tiles")
     in_blocks = stage(
         block_rows(placed.join(open_tiles, "tile").join(sizes, "node"), part, whole, BLOCK_BYTES), "tile-blocks"
     )
+    shared = in_blocks.select("node", "tile").distinct().groupBy("node").agg(F.collect_list("tile").alias("tiles"))
+    sketches = stage(sketches.join(shared, "node"), "bitmaps")
     roots_ = first_roots.withColumn("now", F.col("component"))
     for high in STEPS:
         found = stage(
             in_blocks.join(sketches.join(roots_, "node"), "node")
-            .select("tile", "i", "j", "node", "side", "component", "now", "n", "bits")
+            .select("tile", "i", "j", "node", "side", "component", "now", "n", "bits", "tiles")
             .repartition("tile", "i", "j")
             .sortWithinPartitions("tile", "i", "j")
             .mapInArrow(_bound(part, whole, high), BOUNDED),

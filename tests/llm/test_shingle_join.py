@@ -114,7 +114,7 @@ def test_long_near_copies_in_bounded_memory():
     maps = [rng.integers(0, 256, (1 << log_bits) // 8, dtype=np.uint8).tobytes() for _ in range(count)]
     columns = {
         "tile": [1] * count, "i": [0] * count, "j": [1] * count, "node": range(count), "side": [i % 2 for i in range(count)],
-        "component": range(count), "now": range(count), "n": [n] * count, "bits": maps,
+        "component": range(count), "now": range(count), "n": [n] * count, "bits": maps, "tiles": [[1, 2]] * count,
     }
     batch = pa.RecordBatch.from_pydict({k: pa.array(list(v)) for k, v in columns.items()})
     tracemalloc.start()
