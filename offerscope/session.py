@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -79,13 +80,33 @@ def stage(
     laid_out = df.hint("rebalance", *partition_by) if partition_by and rebalance else df
     laid_out.write.partitionBy(*partition_by).parquet(path)
     columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
-    return spark.read.schema(df.select(*columns).schema).parquet(path).select(*df.columns)
+    staged = spark.read.schema(df.select(*columns).schema).parquet(path).select(*df.columns)
+    staged._staged_path = path
+    return staged
+
+
+def _delete(spark: SparkSession, path: str) -> int:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True))
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete tables that ``stage`` returned and that nothing will read again."""
+    for df in frames:
+        if df._staged_path in _STAGED:
+            _STAGED.remove(df._staged_path)
+            _delete(df.sparkSession, df._staged_path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of frames that are out of reach go when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables this process staged; returns how many.  Frames that read them are then void."""
     count = 0
     while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        count += _delete(spark, _STAGED.pop())
     return count
