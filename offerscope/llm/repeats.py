@@ -35,7 +35,6 @@ an empty result; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerscope.llm.shingle_join import sorted_groups
-from offerscope.session import stage
+from offerscope.session import free_shuffles, stage, unstage
 
 LENGTH = 100
 #: Bytes of the rolling hash.
@@ -295,19 +294,23 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _free(spark) -> None:
-    """Shuffle files of steps that are over go when the driver's garbage does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _repeated_phrases(rows: DataFrame, length: int, window: int) -> DataFrame:
     """All phrases whose trigger occurs more than once."""
-    counted = rows.select("text").mapInArrow(_triggers(length, window), "t long, n long")
-    repeated = stage(counted.groupBy("t").agg(F.sum("n").alias("n")).filter("n > 1").select("t"), "triggers")
-    return stage(
+    repeated = stage(
+        rows.select("text")
+        .mapInArrow(_triggers(length, window), "t long, n long")
+        .groupBy("t")
+        .agg(F.sum("n").alias("n"))
+        .filter("n > 1")
+        .select("t"),
+        "triggers",
+    )
+    free_shuffles(rows.sparkSession)
+    hits = stage(
         rows.select("o", "r", "text").mapInArrow(_phrases(length, window), PHRASES).join(repeated, "t"), "phrases"
     )
+    unstage(repeated)
+    return hits
 
 
 def _pieces(rows: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
@@ -322,27 +325,27 @@ def _pieces(rows: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
     return stage(found, "dictionary-phrases")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """o, r, start, stop of repeated strings in ``rows`` (o: place in the corpus order, r: a hash of
-    the row, text: binary); touching and overlapping ones are left as they are."""
-    hits = _repeated_phrases(rows, length, window)
-    _free(rows.sparkSession)
-    place = F.struct("o", "place")
-    dictionary = stage(
-        hits.groupBy("t", "d", "strings").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "place", "r")).alias("first")
-        ),
-        "dictionary",
+def _dictionary(hits: DataFrame) -> DataFrame:
+    """The different phrases, their number, and where each is first."""
+    found = hits.groupBy("t", "d", "strings").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "place", "r")).alias("first")
     )
-    # whole phrases at later places
+    return stage(found, "dictionary")
+
+
+def _later_phrases(hits: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
+    """Whole phrases at later places than their first."""
     again = dictionary.filter("n > 1").select("t", "d", "strings", "first")
-    whole = (
+    found = (
         hits.join(again, ["t", "d", "strings"])
-        .filter(place > F.struct("first.o", "first.place"))
+        .filter(F.struct("o", "place") > F.struct("first.o", "first.place"))
         .select("o", "r", F.col("place").alias("start"), (F.col("place") + F.col("strings") + length - 1).alias("stop"))
     )
-    pieces = _pieces(rows, dictionary, length)
-    _free(rows.sparkSession)
+    return stage(found, "spans")
+
+
+def _later_parts(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Suffixes, of dictionary phrases that share a trigger, that came earlier."""
     few = (
         pieces.filter("NOT many")
         .repartition("t")
@@ -350,6 +353,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW)
         .mapInArrow(_later_suffixes(length), "o long, r long, start long, stop long")
     )
     # a trigger with very many phrases: their suffixes are dealt out by digest
+    place = F.struct("o", "place")
     suffixes = stage(pieces.filter("many").mapInArrow(_suffixes(length), SUFFIXES), "suffixes")
     intervals = suffixes.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     parts = (
@@ -357,6 +361,32 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW)
         .filter(place > F.col("first"))
         .select("o", "r", F.col("place").alias("start"), (F.col("place") + length).alias("stop"))
     )
+    found = stage(few, "spans"), stage(parts, "spans")
+    unstage(suffixes)
+    return found
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """o, r, start, stop of repeated strings in ``rows`` (o: place in the corpus order, r: a hash of
+    the row, text: binary); touching and overlapping ones are left as they are.
+
+    Each step's table is written and the one before it, with the shuffle files, goes, so that the
+    disk holds one or two of them at a time.
+    """
+    spark = rows.sparkSession
+    hits = _repeated_phrases(rows, length, window)
+    free_shuffles(spark)
+    dictionary = _dictionary(hits)
+    free_shuffles(spark)
+    whole = _later_phrases(hits, dictionary, length)
+    unstage(hits)
+    free_shuffles(spark)
+    pieces = _pieces(rows, dictionary, length)
+    unstage(dictionary)
+    free_shuffles(spark)
+    few, parts = _later_parts(pieces, length)
+    unstage(pieces)
+    free_shuffles(spark)
     return whole.unionByName(few).unionByName(parts)
 
 
