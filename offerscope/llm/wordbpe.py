@@ -392,7 +392,7 @@ class WordBpe:
         for text in texts:
             group.append(self.chunks(text))
             size += len(group[-1])
-            if size > 100_000:
+            if size > 400_000:
                 yield from self._encode_chunks(group)
                 group, size = [], 0
         yield from self._encode_chunks(group)
