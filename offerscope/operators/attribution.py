@@ -87,6 +87,36 @@ def attribute_outcomes(events: DataFrame, hot: Sequence[int] | None = None) -> D
     )
 
 
+def attribute_to_latest(events: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
+    """The same, but every view and completion counts for one send only: the latest at or before it.
+
+    All sends of one customer and offer have the same window, so if the latest is closed the
+    earlier ones are closed too.  The latest send runs forwards in time past the events; what
+    each send was given is then put together.
+    """
+    hot = hot_customers(events) if hot is None else hot
+    t = F.col("time_since_test_start")
+    instants = (
+        events.where(F.col("event").isin(RECEIVED, VIEWED, COMPLETED))
+        .groupBy(F.col("account_id").alias("customer_id"), "offer_id", t.alias("__t"))
+        .agg(*[F.max(F.col("event") == kind).alias(name) for kind, name in
+               ((RECEIVED, "__sent"), (VIEWED, "__seen"), (COMPLETED, "__done"))])
+    )
+    keyed = F.col("customer_id").isNotNull() & F.col("offer_id").isNotNull()
+    claimed = running_in_time(
+        instants,
+        hot,
+        ["customer_id", "offer_id"],
+        ["__t"],
+        [Measure("t_received", F.when(F.col("__sent"), F.col("__t")), "max")],
+        inclusive=True,
+    ).where("t_received IS NOT NULL")
+    return claimed.groupBy("customer_id", "offer_id", "t_received").agg(
+        F.min(F.when(keyed & F.col("__seen"), F.col("__t"))).alias("next_view"),
+        F.min(F.when(keyed & F.col("__done"), F.col("__t"))).alias("next_completion"),
+    )
+
+
 def close_windows(outcomes: DataFrame, offers: DataFrame) -> DataFrame:
     """Attach the offer's terms and keep the outcomes that fall inside its window."""
     ends = F.col("t_received") + F.col("duration")
@@ -178,15 +208,25 @@ OPPORTUNITY_COLUMNS = (
 )
 
 
+#: What an event inside the windows of several sends of one offer counts for.
+SHARED, LATEST_SEND = "shared", "latest_send"
+
+
 def opportunities(
-    events: DataFrame, offers: DataFrame, profile: DataFrame, hot: Sequence[int] | None = None
+    events: DataFrame,
+    offers: DataFrame,
+    profile: DataFrame,
+    hot: Sequence[int] | None = None,
+    dedupe: str = SHARED,
 ) -> DataFrame:
     """The opportunity table: one row per distinct send, with outcomes and attributes.
 
-    Customer attributes come last, so the sorts above move narrow rows only.
+    An event inside the windows of several sends counts for all of them (``shared``) or for the
+    ``latest_send``.  Customer attributes come last, so the sorts above move narrow rows only.
     """
     hot = hot_customers(events) if hot is None else hot
-    sends = close_windows(attribute_outcomes(events, hot), offers)
+    claim = {SHARED: attribute_outcomes, LATEST_SEND: attribute_to_latest}[dedupe]
+    sends = close_windows(claim(events, hot), offers)
     if hot:
         # the cut below reads its input twice
         sends = stage(sends, "sends")

@@ -68,6 +68,23 @@ def event_log(events: DataFrame, profile: DataFrame, offers: DataFrame) -> DataF
     )
 
 
+#: Rows up to which a dimension is sent to every task.
+SMALL_ROWS = 10_000
+
+
+def small_dimension(offers: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The offers as a local table that joins may broadcast, if there are few enough; else as they are.
+
+    A join on a key of ten values would deal all events out to ten partitions.  The rows are counted
+    as they are fetched, so what is broadcast is bounded; beyond the bound joins shuffle and adaptive
+    execution splits hot offers.
+    """
+    rows = offers.limit(most + 1).collect()
+    if len(rows) > most:
+        return offers
+    return F.broadcast(offers.sparkSession.createDataFrame(rows, offers.schema))
+
+
 def offer_terms(offers: DataFrame) -> DataFrame:
     return offers.select(
         F.col("id").alias("offer_id"),

@@ -301,6 +301,44 @@ def standardize(
     return with_stats.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
+#: Rounds whose statistics are merged on the driver.
+MAX_ROUNDS = 10_000
+
+
+def standardize_prefix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` scaled by the mean and population deviation of all earlier rounds.
+
+    Spark adds up count, mean and squared deviation per round; these few numbers are merged round
+    by round and sent back with the round they hold for.  A row never depends on its own round
+    or a later one.  The first round has nothing earlier and is left unscaled; a column without
+    spread so far has deviation 1.
+    """
+    per_round = df.groupBy("round_day").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(c) for c in columns]).alias("mean"),
+        F.array(*[F.var_pop(c) for c in columns]).alias("var"),
+    )
+    rounds = per_round.where("round_day IS NOT NULL").limit(MAX_ROUNDS + 1).collect()
+    if len(rounds) > MAX_ROUNDS:
+        raise ValueError(f"more than {MAX_ROUNDS} rounds; cut the log into slices of time first")
+    n, mean, squares = 0, [0.0] * len(columns), [0.0] * len(columns)
+    scales = []
+    for row in sorted(rounds, key=lambda r: r["round_day"]):
+        if n:
+            scales.append((row["round_day"], mean, [sd if (sd := (q / n) ** 0.5) > 1e-9 else 1.0 for q in squares]))
+        gaps = [b - a for a, b in zip(mean, row["mean"])]
+        total = n + row["n"]
+        squares = [q + v * row["n"] + g * g * n * row["n"] / total for q, v, g in zip(squares, row["var"], gaps)]
+        mean, n = [a + g * row["n"] / total for a, g in zip(mean, gaps)], total
+    known = df.sparkSession.createDataFrame(scales, "round_day int, __mean array<double>, __sd array<double>")
+    own = df.join(F.broadcast(known), "round_day", "left")
+    scaled = [
+        ((F.col(c) - F.coalesce(F.col("__mean")[i], F.lit(0.0))) / F.coalesce(F.col("__sd")[i], F.lit(1.0))).alias(c)
+        for i, c in enumerate(columns)
+    ]
+    return own.select(*[c for c in df.columns if c not in columns], *scaled)
+
+
 def one_hot(column: str, levels: Sequence[str], prefix: str) -> list[Column]:
     return [
         F.coalesce(F.col(column) == level, F.lit(False)).cast("double").alias(f"{prefix}_{level}")

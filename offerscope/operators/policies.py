@@ -8,6 +8,7 @@ every offer unless the ranking itself is the result.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from offerscope.functions import draws
 from offerscope.operators.metrics import completer_ticket
-from offerscope.operators.posterior import Arm, prior_arms, update_arms
+from offerscope.operators.posterior import MAX_FOLDS, Arm, in_slice, prior_arms, time_slices, update_arms
 from offerscope.operators.quantiles import exact_quantiles
 from offerscope.operators.scoring import SEED, best_of, map_scores, scores_by_round, thompson_scores
 from offerscope.operators.timeline import Measure, running
@@ -185,6 +186,7 @@ def thompson_replay(
     seed: int = SEED,
     history: list | None = None,
     update: Callable = update_arms,
+    slices: int = MAX_FOLDS,
 ) -> tuple[DataFrame, dict[float, list[Arm]]]:
     """Replay of a policy that learns, one send round at a time.
 
@@ -194,15 +196,15 @@ def thompson_replay(
     Returns one row per precision and round, and the final arms.  ``history`` gets
     what each round was chosen with: (round, its draws' seed, arms by precision).
     ``update`` moves the arms: by the full mode of each round, or by diagonal steps.
+    With more different send times than ``slices``, that many parts of the log are the rounds.
     """
     spark = design.sparkSession
     arms = {p: prior_arms(values, n_features, p) for p in precisions}
-    rounds = [r["round_day"] for r in design.groupBy("round_day").count().orderBy("round_day").collect()]
     rows = []
-    for number, day in enumerate(rounds):
+    for number, (day, last) in enumerate(time_slices(design, most=slices)):
         if history is not None:
             history.append((day, seed + number, dict(arms)))
-        of_round = design.where(F.col("round_day").eqNullSafe(day))
+        of_round = design.where(in_slice("round_day", day, last))
         choices = {
             str(p): best_of(thompson_scores(arms[p], seed + number))["offer_id"] for p in precisions
         }
@@ -436,9 +438,37 @@ def optimality(design: DataFrame, arms: Sequence[Arm], names: Sequence[str]) ->
     )
 
 
+def heldout_scores(design: DataFrame, folds: Sequence[tuple]) -> DataFrame:
+    """The logged offer's predicted success per row, by models that saw earlier rounds only.
+
+    Rows of the first round have no such model and are left out.
+    """
+    scores = scores_by_round([(day, SEED, {1.0: arms}) for day, arms in folds], draw=False)
+    own = F.filter(scores, lambda s: s["offer_id"] == F.col("offer_id"))
+    held_out = design.where(F.col("round_day").isin([day for day, _ in folds]))
+    return held_out.select("opp_id", "offer_id", "reward", "round_day", F.get(own, F.lit(0))["p"].alias("p"))
+
+
+def heldout_optimality(design: DataFrame, folds: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """What holds at the optimum of each fold's models (``optimality``), per fold, offer and feature."""
+    found = [
+        optimality(
+            design.where(F.col("round_day") < day),
+            [Arm(a.offer_id, a.value, a.m, (0.0, *a.q[1:])) for a in arms],
+            names,
+        ).select(F.lit(day).cast("int").alias("fold"), "*")
+        for day, arms in folds
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def calibration_deciles(design: DataFrame, arms: Sequence[Arm], accuracy: int = 10_000) -> DataFrame:
     """The same per offer and tenth of the predicted score."""
-    scored = predicted(design, arms)
+    return by_decile(predicted(design, arms), accuracy)
+
+
+def by_decile(scored: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Mean prediction against observed rate, per offer and tenth of the predicted score."""
     per_offer = scored.groupBy("offer_id").agg(
         F.percentile_approx("p", [i / 10 for i in range(1, 10)], accuracy).alias("edges")
     )

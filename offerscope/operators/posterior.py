@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bound on one step of a weight, bound on the logit.
@@ -250,6 +250,54 @@ def first_step(design: DataFrame, values: Mapping[str, float], n_features: int,
 # -- response models ----------------------------------------------------------------------
 
 
+#: Folds whose models are held at once, and slices a learning replay is cut into.
+MAX_FOLDS = 500
+
+
+def time_slices(rows: DataFrame, column: str = "round_day", most: int = MAX_FOLDS) -> list[tuple]:
+    """(low, high): consecutive ranges of a time column, each with rows and both ends included.
+
+    As many as there are different times, if they are at most ``most``; beyond it equal parts by a
+    quantile sketch, so that their number does not grow with the data.  Null times are (None, None).
+    """
+    times = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    unknown = [] if rows.where(F.col(column).isNull()).isEmpty() else [(None, None)]
+    if len(times) <= most:
+        return unknown + [(t, t) for t in sorted(times)]
+    edges = rows.agg(F.percentile_approx(column, [i / most for i in range(1, most + 1)], 20 * most)).first()[0]
+    ends = rows.agg(F.min(column), F.max(column)).first()
+    cuts = sorted({*edges, ends[1]})
+    found = []
+    for k, high in enumerate(cuts):
+        part = rows.where((F.col(column) > cuts[k - 1]) if k else F.lit(True)).where(F.col(column) <= high)
+        low = part.agg(F.min(column)).first()[0]
+        if low is not None:
+            found.append((low, high))
+    return unknown + found
+
+
+def in_slice(column: str, low, high) -> Column:
+    return F.col(column).isNull() if low is None else F.col(column).between(low, high)
+
+
+def fit_heldout(design: DataFrame, values: Mapping[str, float], n_features: int) -> list[tuple]:
+    """Response models of a rolling origin: (round, its models fitted on earlier rounds only).
+
+    A row adds to the sums of every later fold, so all folds of all offers share the same passes.
+    """
+    days = [low for low, _ in time_slices(design) if low is not None]
+    ridge = np.array([0.0] + [1.0] * (n_features - 1))
+    zero = np.zeros(n_features)
+    models = {f"{o}|{day}": Model(zero, ridge, zero.copy()) for o in values for day in days[1:]}
+    if not models:
+        return []
+    later = F.filter(F.lit(days[1:]), lambda day: day > F.col("round_day"))
+    rows = design.select("offer_id", "x", "reward", F.explode(later).alias("fold"))
+    fit(rows.select(F.concat_ws("|", "offer_id", "fold").alias("model"), "x", "reward"), models, max_passes=40)
+    flat = tuple([1.0] * n_features)
+    return [(d, [Arm(o, values[o], tuple(models[f"{o}|{d}"].w.tolist()), flat) for o in sorted(values)]) for d in days[1:]]
+
+
 def fit_response_models(design: DataFrame, values: Mapping[str, float], n_features: int) -> list[Arm]:
     """One logistic response model per offer: unit ridge on the weights, free intercept.
 

@@ -33,9 +33,9 @@ class Campaign:
     def from_json(cls, spark: SparkSession, folder: str, **options) -> Campaign:
         return cls(files.read_raw(tune(spark), folder), **options)
 
-    @property
+    @cached_property
     def offers(self) -> DataFrame:
-        return self.raw.offers
+        return cleaning.small_dimension(self.raw.offers)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -145,6 +145,10 @@ class Campaign:
     def response_models(self) -> list[posterior.Arm]:
         return posterior.fit_response_models(self.design, self.values, self.n_features)
 
+    @cached_property
+    def heldout_models(self) -> list[tuple]:
+        return posterior.fit_heldout(self.design, self.values, self.n_features)
+
     @cached_property
     def best_by_rate(self) -> str:
         return metrics.best_offer(self.design).first()["offer_id"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerscope.functions.columns import AGE_BANDS, COMPLETABLE_TYPES, age_band
-from offerscope.operators import features, metrics, policies, posterior, quality
+from offerscope.operators import attribution, features, metrics, policies, posterior, quality
 from offerscope.operators.posterior import arms_frame, collect_arms, prior_arms
 from offerscope.plans.campaign import Campaign
 from offerscope.session import new_staging_path, release_staged, staging_root, tune
@@ -108,6 +108,40 @@ def json_roundtrip(c: Campaign) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query
+def json_quarantine(c: Campaign) -> DataFrame:
+    """Raw events as JSON lines, those of one customer in fifty cut short: what parses, and what is set aside."""
+    spark = c.offers.sparkSession
+    folder, aside = (new_staging_path(spark, n) for n in ("json", "quarantine"))
+    raw = c.raw.transactions
+    line = F.to_json(F.struct(*raw.columns))
+    damaged = F.col("account_id").cast("bigint") % 50 == 0
+    cut = F.when(damaged, F.expr("substr(line, 1, length(line) - 7)")).otherwise(F.col("line"))
+    raw.select(line.alias("line"), "account_id").select(cut.alias("value")).write.text(folder)
+    good, bad = files.read_quarantined(spark, folder, raw.schema, aside)
+    n_bad = bad.agg(F.count(F.lit(1))).scalar()
+    return good.groupBy("event").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value.amount").alias("amount"), F.max(n_bad).alias("n_set_aside")
+    )
+
+
+@query
+def sink_incremental(c: Campaign) -> DataFrame:
+    """The opportunity table stored after 16 days, then brought up to date with the rest of the log."""
+    path = new_staging_path(c.offers.sparkSession, "opportunities")
+    build = lambda events: attribution.opportunities(events, c.offers, c.profile, c.hot)
+    since = 16.0
+    files.write_opportunities(build(c.staged_events.where(F.col("time_since_test_start") < since)), path)
+    files.update_opportunities(path, c.staged_events, since, build)
+    return files.read_opportunities(c.offers.sparkSession, path).groupBy("round_day").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("viewed").alias("viewed"),
+        F.sum("completed").alias("completed"),
+        F.sum("informational_success").alias("informational_success"),
+        F.sum("t_viewed").alias("view_times"),
+    )
+
+
 @query
 def profile_clean(c: Campaign) -> DataFrame:
     return c.profile
@@ -133,6 +167,21 @@ def opportunities(c: Campaign) -> DataFrame:
     return c.opps
 
 
+@query
+def opportunities_latest_send(c: Campaign) -> DataFrame:
+    """The opportunity table with every view and completion given to one send."""
+    found = attribution.opportunities(c.staged_events, c.offers, c.profile, c.hot, attribution.LATEST_SEND)
+    return found.select(
+        "opp_id", "customer_id", "offer_id", "t_received", "t_viewed", "t_completed", "viewed", "completed", "informational_success"
+    )
+
+
+@query
+def overcount_latest_send(c: Campaign) -> DataFrame:
+    found = attribution.opportunities(c.staged_events, c.offers, c.profile, c.hot, attribution.LATEST_SEND)
+    return quality.completion_overcount(c.staged_events, found)
+
+
 @query
 def informational_success(c: Campaign) -> DataFrame:
     return c.opps.select("opp_id", "offer_type", "t_viewed", "t_expires", "informational_success")
@@ -394,6 +443,12 @@ def standardized(c: Campaign) -> DataFrame:
     return features.standardize(c.staged_contexts.select("opp_id", *numeric), numeric)
 
 
+@query
+def standardized_prefix(c: Campaign) -> DataFrame:
+    numeric, _ = features.feature_columns(c.staged_contexts)
+    return features.standardize_prefix(c.staged_contexts.select("opp_id", "round_day", *numeric), numeric)
+
+
 @query
 def gender_onehot(c: Campaign) -> DataFrame:
     return c.opps.select("opp_id", *features.profile_columns()).select(
@@ -692,6 +747,17 @@ def calibration_deciles(c: Campaign) -> DataFrame:
     return policies.calibration_deciles(c.design, c.response_models)
 
 
+@query
+def calibration_heldout(c: Campaign) -> DataFrame:
+    """By offer and decile, on rounds that the models were not fitted on."""
+    return policies.by_decile(policies.heldout_scores(c.design, c.heldout_models))
+
+
+@query
+def heldout_optimality(c: Campaign) -> DataFrame:
+    return policies.heldout_optimality(c.design, c.heldout_models, c.feature_names)
+
+
 @query
 def response_regret(c: Campaign) -> DataFrame:
     return policies.policy_regret(c.design, policies.map_scores(c.response_models), c.policies())
@@ -706,9 +772,9 @@ def _online(c: Campaign, update_rule) -> list:
     source, table, progress = (new_staging_path(spark, n) for n in ("outcomes", "posterior", "progress"))
     outcomes = c.design.select("offer_id", "x", "reward", "round_day")
     prior = prior_arms(c.values, c.n_features)
-    days = [r["round_day"] for r in outcomes.select("round_day").distinct().orderBy("round_day").collect()]
-    for day in days:
-        outcomes.where(F.col("round_day").eqNullSafe(day)).write.mode("append").parquet(source)
+    days = posterior.time_slices(outcomes)
+    for low, high in days:
+        outcomes.where(posterior.in_slice("round_day", low, high)).write.mode("append").parquet(source)
         stream = stream_files.event_stream(spark, source, outcomes.schema, files_per_batch=1_000_000)
         online.run_updates(stream, table, progress, prior, update_rule)
     return collect_arms(spark.read.parquet(online.version_path(table, len(days) - 1))) if days else prior

@@ -200,6 +200,25 @@ def _ctes(diagonal: bool = False) -> list[tuple[str, str]]:
                 ("completions", "t_completed", "offer completed"),
             )
         ],
+        *[
+            (
+                name,
+                f"""SELECT opp_id, min(t) AS {time} FROM (
+                  SELECT e.t, arg_max(opp_id, t_received) AS opp_id FROM sends s
+                  JOIN (SELECT DISTINCT customer_id, offer_id, t FROM tx WHERE event = '{event}') e
+                    ON e.customer_id = s.customer_id AND e.offer_id = s.offer_id AND e.t BETWEEN t_received AND t_expires
+                  GROUP BY e.customer_id, e.offer_id, e.t) GROUP BY opp_id""",
+            )
+            for name, time, event in (
+                ("last_views", "t_viewed", "offer viewed"),
+                ("last_completions", "t_completed", "offer completed"),
+            )
+        ],
+        (
+            "followed_last",
+            """SELECT DISTINCT opp_id FROM sends s JOIN last_views USING (opp_id) JOIN tx e ON e.event = 'transaction'
+              AND e.customer_id = s.customer_id AND e.t BETWEEN t_viewed AND t_expires""",
+        ),
         (
             "followed",
             """SELECT DISTINCT opp_id FROM sends s JOIN views USING (opp_id) JOIN tx e ON e.event = 'transaction'
@@ -474,6 +493,21 @@ def _statements() -> dict[str, str]:
           CAST(registered_on_date AS VARCHAR) AS registered_on_date, min_value, discount_value,
           array_to_string(channels, ',') AS channels, {rs('t_received, t_expires')}, round_day,
           {rs('t_viewed, t_completed')}, viewed, completed, informational_success FROM opps""",
+        "opportunities_latest_send": f"""SELECT s.opp_id, customer_id, offer_id, {rs('t_received, t_viewed, t_completed')},
+          CAST(t_viewed IS NOT NULL AS INT) AS viewed, CAST(t_completed IS NOT NULL AS INT) AS completed,
+          CASE WHEN offer_type = 'informational' THEN CAST(f.opp_id IS NOT NULL AS INT) END AS informational_success
+          FROM sends s LEFT JOIN last_views USING (opp_id) LEFT JOIN last_completions USING (opp_id)
+          LEFT JOIN followed_last f ON f.opp_id = s.opp_id""",
+        "overcount_latest_send": """SELECT raw_completions, attributed_completions,
+          attributed_completions - raw_completions AS difference FROM (SELECT
+          (SELECT count(*) FROM tx WHERE event = 'offer completed') AS raw_completions,
+          (SELECT count(*) FROM last_completions) AS attributed_completions)""",
+        "json_quarantine": f"""SELECT event, count(*) AS n, {r('sum(raw_transactions.amount)', 'amount')},
+          (SELECT count(*) FROM raw_transactions WHERE CAST(account_id AS BIGINT) % 50 = 0) AS n_set_aside
+          FROM raw_transactions WHERE CAST(account_id AS BIGINT) % 50 <> 0 GROUP BY event""",
+        "sink_incremental": f"""SELECT round_day, count(*) AS n, CAST(sum(viewed) AS BIGINT) AS viewed,
+          CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(informational_success) AS BIGINT) AS informational_success,
+          {r('sum(t_viewed)', 'view_times')} FROM opps GROUP BY round_day""",
         "informational_success": f"""SELECT opp_id, offer_type, {rs('t_viewed, t_expires')}, informational_success
           FROM opps""",
         "reward_label": f"SELECT {base} FROM base",
@@ -604,6 +638,15 @@ def _statements() -> dict[str, str]:
         "standardized": "SELECT opp_id, "
         + ", ".join(r(f"x[{i + 1}]", n) for i, n in enumerate(FEATURES) if n in NUMERIC)
         + " FROM design",
+        "standardized_prefix": "SELECT opp_id, round_day, "
+        + ", ".join(
+            r(f"CASE WHEN e.n = 0 THEN c.{n} ELSE (c.{n} - e.mean_{n}) / CASE WHEN e.sd_{n} > 1e-9 THEN e.sd_{n} ELSE 1 END END", n)
+            for n in NUMERIC
+        )
+        + " FROM contexts c JOIN (SELECT a.round_day AS own, count(b.opp_id) AS n, "
+        + ", ".join(f"avg(b.{n}) AS mean_{n}, stddev_pop(b.{n}) AS sd_{n}" for n in NUMERIC)
+        + """ FROM (SELECT DISTINCT round_day FROM contexts) a LEFT JOIN contexts b ON b.round_day < a.round_day
+          GROUP BY a.round_day) e ON e.own = c.round_day""",
         "gender_onehot": "SELECT opp_id, "
         + ", ".join(f"CAST(CAST(gender = '{g}' AS INT) AS DOUBLE) AS gender_{g}" for g in GENDERS)
         + " FROM opps",
@@ -673,6 +716,10 @@ def _statements() -> dict[str, str]:
         # Both sides of the optimum's condition; "fitted" comes from the model in Spark, from the data here.
         "response_optimality": f"""SELECT offer_id, feature, count(*) AS n, {r('avg(reward * v)', 'fitted')},
           {r('avg(reward * v)', 'observed')} FROM flat JOIN {feature_list} USING (j) GROUP BY offer_id, feature""",
+        "heldout_optimality": f"""SELECT fold, offer_id, feature, count(*) AS n, {r('avg(reward * v)', 'fitted')},
+          {r('avg(reward * v)', 'observed')} FROM flat JOIN design USING (opp_id, offer_id, reward)
+          JOIN (SELECT round_day AS fold FROM (SELECT DISTINCT round_day FROM design)) ON round_day < fold
+          JOIN {feature_list} USING (j) GROUP BY fold, offer_id, feature""",
         # At the optimum of a model with a free intercept the mean prediction is the observed rate.
         "calibration": f"""SELECT offer_id, {r('avg(reward)', 'predicted_avg')}, {r('avg(reward)', 'real_rate')},
           count(*) AS n FROM contexts GROUP BY offer_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -22,6 +23,20 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt
     return spark.read.schema(schema).option("columnNameOfCorruptRecord", schemas.CORRUPT).json(path)
 
 
+def read_quarantined(spark: SparkSession, path: str, schema: T.StructType, into: str) -> tuple[DataFrame, DataFrame]:
+    """The lines that parse, and those that do not: file, text and what of it could be read, written to ``into``.
+
+    Bad lines are set aside in one pass and read back from ``into``, so that they can be counted
+    and mended without reading the source again.
+    """
+    whole = read_json(spark, path, schema, keep_corrupt=True)
+    broken = F.col(schemas.CORRUPT).isNotNull()
+    read = F.to_json(F.struct(*schema.names))  # the parser refuses to give the text of bad lines alone
+    bad = whole.where(broken).select(F.input_file_name().alias("file"), F.col(schemas.CORRUPT).alias("line"), read.alias("read"))
+    bad.write.mode("overwrite").parquet(into)
+    return whole.where(~broken).drop(schemas.CORRUPT), spark.read.schema("file string, line string, read string").parquet(into)
+
+
 @dataclass(frozen=True)
 class RawTables:
     offers: DataFrame
@@ -29,12 +44,16 @@ class RawTables:
     transactions: DataFrame
 
 
-def read_raw(spark: SparkSession, folder: str) -> RawTables:
-    return RawTables(
-        read_json(spark, f"{folder}/offers.json", schemas.OFFERS),
-        read_json(spark, f"{folder}/profile.json", schemas.PROFILE),
-        read_json(spark, f"{folder}/transactions.json", schemas.TRANSACTIONS),
-    )
+def read_raw(spark: SparkSession, folder: str, quarantine: str | None = None) -> RawTables:
+    """The three inputs.  With a ``quarantine`` folder, lines that do not parse go there; without, they
+    are null rows."""
+    found = {}
+    for name, schema in (("offers", schemas.OFFERS), ("profile", schemas.PROFILE), ("transactions", schemas.TRANSACTIONS)):
+        path = f"{folder}/{name}.json"
+        found[name] = (
+            read_quarantined(spark, path, schema, f"{quarantine}/{name}")[0] if quarantine else read_json(spark, path, schema)
+        )
+    return RawTables(**found)
 
 
 def write_raw(raw: RawTables, folder: str) -> None:
@@ -59,6 +78,27 @@ def write_opportunities(
     out.write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
+def update_opportunities(path: str, events: DataFrame, since: float, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Bring a stored opportunity table up to date with events that arrived from time ``since`` on.
+
+    ``events`` is the whole log and ``build`` makes opportunities of a log.  Only rounds with a
+    window that is still open at ``since``, and new ones, are made anew, from the events since the first
+    of their sends; only their folders are overwritten.
+    """
+    spark = events.sparkSession
+    stored = read_opportunities(spark, path)
+    # a send without a window (unknown offer) never has an outcome; a round is open by its last window
+    of_round = stored.groupBy("round_day").agg(F.max("t_expires").alias("end"), F.min("t_received").alias("start"))
+    first = of_round.where(F.col("end") >= since).agg(F.min("start")).first()[0]
+    start = min(x for x in (first, since) if x is not None)
+    fresh = build(events.where(F.col("time_since_test_start") >= start))
+    closed = of_round.where(F.col("end") < since).select("round_day")
+    changed = fresh.join(closed, "round_day", "left_anti").select(*fresh.columns)
+    changed.hint("rebalance", "round_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "round_day"
+    ).parquet(path)
+
+
 def read_opportunities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

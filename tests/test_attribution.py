@@ -156,3 +156,37 @@ def test_checks_report_problems(spark):
     assert quality.key_uniqueness(opps.union(opps), "opp_id").first()[0] == 2
     rounds = {r["round_day"]: (r["expected"], r["observed"]) for r in quality.round_check(opps).collect()}
     assert rounds[3] == (0, 1) and rounds[0] == (1, 1) and rounds[24] == (1, 0)
+
+
+def test_an_event_counts_for_the_latest_send_only(spark):
+    rows = [
+        sent("c1", "b", 0.0), sent("c1", "b", 3.0), sent("c1", "b", 3.0), seen("c1", "b", 2.0), seen("c1", "b", 4.0),
+        done("c1", "b", 3.0), done("c1", "b", 8.5), sent("c2", "b", 0.0), sent("c2", "b", 2.0), done("c2", "b", 1.0), done("c2", "b", 6.0),
+        sent(None, "b", 1.0), seen(None, "b", 1.5), sent("c1", None, 1.0), sent("c1", "zz", 1.0), seen("c1", "zz", 1.0),
+    ]
+    events = cleaning.flatten_transactions(small.transactions(spark, rows))
+    for hot in ([], None):
+        opps = attribution.opportunities(events, small.offers(spark), cleaning.clean_profile(small.profile(spark)), hot, attribution.LATEST_SEND)
+        found = small.rows(opps.select("customer_id", "offer_id", "t_received", "t_viewed", "t_completed"))
+        assert found == sorted(
+            [
+                ("c1", "b", 0.0, 2.0, None), ("c1", "b", 3.0, 4.0, 3.0), ("c2", "b", 0.0, None, 1.0), ("c2", "b", 2.0, None, 6.0),
+                (None, "b", 1.0, None, None), ("c1", None, 1.0, None, None), ("c1", "zz", 1.0, None, None),
+            ],
+            key=repr,
+        )
+
+
+def test_offers_are_joined_without_a_shuffle_on_their_key(campaign):
+    spark = campaign.offers.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (campaign.log, campaign.opps, campaign.contexts):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "SortMergeJoin [offer_id" in line]
+            assert not joins and "BroadcastHashJoin [offer_id" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    many = spark.range(30).select(F.col("id").cast("string").alias("id"))
+    assert cleaning.small_dimension(many, most=20) is many

@@ -81,3 +81,39 @@ def test_round_trip(spark, campaign, tmp_path):
     one = stored.where("round_day = 7")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(round_day" in plan
+
+
+def test_bad_lines_are_set_aside_with_their_text(spark, tmp_path):
+    from offerscope.sources import files, schemas
+
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    good = '{"id": "b", "offer_type": "bogo", "min_value": 10, "duration": 5, "discount_value": 10, "channels": ["email"]}'
+    (folder / "offers.json").write_text(f'{good}\n{good[:40]}\n{{"id": "d", "duration": "soon"}}\n')
+    kept, bad = files.read_quarantined(spark, str(folder / "offers.json"), schemas.OFFERS, str(tmp_path / "aside"))
+    assert [r["id"] for r in kept.collect()] == ["b"]
+    assert sorted(r["line"] for r in bad.collect()) == sorted([good[:40], '{"id": "d", "duration": "soon"}'])
+    assert all(r["file"].endswith("offers.json") for r in bad.collect()) and any('"id":"d"' in (r["read"] or "") for r in bad.collect())
+
+
+def test_a_stored_table_is_brought_up_to_date(spark, tmp_path):
+    import os
+
+    import small
+    from small import done, paid, seen, sent
+
+    from offerscope.operators import attribution
+    from offerscope.sources import files
+
+    profile = cleaning.clean_profile(small.profile(spark))
+    build = lambda events: attribution.opportunities(events, small.offers(spark), profile)
+    old = [sent("c1", "b", 0.0), done("c1", "b", 1.0), sent("c1", "d", 7.0), sent("c2", "i", 7.0), seen("c2", "i", 8.0), sent("c3", "zz", 7.0)]
+    new = [done("c1", "d", 13.0), paid("c2", 10.0), sent("c3", "b", 14.0), seen("c3", "b", 14.0), seen("c1", "d", 14.0)]
+    log = lambda rows: cleaning.flatten_transactions(small.transactions(spark, rows))
+    path = str(tmp_path / "opps")
+    files.write_opportunities(build(log(old)), path)
+    untouched = {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "opps" / "round_day=0").glob("*.parquet"))}
+    files.update_opportunities(path, log(old + new), 10.0, build)
+    columns = build(log(old)).columns
+    assert small.rows(files.read_opportunities(spark, path).select(*columns)) == small.rows(build(log(old + new)))
+    assert untouched == {f: os.stat(f).st_mtime_ns for f in untouched}

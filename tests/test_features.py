@@ -116,12 +116,32 @@ def test_scaler_can_be_fitted_on_the_first_round(campaign):
     assert abs(scaled.where("round_day = 0").agg(F.avg("customer_age")).first()[0]) < 1e-9
 
 
-@pytest.mark.parametrize("cuts", [2, 7, 64])
-def test_exact_quantiles(spark, cuts):
+def test_prefix_scaling_ignores_the_own_and_later_rounds(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(d, float(rng.randrange(50)), 7.0) for d in (0, 3, 3, 9) for _ in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(99, None, 1.0, 7.0)], "id int, round_day int, a double, b double")
+    found = {r["id"]: r for r in features.standardize_prefix(df, ["a", "b"]).collect()}
+    for i, (d, a, _) in enumerate(rows):
+        before = [x for e, x, _ in rows if e < d]
+        expected = (a - np.mean(before)) / np.std(before) if before else a
+        assert math.isclose(found[i]["a"], expected, abs_tol=1e-9)
+        assert found[i]["b"] == (0.0 if before else 7.0)
+
+
+def test_quantiles_put_few_values_in_order(spark):
+    df = spark.range(200_000).select((F.col("id") * 0.5).alias("v"))
+    row = exact_quantiles(df, ["v"], {"m": 0.5, "t": 0.9}, few=500)
+    assert row.first()["m"] == 199_999 / 2 * 0.5 and math.isclose(row.first()["t"], 0.9 * 199_999 * 0.5)
+
+
+@pytest.mark.parametrize(("accuracy", "few"), [(10_000, 100_000), (50, 20), (20, 1)])
+def test_exact_quantiles(spark, accuracy, few):
     rng = random.Random(3)
     values = [float(rng.choice([1, 1, 1, 2, 5, rng.random() * 9])) for _ in range(501)] + [1.0] * 250
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    row = exact_quantiles(df, ["v"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.93, "e": 1.0}, cuts=cuts).first()
+    row = exact_quantiles(df, ["v"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.93, "e": 1.0}, accuracy=accuracy, few=few).first()
     import numpy as np
 
     assert row["n"] == len(values)

@@ -18,6 +18,7 @@ WITHOUT_SQL = {
     "replay_thompson_rounds",
     "prior_sweep",
     "calibration_deciles",
+    "calibration_heldout",
     "response_regret",
     "online_posterior",
     "policy_summary",

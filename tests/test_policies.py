@@ -244,3 +244,65 @@ def test_too_many_arms_are_refused(spark, monkeypatch):
     monkeypatch.setattr(posterior, "MAX_MODELS", 2)
     with pytest.raises(ValueError, match="small dimension"):
         posterior.collect_arms(spark.range(3).select(F.col("id").cast("string").alias("offer_id")))
+
+
+def numpy_diagonal(rows, m, q, steps=3):
+    """The update straight from its formulas: rows of (x, y)."""
+    w = m.copy()
+    for _ in range(steps):
+        p = np.array([1 / (1 + np.exp(-np.clip(x @ w, -35, 35))) for x, _ in rows])
+        slope = q * (w - m) + sum((a - y) * x for a, (x, y) in zip(p, rows))
+        w = w - np.clip(slope / (q + sum(x * x * a * (1 - a) for a, (x, _) in zip(p, rows))), -2, 2)
+    p = np.array([1 / (1 + np.exp(-np.clip(x @ w, -35, 35))) for x, _ in rows])
+    return w, q + sum(x * x * a * (1 - a) for a, (x, _) in zip(p, rows))
+
+
+def test_diagonal_steps_equal_their_formulas(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"o{i % 2}", rng.normal(size=4).tolist(), int(rng.random() < 0.4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "model string, x array<double>, reward int").repartition(5)
+    arms = [posterior.Arm(o, 1.0, (0.1, 0.0, -0.2, 0.3), (1.0, 2.0, 0.5, 3.0)) for o in ("o0", "o1", "o2")]
+    updated, sums = posterior.diagonal_update(df, arms)
+    for a, before in zip(updated, arms):
+        mine = [(np.array(x), y) for o, x, y in rows if o == a.offer_id]
+        if not mine:
+            assert a == before and a.offer_id not in sums
+            continue
+        w, q = numpy_diagonal(mine, np.array(before.m), np.array(before.q))
+        assert np.allclose(a.m, w) and np.allclose(a.q, q) and sums[a.offer_id].n == len(mine)
+
+
+def test_heldout_models_saw_earlier_rounds_only(campaign):
+    folds = campaign.heldout_models
+    days = sorted(r[0] for r in campaign.design.select("round_day").distinct().collect())
+    assert [d for d, _ in folds] == days[1:]
+    for day, arms in (folds[0], folds[-1]):
+        alone = posterior.fit_response_models(campaign.design.where(F.col("round_day") < day), campaign.values, campaign.n_features)
+        for a, b in zip(arms, alone):
+            assert a.offer_id == b.offer_id and np.allclose(a.m, b.m, atol=1e-5)
+    scored = policies.heldout_scores(campaign.design, folds)
+    assert scored.where(F.col("round_day") == days[0]).isEmpty()
+    assert scored.count() == campaign.design.where(F.col("round_day") > days[0]).count()
+    by_day = {d: {a.offer_id: np.array(a.m) for a in arms} for d, arms in folds}
+    rows = {r["opp_id"]: r for r in campaign.design.collect()}
+    for r in scored.limit(50).collect():
+        x = np.array(rows[r["opp_id"]]["x"])
+        assert abs(r["p"] - 1 / (1 + np.exp(-x @ by_day[r["round_day"]][r["offer_id"]]))) < 1e-9
+
+
+def test_slices_of_time_are_bounded(spark):
+    times = spark.range(5000).select((F.col("id") / 7).cast("int").alias("round_day"))
+    slices = posterior.time_slices(times, most=12)
+    assert 6 <= len(slices) <= 13 and slices[0][0] == 0 and slices[-1][1] == 4999 // 7
+    assert all(a[1] < b[0] for a, b in zip(slices, slices[1:]))
+    sizes = [times.where(posterior.in_slice("round_day", *s)).count() for s in slices]
+    assert sum(sizes) == 5000 and max(sizes) < 1000
+    few = times.where("round_day < 5").unionByName(spark.createDataFrame([(None,)], "round_day int"))
+    assert posterior.time_slices(few, most=12) == [(None, None), *[(d, d) for d in range(5)]]
+
+
+def test_a_replay_by_slices_of_rounds_is_the_replay_by_rounds(campaign):
+    run = lambda n: policies.thompson_replay(campaign.design, campaign.values, campaign.n_features, slices=n)[0]
+    whole = [tuple(r) for r in run(500).collect()]
+    assert [tuple(r) for r in run(6).collect()] == whole
+    assert 1 <= run(2).count() <= 3
