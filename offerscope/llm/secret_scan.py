@@ -5,9 +5,9 @@
    ``loose``) are candidates only.
 2. Each candidate's value is hashed, and the hashes are aggregated over the whole corpus
    by distinct repositories and distinct owners.
-3. A value held by ``example_owners`` owners or more is a widely copied example; the number
-   of repositories is reported only, since one owner's copies do not make a secret public.  Of the
-   rest, values that look generated (digits and letters, enough different characters)
+3. A value held by ``example_owners`` owners or more is a widely copied example; the number of
+   repositories is reported with each span, but one owner's copies, in however many repositories,
+   do not make a secret public.  Of the rest, values that look generated (digits and letters, enough different characters)
    are live-looking.  Wider candidates become spans only if they are live-looking.
 
 Positions are code points, end exclusive: the text between matches comes from ``split``
@@ -16,7 +16,8 @@ Only matches are shuffled, never texts.  A value that occurs in a third of all r
 counted by partial sums and met by a join that adaptive execution can split.
 
 Defined results: a null or empty text has no spans; a null owner or repository counts as
-one of its own; repeated rows are scanned one by one; an empty table gives an empty result.
+one of its own; repeated rows are scanned one by one; an empty table gives an empty result; other
+columns, whatever their names, are ignored unless they are kept.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def candidates(scanned: DataFrame, owner: str, repository: list[str]) -> DataFra
     long_enough = reduce(
         lambda a, b: a | b,
         [
-            (F.col("kind") == kind) & (F.char_length(F.col("value" if group else "value")) >= least)
-            for kind, (_, group, least) in KINDS.items()
+            (F.col("kind") == kind) & (F.char_length("value") >= least)
+            for kind, (_, _, least) in KINDS.items()
         ],
     )
     return placed.filter(long_enough).select(
@@ -182,7 +183,8 @@ def secret_spans(
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, the checksum of the base spans and all spans as text."""
+    """Counts per base kind, the checksum of the base spans, all spans as text, and ``spread``: how many
+    owners and repositories hold each span's value, as owners:repositories in the spans' order."""
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
@@ -194,6 +196,12 @@ def digest(found: DataFrame) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
+        F.array_join(
+            F.transform(
+                spans, lambda s: F.concat_ws(":", s["n_owners"].cast("string"), s["n_repositories"].cast("string"))
+            ),
+            ",",
+        ).alias("spread"),
         F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter(spans, lambda s: ~s["live"])).cast("long").alias("n_examples"),
     )

@@ -107,3 +107,52 @@ def test_without_a_language_to_learn_from_texts_with_letters_stay(spark):
     kept = corpus_pipeline.known_language(spark, docs, SF_DIR)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == [rows[0], rows[4]]
+
+
+CLASHING = ("_whole_text", "_quality", "_language", "_likeness", "_hash", "_spans", "_key", "_text", "score", "node", "piece", "row")
+
+
+def odd_documents(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    full = [(i, t, g, s, len(t) if t is not None else None, *["x"] * len(CLASHING)) for i, t, g, s in rows]
+    return spark.createDataFrame(full, schema)
+
+
+def test_stages_take_odd_rows_clashing_names_and_empty_tables(spark):
+    sentence = "the quick brown fox jumps over the lazy dog and runs away from the old house on the hill"
+    rows = [
+        (1, sentence, "en", "a"), (2, sentence, "en", "b"), (2, sentence, "en", "b"), (None, sentence, "en", None),
+        (3, None, "en", "a"), (4, "", None, None), (5, "token = abcdefghij0123456789 " + sentence, "en", "a"),
+        (6, "der schnelle braune fuchs springt über den faulen hund und läuft weg vom alten haus", "de", "a"),
+    ]
+    docs = odd_documents(spark, rows)
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        found = stage(function(spark, docs, SF_DIR), name)
+        assert found.columns == docs.columns, name
+        nothing = function(spark, docs.limit(0), SF_DIR)
+        assert nothing.columns == docs.columns and nothing.isEmpty(), name
+    assert corpus_pipeline.packed(spark, docs.limit(0), SF_DIR).isEmpty()
+    assert corpus_pipeline.packed(spark, docs, SF_DIR).count() == len(rows)
+    # ties: of equal texts the smallest id stays, a null id counts as the last; 5 has 14 of 17 shingles in common
+    kept = corpus_pipeline.one_of_each_group(spark, docs, SF_DIR).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4, 6]
+    clean = {r["doc_id"]: r for r in corpus_pipeline.without_secrets(spark, docs, SF_DIR).collect()}
+    assert corpus_pipeline.MARK in clean[5]["text"] and clean[5]["n_chars"] == len(clean[5]["text"])
+    assert clean[1]["text"] == sentence and clean[3]["text"] is None
+
+
+def test_rows_whose_short_hash_agrees_are_kept_apart(spark, monkeypatch):
+    """Equal first halves of the row hash: the other half still tells rows apart."""
+    from pyspark.sql import functions as F
+
+    from offerscope.llm import shingle_join
+
+    whole = shingle_join.row_hash
+    monkeypatch.setattr(
+        shingle_join, "row_hash", lambda key, text: F.struct(F.lit(0).cast("long").alias("a"), whole(key, text)["b"].alias("b"))
+    )
+    rows = [(i, f"some words of text number {i} and secret = abcdef0123456789{i} or more of them", "en", "a", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.one_of_each_group(spark, docs, SF_DIR).count() == 6
+    clean = corpus_pipeline.without_secrets(spark, docs, SF_DIR).collect()
+    assert len(clean) == 6 and all(f"number {r['doc_id']} " in r["text"] and "abcdef" not in r["text"] for r in clean)
