@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import small
 from pyspark.sql import functions as F
 from small import done, paid, seen, sent
@@ -7,6 +8,15 @@ from offerscope.operators import cleaning, posterior
 from offerscope.streaming import attribution, files, posterior as online
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each stateful operator has a state store per partition and batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def feed(spark, folder, batches):
     """One parquet file per batch, in order."""
     for rows in batches:
