@@ -81,6 +81,9 @@ def exact_quantiles(
         own = _by_group(values, group, bounds, "low: double, high: double")
         placed = values.select("*", own.alias("__b")).select(*group, "value", *[F.col("__b")[n].alias(f"__{n}") for n in names])
         inside = {n: F.col("value").between(F.col(f"__{n}.low"), F.col(f"__{n}.high")) for n in names}
+        if all(n <= few for n in totals.values()):  # few to begin with: the bounds hold them all
+            found = {k: {n: {"below": 0} for n in names} for k in totals}
+            break
         counted = placed.groupBy(*group).agg(
             *[
                 F.struct(
