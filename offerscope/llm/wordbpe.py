@@ -1,5 +1,6 @@
 """Byte-pair encoding with word ends, vectorised over all new words of a batch, and tree
-concatenation for long unsplit text.
+concatenation for long unsplit text.  Arrow cuts the texts at white space and numbers their
+different chunks, so a batch looks each of them up once.
 
 A text is split at white space, then into words by the vocabulary's pattern; no merge
 crosses a word.  Words seen before come from a cache of bounded bytes that never takes up a
@@ -23,9 +24,11 @@ import json
 import sys
 import types
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Symbols (bytes) up to which a word is encoded at once.
 LEAF = 64
@@ -46,6 +49,9 @@ FIRST_UNASSIGNED = "\u0378"
 
 NONE = np.int64(1 << 40)
 
+#: Kinds of characters; each one of the last two is a word of its own.
+LETTER, OTHER, DIGIT, LINE_END = range(4)
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else one from 256 on."""
@@ -63,6 +69,49 @@ def worker_encoder(file: str) -> WordBpe:
     return kept.encoder
 
 
+def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``starts``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+
+
+class IdTable:
+    """Strings, numbered in the order they came, with the ids of all of them in one growing array."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat = np.empty(1 << 12, np.uint32)
+        self.bounds = np.zeros(1 << 10, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def items(self) -> Iterator[tuple[str, bytes]]:
+        for text, n in self.number.items():
+            yield text, self.flat[self.bounds[n] : self.bounds[n + 1]].tobytes()
+
+    def add(self, texts: Sequence[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Put new strings in, with their ids in a row."""
+        n = len(self.number)
+        used = int(self.bounds[n])
+        if len(self.flat) < used + len(ids):
+            self.flat = np.concatenate([self.flat[:used], np.empty(used + 2 * len(ids), np.uint32)])
+        if len(self.bounds) <= n + len(texts):
+            self.bounds = np.concatenate([self.bounds[: n + 1], np.empty(n + 2 * len(texts), np.int64)])
+        self.flat[used : used + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(texts)] = used + np.cumsum(lengths)
+        self.number.update(zip(texts, range(n, n + len(texts))))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings with these numbers in a row, and how many each has."""
+        starts = self.bounds[numbers]
+        lengths = self.bounds[numbers + 1] - starts
+        return spread(self.flat, starts, lengths), lengths
+
+
 class WordBpe:
     """Encoder for a vocabulary file of the ``tokenizers`` library of the word-end kind."""
 
@@ -87,10 +136,12 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self._index(left << 20 | right)
         self.words = regex.compile(WORDS)
+        self.letter, self.digit = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+        self.kind, self.kinds_of = np.zeros(sys.maxunicode + 1, np.uint8), set()
+        self.words_and_ends = regex.compile(WORDS + r"|\n")
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.of_word: dict[str, bytes] = {}
-        self.of_chunk: dict[str, bytes] = {}
+        self.of_word, self.of_chunk = IdTable(), IdTable()
         self.held = 0
 
     # pairs of tokens -> rank, by an open-addressed table
@@ -117,14 +168,18 @@ class WordBpe:
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 20 | right
         at = self._place(keys)
-        found = np.where(self.keys[at] == keys, self.ranks[at], NONE)
+        held = self.keys[at]
+        same = held == keys
+        found = np.where(same, self.ranks[at], NONE)
+        open_ = np.flatnonzero(~same & (held != -1))
         for step in range(1, self.probes):
-            open_ = np.flatnonzero((found == NONE) & (self.keys[at] != -1))
             if not len(open_):
                 break
             slot = (at[open_] + step) & ((1 << self.bits) - 1)
-            hit = self.keys[slot] == keys[open_]
-            found[open_[hit]] = self.ranks[slot[hit]]
+            held = self.keys[slot]
+            same = held == keys[open_]
+            found[open_[same]] = self.ranks[slot[same]]
+            open_ = open_[~same & (held != -1)]
         return found
 
     # merging
@@ -148,18 +203,19 @@ class WordBpe:
             else:
                 done[i] = np.empty(0, np.int64)
         if short:
-            flat, bounds = self._merge_side_by_side([words[i] for i in short])
+            flat, bounds = self._merge_side_by_side(
+                [words[i][0] for i in short], np.array([words[i][1] for i in short])
+            )
             for i, a, b in zip(short, bounds.tolist(), bounds[1:].tolist()):
                 done[i] = flat[a:b]
         return done
 
-    def _merge_side_by_side(self, words: Sequence[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words in a row, and the bounds of each word's own."""
-        sizes = np.array([len(data) for data, _ in words])
-        raw = np.frombuffer(b"".join(data for data, _ in words), np.uint8)
+    def _merge_side_by_side(self, words: Sequence[bytes], final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in a row, and the bounds of each word's own.  ``final``: the word's end is in it."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[raw]
         ends = np.cumsum(sizes) - 1
-        final = np.array([f for _, f in words])
         ids[ends[final]] = self.last[raw[ends[final]]]
         word = np.repeat(np.arange(len(words)), sizes)
         result_ids, result_words = [], []
@@ -308,78 +364,120 @@ class WordBpe:
             at = m.end()
         return parts + self.words.findall(self._normal(chunk[at:]))
 
-    def _unknown(self, chunk: str) -> bool:
-        return max(chunk) >= FIRST_UNASSIGNED and any(unicodedata.category(c) == "Cn" for c in chunk)
-
-    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Put ``chunks`` into the cache; those too long for it are returned."""
-        known, words = self.of_chunk, self.of_word
-        passing: dict[str, bytes] = {}
-        # chunks of one word, and of one word and a closing mark
-        plain: dict[str, tuple[list[str], list[str]]] = {m: ([], []) for m in ("", ",", ".")}
-        mixed, mixed_parts = [], []
-        size = 0
-        for chunk in chunks:
-            if chunk.isascii():
-                normal = chunk.lower()
-            elif self._unknown(chunk):
-                passing[chunk] = np.array(self._by_library(chunk), "<u4").tobytes()
+    def _odd(self, chunks: list[str]) -> tuple[set[str], set[str]]:
+        """Chunks that are taken one by one (long, with special strings or a capital sigma), and those among
+        them for the library."""
+        used = set("".join(chunks))
+        unknown = {c for c in used if c >= FIRST_UNASSIGNED and unicodedata.category(c) == "Cn"}
+        foreign = {c for c in chunks if not unknown.isdisjoint(c)} if unknown else set()
+        odd = {c for c in chunks if len(c) > KEPT_CHARS}
+        if "<" in used and self.special:
+            odd.update([c for c in chunks if "<" in c])
+        if "Σ" in used:
+            odd.update([c for c in chunks if "Σ" in c])
+        return odd | foreign, foreign
+
+    def _learn(self, chunks: list[str]) -> dict[str, np.ndarray]:
+        """Put ``chunks`` into the cache; the ids of those that it does not keep are returned."""
+        odd, foreign = self._odd(chunks)
+        passing: dict[str, np.ndarray] = {}
+        for chunk in odd:
+            if chunk in foreign:
+                passing[chunk] = np.array(self._by_library(chunk), np.uint32)
                 continue
-            else:
-                normal = self._normal(chunk)
+            ids = self._encode_parts(self._parts(chunk, self._normal(chunk)))
             if len(chunk) > KEPT_CHARS:
-                passing[chunk] = self._encode_long(self._parts(chunk, normal))
-                continue
-            size += len(chunk)
-            if normal.isalpha():
-                of_one, own = plain[""]
-            elif normal[-1:] in (",", ".") and normal[:-1].isalpha():
-                of_one, own = plain[normal[-1]]
-                normal = normal[:-1]
+                passing[chunk] = ids
             else:
-                mixed.append(chunk)
-                mixed_parts.append(self._parts(chunk, normal))
-                continue
-            of_one.append(chunk)
-            own.append(normal)
-        new = set(plain[""][1]).union(plain[","][1], plain["."][1], (",", "."))
-        new.update([w for parts in mixed_parts for w in parts if isinstance(w, str)])
-        fresh = self._encode_words(new - words.keys())
-        words.update(fresh)
-        before = len(known)
-        get = words.__getitem__
-        known.update(zip(plain[""][0], map(get, plain[""][1])))
-        for mark in (",", "."):
-            end = words[mark]
-            known.update({chunk: words[w] + end for chunk, w in zip(*plain[mark])})
-        for chunk, parts in zip(mixed, mixed_parts):
-            known[chunk] = b"".join([get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in parts])
-        self.held += 3 * size + ENTRY_BYTES * (len(fresh) + len(known) - before)
+                self._keep(self.of_chunk, [chunk], ids, np.array([len(ids)]))
+        plain = [c for c in chunks if c not in odd] if odd else chunks
+        for group in ([c for c in plain if "'" not in c], [c for c in plain if "'" in c]):
+            if group:
+                self._learn_plain(group)
         return passing
 
-    def _encode_long(self, parts: list[str | int]) -> bytes:
-        """The ids of a chunk that no cache keeps."""
-        words = self._encode_words({w for w in parts if isinstance(w, str)})
-        return b"".join([words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts])
-
-    def _encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        new = list(words)
-        data = [w.encode() for w in new]
-        found: dict[str, bytes] = {}
+    def _cut(self, lines: str) -> pa.Array:
+        """The words and line ends of a text without other white space."""
+        if "'" in lines:
+            return pa.array(self.words_and_ends.findall(lines), pa.large_string())
+        # without a short form such as 's, a word ends where the kind of character changes and after each digit
+        for c in set(lines) - self.kinds_of:
+            self.kind[ord(c)] = self.kind_of(c)
+            self.kinds_of.add(c)
+        points = np.frombuffer(lines.encode("utf-32-le"), "<u4")
+        kind = self.kind[points]
+        starts = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] >= DIGIT)])
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        upto = np.r_[0, np.cumsum(width)]
+        offsets = upto[np.r_[starts, len(points)]]
+        return pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(offsets), pa.py_buffer(lines.encode())
+        )
+
+    def kind_of(self, c: str) -> int:
+        return LINE_END if c == "\n" else LETTER if self.letter.match(c) else DIGIT if self.digit.match(c) else OTHER
+
+    def _learn_plain(self, chunks: list[str]) -> None:
+        """All chunks are normalised and cut into words as one text, a line for each."""
+        lines = "\n".join(chunks)
+        if not lines.isascii():
+            lines = unicodedata.normalize("NFC", lines)
+        parts = self._cut(lines.lower() + "\n").dictionary_encode()
+        part, words = parts.indices.to_numpy(), parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        end = words.index("\n")
+        known = self.of_word.number
+        number = list(map(known.get, words))
+        if fresh := [w for w, n in zip(words, number) if n is None and w != "\n"]:
+            self._keep(self.of_word, *self._encode_words(fresh))
+        number = np.array([known.get(w, 0) if n is None else n for w, n in zip(words, number)])
+        is_end = part == end
+        ids, lengths = self.of_word.gather(number[part[~is_end]])
+        upto = np.r_[0, np.cumsum(lengths)]
+        ends = np.flatnonzero(is_end)
+        after = upto[ends - np.arange(len(ends))]  # ids before the end of each chunk
+        self._keep(self.of_chunk, chunks, ids, np.diff(np.r_[0, after]))
+
+    def _keep(self, table: IdTable, texts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        table.add(texts, ids, lengths)
+        self.held += ENTRY_BYTES * len(texts) + 4 * len(ids) + sum(map(len, texts))
+
+    def _encode_parts(self, parts: list[str | int]) -> np.ndarray:
+        """The ids of words, which no cache keeps, and of special strings."""
+        table = IdTable()
+        if words := list({w for w in parts if isinstance(w, str)}):
+            table.add(*self._encode_words(words))
+        known = [table.gather(np.array([table.number[w]]))[0] if isinstance(w, str) else [w] for w in parts]
+        return np.concatenate(known).astype(np.uint32) if known else np.empty(0, np.uint32)
+
+    def _encode_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids in a row, and how many each has."""
+        data = [w.encode() for w in words]
         short = [i for i, d in enumerate(data) if len(d) <= LEAF]
+        order, ids, lengths = [words[i] for i in short], [], []
         if short:
-            ids, bounds = self._merge_side_by_side([(data[i], True) for i in short])
-            flat, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
-            found = {new[i]: flat[a:b] for i, a, b in zip(short, at, at[1:])}
-        for word, d in zip(new, data):
-            if len(d) > LEAF:
-                found[word] = self.tree(d).astype("<u4").tobytes()
-        return found
-
-    def chunks(self, text: str) -> list[str]:
-        if any(c in text for c in NOT_SPACE):
-            return [c for c in self.spaces.split(text) if c]
-        return text.split()
+            flat, bounds = self._merge_side_by_side([data[i] for i in short], np.ones(len(short), bool))
+            ids.append(flat)
+            lengths.append(np.diff(bounds))
+        if len(short) < len(words):
+            for word, d in zip(words, data):
+                if len(d) > LEAF:
+                    order.append(word)
+                    ids.append(self.tree(d))
+                    lengths.append(np.array([len(ids[-1])]))
+        return order, np.concatenate(ids).astype(np.uint32), np.concatenate(lengths)
+
+    def _chunks(self, texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts in a row, and the bounds of each text's own."""
+        if any(c in text for text in texts for c in NOT_SPACE):
+            lists = [[c for c in self.spaces.split(text) if c] for text in texts]
+            cut = pa.array(lists, pa.large_list(pa.large_string()))
+        else:
+            cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        flat = cut.flatten()
+        filled = pc.greater(pc.binary_length(flat), 0)
+        upto = np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))]
+        sizes = pc.list_value_length(cut).to_numpy()
+        return flat.filter(filled), upto[np.r_[0, np.cumsum(sizes)]]
 
     def encode_batch(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -387,32 +485,36 @@ class WordBpe:
             self.of_chunk.clear()
             self.of_word.clear()
             self.held = 0
-        group: list[list[str]] = []
-        size = 0
-        for text in texts:
-            group.append(self.chunks(text))
-            size += len(group[-1])
-            if size > 400_000:
-                yield from self._encode_chunks(group)
-                group, size = [], 0
-        yield from self._encode_chunks(group)
-
-    def _encode_chunks(self, group: list[list[str]]) -> Iterator[bytes]:
-        get = self.of_chunk.get
-        found = [list(map(get, chunks)) for chunks in group]
-        missing: set[str] = set()
-        for chunks, ids in zip(group, found):
-            if None in ids:
-                missing.update([c for c, x in zip(chunks, ids) if x is None])
+        if not texts:
+            return
+        flat, bounds = self._chunks(texts)
+        numbered = flat.dictionary_encode()
+        ids, lengths = self._ids_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        chunk = numbered.indices.to_numpy()
+        size = lengths[chunk]
+        made = spread(ids, (np.cumsum(lengths) - lengths)[chunk], size).astype("<u4").tobytes()
+        upto = 4 * np.r_[0, np.cumsum(size)][bounds]
+        for a, b in zip(upto.tolist(), upto[1:].tolist()):
+            yield made[a:b]
+
+    def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks in a row, and how many each has."""
+        known = self.of_chunk.number
+        number = list(map(known.get, chunks))
+        missing = [c for c, n in zip(chunks, number) if n is None]
         passing = self._learn(missing) if missing else {}
-        held = self.of_chunk.__getitem__
-        for chunks, ids in zip(group, found):
-            if None not in ids:
-                yield b"".join(ids)
-            elif passing:
-                yield b"".join([passing[c] if c in passing else held(c) for c in chunks])
-            else:
-                yield b"".join(map(held, chunks))
+        if not passing:
+            return self.of_chunk.gather(np.array([known[c] if n is None else n for c, n in zip(chunks, number)], np.int64))
+        kept = [c for c in chunks if c not in passing]
+        ids, lengths = self.of_chunk.gather(np.fromiter(map(known.__getitem__, kept), np.int64, len(kept)))
+        sizes = np.fromiter((len(passing[c]) if c in passing else -1 for c in chunks), np.int64, len(chunks))
+        own = sizes >= 0
+        sizes[~own] = lengths
+        starts = np.empty(len(chunks), np.int64)
+        starts[~own] = np.cumsum(lengths) - lengths
+        starts[own] = len(ids) + np.cumsum(sizes[own]) - sizes[own]
+        both = np.concatenate([ids, *[passing[c] for c in chunks if c in passing]])
+        return spread(both, starts, sizes), sizes
 
     def decode(self, ids: Sequence[int]) -> str:
         """Tokens as the file spells them, word ends included, joined by spaces: it names no decoder."""

@@ -77,6 +77,21 @@ def test_the_cache_is_bounded_by_bytes_and_takes_no_long_text(library, encoder,
         assert held() < 400_000
 
 
+def test_texts_of_a_batch_do_not_mix(library, encoder):
+    rng = random.Random(5)
+    pieces = ["don't", "it's", "'s", "''s", "a'", "Σίσυφος", "ΟΔΟΣ", "\x1c", "a\x1db", "é", "e\u0301", "\u1112\u1161\u11ab", "½",
+              "3.14", "x1y2", "<b>", *list(encoder.specials)[:3], "the", "The,", "the.", "\u0378", "ab\u0378c", "𝔘𝔫", "٣", "²",
+              "ab" * 200, "=-" * 90, "\xa0", "\u3000", "\n", "\x85", "İ", "ß", "ﬁ", "\U0001f600", "Ⅷ", "\u2003", "_", "1" * 70]
+    for _ in range(150):
+        texts = [
+            "".join(rng.choice(pieces) + rng.choice([" ", "", "\t", ". "]) for _ in range(rng.randrange(25)))
+            for _ in range(rng.randrange(1, 9))
+        ]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch(texts)]
+        assert got == [expected(library, text) for text in texts]
+    assert list(encoder.encode_batch([])) == [] and list(encoder.encode_batch(["", "", " "])) == [b"", b"", b""]
+
+
 def test_special_strings_spaces_and_case(library, encoder):
     for text in ("a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "x\x1cy \x1f z", "ΣΑΣ Σ", "don't 'S's", "\u0085a　b​c", "é é ́a"):
         assert found(encoder, text) == expected(library, text)
