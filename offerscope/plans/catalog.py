@@ -798,9 +798,10 @@ def stream_attribution(c: Campaign) -> DataFrame:
     """The event log replayed as a stream of files, attributed as it arrives."""
     spark = c.offers.sparkSession
     source, output, checkpoint = (new_staging_path(spark, n) for n in ("stream", "attributed", "progress"))
-    c.events.repartitionByRange("time_since_test_start").write.parquet(source)
+    stream_files.write_log(c.events, "time_since_test_start", source)
     events = stream_files.event_stream(spark, source, c.events.schema, files_per_batch=2)
-    stream_files.run_to_files(stream_ops.attribute_stream(events, c.offers), output, checkpoint)
+    partitions = stream_files.state_partitions(spark, source)
+    stream_files.run_to_files(stream_ops.attribute_stream(events, c.offers), output, checkpoint, partitions)
     return stream_ops.latest(spark.read.parquet(output))
 
 
@@ -809,10 +810,11 @@ def stream_labels(c: Campaign) -> DataFrame:
     """The success label of every send, from the event log replayed as a stream of files."""
     spark = c.offers.sparkSession
     source, output, checkpoint = (new_staging_path(spark, n) for n in ("stream", "labels", "progress"))
-    c.events.repartitionByRange("time_since_test_start").write.parquet(source)
+    stream_files.write_log(c.events, "time_since_test_start", source)
     # closes the windows that are open at the log's end; the operators in a row each need a batch
     for _ in range(2):
         stream_ops.heartbeat(c.events, c.offers, delay_days=30).write.mode("append").parquet(source)
     events = stream_files.event_stream(spark, source, c.events.schema, files_per_batch=2)
-    stream_files.run_to_files(stream_ops.label_stream(events, c.offers, "30 days"), output, checkpoint)
+    partitions = stream_files.state_partitions(spark, source)
+    stream_files.run_to_files(stream_ops.label_stream(events, c.offers, "30 days"), output, checkpoint, partitions)
     return spark.read.schema("opp_id string, customer_id string, offer_id string, t_received double, reward int").parquet(output)

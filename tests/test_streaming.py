@@ -145,3 +145,26 @@ def test_online_posterior_equals_batches_in_turn(spark, campaign, tmp_path):
     online.batch_updater(table, prior)(parts[1], 1)
     again = posterior.collect_arms(spark.read.parquet(online.version_path(table, 1)))
     assert all(np.allclose(a.m, b.m) for a, b in zip(stored, again))
+
+
+def test_batches_and_state_do_not_follow_the_sessions_partitions(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    monkeypatch.setattr(files, "STATE_ROWS", 8)
+    monkeypatch.setattr(files, "LEAST_PARTITIONS", 2)
+    rows = [event for n in range(20) for event in (sent(f"c{n}", "d", n / 10), done(f"c{n}", "d", 1.0 + n / 10))]
+    events = cleaning.flatten_transactions(small.transactions(spark, rows))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    files.write_log(events, "time_since_test_start", source)
+    names = [p for p in (tmp_path / "in").iterdir() if p.name.startswith("part-")]
+    assert 1 < len(names) <= files.REPLAY_FILES
+    # files hold consecutive times
+    held = sorted((t[0], t[1]) for t in (spark.read.parquet(str(p)).agg(F.min("time_since_test_start"), F.max("time_since_test_start")).first() for p in names) if t[0] is not None)
+    assert all(a[1] < b[0] for a, b in zip(held, held[1:]))
+    assert files.state_partitions(spark, source) == 5
+    stream = attribution.attribute_stream(files.event_stream(spark, source, events.schema, 100), small.offers(spark))
+    files.run_to_files(stream, out, checkpoint, files.state_partitions(spark, source))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    stores = {p.name for p in (tmp_path / "check/state/0").iterdir() if p.name.isdigit()}
+    assert stores == {"0", "1", "2", "3", "4"}
+    found = attribution.latest(spark.read.parquet(out)).collect()
+    assert len(found) == 20 and all(abs(r["t_completed"] - r["t_received"] - 1) < 1e-9 for r in found)
