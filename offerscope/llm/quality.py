@@ -21,7 +21,7 @@ rows are scored one by one; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerscope.llm.shingle_join import unused
+from offerscope.llm.wordbpe import forget_encoder
 
 TRAIN_ROWS = 3000
 TRAIN_CHUNKS = 8
 CHUNK = 512
 WIDTH = 6
 FILTERS = 32
-#: Bytes that are convolved at once.
-BLOCK = 1 << 18
+#: Bytes that are convolved at once; with the filters' outputs, a few hundred times as much memory.
+BLOCK = 1 << 16
+#: Texts that are copied out of an Arrow batch at once.
+COPIED = 64
 
 
 @dataclass
@@ -89,15 +92,21 @@ def fill(size: int) -> list[float]:
     return [1 - float(np.log1p(min(size, n)) / np.log1p(n)) for n in SHORT]
 
 
-def scores(net: Network, texts: Sequence[bytes]) -> np.ndarray:
+def whole_texts(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a column one after the other; a null is an empty one."""
+    for at in range(0, len(column), COPIED):
+        yield from (x or b"" for x in column.slice(at, COPIED).cast(pa.binary()).to_pylist())
+
+
+def scores(net: Network, texts: Iterable[bytes]) -> np.ndarray:
     """Probabilities of label 1; short texts are convolved together."""
-    pooled = np.empty((len(texts), len(net.bias) + len(SHORT)), np.float64)
+    pooled: dict[int, np.ndarray] = {}
     half, group, size = CHUNK // 2, [], 0
 
     def flush() -> None:
         if not group:
             return
-        padded = [texts[i] + bytes(max(0, WIDTH - len(texts[i]))) for i in group]
+        padded = [text + bytes(max(0, WIDTH - len(text))) for _, text in group]
         part = net.activations(np.frombuffer(b"".join(padded), np.uint8))
         cuts, owners, at = [], [], 0
         for j, data in enumerate(padded):
@@ -110,21 +119,22 @@ def scores(net: Network, texts: Sequence[bytes]) -> np.ndarray:
             at += len(data)
         maxima = np.maximum.reduceat(part, np.array(cuts), axis=0)
         row = 0
-        for i, n in zip(group, owners):
-            pooled[i] = pool(net, maxima[row : row + n], len(texts[i]))
+        for (i, text), n in zip(group, owners):
+            pooled[i] = pool(net, maxima[row : row + n], len(text))
             row += n + 1
 
     for i, text in enumerate(texts):
         if len(text) > BLOCK // 4:
             pooled[i] = pool(net, half_chunks(net, text), len(text))
             continue
-        group.append(i)
+        group.append((i, text))
         size += len(text)
         if size > BLOCK:
             flush()
             group, size = [], 0
     flush()
-    return net.probability(pooled)
+    rows = [pooled[i] for i in range(len(pooled))]
+    return net.probability(np.array(rows, np.float64).reshape(-1, len(net.bias) + len(SHORT)))
 
 
 def spread_chunks(text: bytes, most: int = TRAIN_CHUNKS) -> bytes:
@@ -230,6 +240,7 @@ def labelled_sample(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for batch in batches:
             texts = [spread_chunks(x or b"") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["_key", "_label", "part"])
@@ -250,16 +261,25 @@ def labelled_sample(
 def score(
     docs: DataFrame, net: Network, text: str = "text", keep: Sequence[str | Column] = ("doc_id",), name: str = "score"
 ) -> DataFrame:
-    """``keep`` columns and the probability of label 1 of every whole text."""
+    """``keep`` columns and the probability of label 1 of every whole text.
+
+    A text that is kept is sent to the workers once.
+    """
+    kept = docs.select(*keep)
+    width = len(kept.columns)
+    plain = [c if isinstance(c, str) else None for c in keep]
+    if text in plain and len(plain) == width and docs.schema[text].dataType == T.StringType():
+        place, sent = plain.index(text), kept
+    else:
+        place, sent = width, docs.select(*keep, F.col(text).cast("binary").alias(unused(kept, "_whole_text")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for batch in batches:
-            found = scores(net, [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()])
+            found = scores(net, whole_texts(batch.column(place)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], name]
+                [*batch.columns[:width], pa.array(found, pa.float64())], names=[*batch.schema.names[:width], name]
             )
 
-    kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields]).add(name, T.DoubleType())
-    whole = F.col(text).cast("binary").alias(unused(kept, "_whole_text"))
-    return docs.select(*keep, whole).mapInArrow(judge, schema)
+    return sent.mapInArrow(judge, schema)

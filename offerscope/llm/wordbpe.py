@@ -69,6 +69,11 @@ def worker_encoder(file: str) -> WordBpe:
     return kept.encoder
 
 
+def forget_encoder() -> None:
+    """Let go of the encoder that this worker process keeps, if any: for tasks of other steps."""
+    sys.modules.pop("_kept_encoders", None)
+
+
 def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of ``flat`` that begin at ``starts``, one after the other."""
     before = np.cumsum(lengths) - lengths

@@ -77,3 +77,47 @@ def test_repeated_and_foreign_keys_leave_the_sample_whole(spark):
     labels = spark.createDataFrame(rows, "doc_id long, quality int")
     texts, marks = quality.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda key: F.lit(True), rows=20)
     assert sorted(zip(texts, marks)) == sorted((f"text {i}".encode(), i % 2) for i in range(20))
+
+
+def test_kept_texts_are_sent_once_and_copied_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(quality, "COPIED", 3)
+    docs = cases.documents(spark)
+    kept = quality.score(docs, network(), keep=docs.columns, name="s")
+    assert kept.columns == [*docs.columns, "s"]
+    assert "_whole_text" not in kept._jdf.queryExecution().toString()
+    alone = sorted((str(r["doc_id"]), r["score"]) for r in quality.score(docs, network()).collect())
+    rows = sorted((str(r["doc_id"]), r["s"]) for r in kept.collect())
+    assert [k for k, _ in rows] == [k for k, _ in alone]
+    assert np.allclose([s for _, s in rows], [s for _, s in alone], rtol=0, atol=1e-12)
+    import pyarrow as pa
+
+    column = pa.array(["a", None, "", "é", "b", "c", "d"])
+    assert list(quality.whole_texts(column)) == [b"a", b"", b"", "é".encode(), b"b", b"c", b"d"]
+    assert quality.BLOCK * quality.FILTERS * 4 <= 1 << 23
+
+
+def test_workers_let_go_of_an_encoder_of_another_step(spark):
+    import pyarrow as pa
+
+    def keep(batches):
+        import sys, types
+
+        kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
+        kept.mark, kept.encoder = None, bytes(1000)
+        yield from batches
+
+    def look(batches):
+        import sys
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": pa.array(["_kept_encoders" in sys.modules], pa.bool_())})
+
+    numbers = spark.range(0, 64, 1, 8)
+    docs = spark.createDataFrame([(i, "some text") for i in range(64)], "doc_id long, text string").repartition(8)
+    numbers.mapInArrow(keep, "id long").count()
+    assert any(r["held"] for r in numbers.mapInArrow(look, "held boolean").collect())
+    for _ in range(10):  # until every worker has had a task
+        quality.score(docs, network()).count()
+        quality.score(docs, network()).collect()
+    held = [r["held"] for r in numbers.mapInArrow(look, "held boolean").collect()]
+    assert not any(held)
