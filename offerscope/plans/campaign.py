@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerscope.functions.columns import GENDERS
 from offerscope.operators import attribution, cleaning, features, metrics, policies, posterior, quality
-from offerscope.session import stage, tune
+from offerscope.session import FILE_ROWS, stage, tune
 from offerscope.sources import files, fixtures
 
 
@@ -68,7 +68,7 @@ class Campaign:
 
     @cached_property
     def staged_contexts(self) -> DataFrame:
-        return stage(self.contexts, "contexts", ("round_day",))
+        return stage(self.contexts, "contexts", ("round_day",), file_rows=FILE_ROWS)
 
     @cached_property
     def n_features(self) -> int:
@@ -98,7 +98,9 @@ class Campaign:
         numeric, _ = features.feature_columns(self.staged_contexts)
         quality.require_no_nulls(self.staged_contexts, numeric)
         rows = features.design_matrix(self.staged_contexts, keep=policies.EXAMPLE_COLUMNS)
-        return stage(policies.with_values(rows, self.values), "design", ("round_day",))
+        # the contexts are laid out by round already, in files small enough to be read by many tasks
+        valued = policies.with_values(rows, self.values)
+        return stage(valued, "design", ("round_day",), rebalance=False, file_rows=FILE_ROWS)
 
     @cached_property
     def arms(self) -> list[posterior.Arm]:

@@ -56,6 +56,9 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+#: Rows of a file of a table that is read one partition value at a time.
+FILE_ROWS = 50_000
+
 _STAGED: list[str] = []
 
 
@@ -67,18 +70,20 @@ def new_staging_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(
-    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rebalance: bool = True
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rebalance: bool = True, file_rows: int = 0
 ) -> DataFrame:
     """Write ``df`` once and read it back, so later passes scan columns, not the plan.
 
     The files survive the loss of executors.  With ``partition_by`` a rebalance
     splits large partition values over several files and merges small ones; it
-    is not worth its shuffle for a column of a handful of values.
+    is not worth its shuffle for a column of a handful of values, or if ``df`` reads a
+    table laid out in the same way.  ``file_rows`` bounds the rows of a file (0: no bound), so
+    that a scan of one partition value has as many tasks as it has such parts.
     """
     spark = df.sparkSession
     path = new_staging_path(spark, name)
     laid_out = df.hint("rebalance", *partition_by) if partition_by and rebalance else df
-    laid_out.write.partitionBy(*partition_by).parquet(path)
+    laid_out.write.option("maxRecordsPerFile", file_rows).partitionBy(*partition_by).parquet(path)
     columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
     staged = spark.read.schema(df.select(*columns).schema).parquet(path).select(*df.columns)
     staged._staged_path = path

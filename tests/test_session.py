@@ -39,3 +39,17 @@ for name in ("thompson_choice", "stream_attribution"):
 """
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_rounds_are_read_by_many_tasks(spark, monkeypatch):
+    from conftest import SF_DIR
+    from pyspark.sql import functions as F
+
+    from offerscope.plans import campaign
+
+    monkeypatch.setattr(campaign, "FILE_ROWS", 7)
+    c = campaign.Campaign.from_parquet(spark, SF_DIR)
+    for table in (c.staged_contexts, c.design):
+        files = table.groupBy("round_day", F.input_file_name()).count()
+        assert 1 < files.agg(F.max("count")).first()[0] <= 7
+    assert c.design.count() == c.staged_contexts.count() == c.opps.count()
