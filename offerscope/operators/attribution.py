@@ -22,12 +22,22 @@ from offerscope.session import stage
 HOT_ROWS = 10_000_000
 #: Width of such a bucket, in days.
 BUCKET_DAYS = 1.0 / 24.0
+# The flags of an instant and their kinds of events.
+MARKS = {"__sent": RECEIVED, "__seen": VIEWED, "__done": COMPLETED}
 
 
 def hot_customers(events: DataFrame, min_rows: int = HOT_ROWS) -> list[int]:
     return hot_keys(events, F.col("account_id"), min_rows)
 
 
+def by_customer(df: DataFrame, hot: Sequence[int]) -> DataFrame:
+    """Rows dealt out by ``customer_id`` once, so that sums and sorts by it and further columns need no exchange.
+
+    With hot customers the rows stay where they are: one task would get all rows of such a customer.
+    """
+    return df if hot else df.repartition("customer_id")
+
+
 def running_in_time(
     df: DataFrame, hot: Sequence[int], keys: Sequence[str], order: Sequence[str], measures: Sequence[Measure],
     inclusive: bool = False, descending: bool = False, width: float = BUCKET_DAYS,
@@ -47,6 +57,16 @@ def running_in_time(
     ).drop("__bucket")
 
 
+def instant_rows(events: DataFrame, at: str) -> DataFrame:
+    """Sends, views and completions as flags at their customer, offer and time."""
+    return events.where(F.col("event").isin(*MARKS.values())).select(
+        F.col("account_id").alias("customer_id"),
+        "offer_id",
+        F.col("time_since_test_start").alias(at),
+        *[(F.col("event") == kind).alias(name) for name, kind in MARKS.items()],
+    )
+
+
 def attribute_outcomes(events: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """One row per distinct send with the first view and completion at or after it.
 
@@ -55,12 +75,10 @@ def attribute_outcomes(events: DataFrame, hot: Sequence[int] | None = None) -> D
     kept and has no outcome, as a null key matches nothing.
     """
     hot = hot_customers(events) if hot is None else hot
-    t = F.col("time_since_test_start")
     instants = (
-        events.where(F.col("event").isin(RECEIVED, VIEWED, COMPLETED))
-        .groupBy(F.col("account_id").alias("customer_id"), "offer_id", t.alias("t_received"))
-        .agg(*[F.max(F.col("event") == kind).alias(name) for kind, name in
-               ((RECEIVED, "__sent"), (VIEWED, "__seen"), (COMPLETED, "__done"))])
+        by_customer(instant_rows(events, "t_received"), hot)
+        .groupBy("customer_id", "offer_id", "t_received")
+        .agg(*[F.max(name).alias(name) for name in MARKS])
     )
     keyed = F.col("customer_id").isNotNull() & F.col("offer_id").isNotNull()
     return (
@@ -95,12 +113,10 @@ def attribute_to_latest(events: DataFrame, hot: Sequence[int] | None = None) ->
     each send was given is then put together.
     """
     hot = hot_customers(events) if hot is None else hot
-    t = F.col("time_since_test_start")
     instants = (
-        events.where(F.col("event").isin(RECEIVED, VIEWED, COMPLETED))
-        .groupBy(F.col("account_id").alias("customer_id"), "offer_id", t.alias("__t"))
-        .agg(*[F.max(F.col("event") == kind).alias(name) for kind, name in
-               ((RECEIVED, "__sent"), (VIEWED, "__seen"), (COMPLETED, "__done"))])
+        by_customer(instant_rows(events, "__t"), hot)
+        .groupBy("customer_id", "offer_id", "__t")
+        .agg(*[F.max(name).alias(name) for name in MARKS])
     )
     keyed = F.col("customer_id").isNotNull() & F.col("offer_id").isNotNull()
     claimed = running_in_time(
@@ -147,12 +163,10 @@ def informational_success(sends: DataFrame, events: DataFrame, hot: Sequence[int
     Other offer types, and sends of an unknown offer, get null.
     """
     hot = hot_customers(events) if hot is None else hot
-    purchases = (
-        events.where((F.col("event") == PURCHASE) & F.col("account_id").isNotNull())
-        .select(F.col("account_id").alias("customer_id"), F.col("time_since_test_start").alias("__at"))
-        .distinct()
-        .withColumn("__purchase", F.lit(1))
+    bought = events.where((F.col("event") == PURCHASE) & F.col("account_id").isNotNull()).select(
+        F.col("account_id").alias("customer_id"), F.col("time_since_test_start").alias("__at")
     )
+    purchases = by_customer(bought, hot).distinct().withColumn("__purchase", F.lit(1))
     placed = sends.withColumn("__at", F.coalesce("t_viewed", "t_received")).withColumn("__purchase", F.lit(0))
     line = placed.unionByName(purchases, allowMissingColumns=True)
     followed = running_in_time(

@@ -19,7 +19,7 @@ from offerscope.functions.columns import (
     ratio,
     success,
 )
-from offerscope.operators.attribution import hot_customers, running_in_time
+from offerscope.operators.attribution import by_customer, hot_customers, running_in_time
 from offerscope.operators.timeline import Measure
 
 # Columns that are keys, outcomes, or properties of the offer that was sent.
@@ -102,9 +102,12 @@ def history(
     hot = hot_customers(events) if hot is None else hot
     count = lambda kind: F.count_if(F.col("event") == kind)
     spent = F.when(F.col("event") == PURCHASE, F.col("amount"))
+    known = events.where(F.col("account_id").isNotNull() & F.col("time_since_test_start").isNotNull()).select(
+        F.col("account_id").alias("customer_id"), F.col("time_since_test_start").alias("t"), "event", "amount"
+    )
     moments = (
-        events.where(F.col("account_id").isNotNull() & F.col("time_since_test_start").isNotNull())
-        .groupBy(F.col("account_id").alias("customer_id"), F.col("time_since_test_start").alias("t"))
+        by_customer(known, hot)
+        .groupBy("customer_id", "t")
         .agg(
             count(PURCHASE).alias("tx"),
             F.coalesce(F.sum(spent), F.lit(0.0)).alias("spend"),

@@ -1,3 +1,5 @@
+import random
+
 import small
 from pyspark.sql import functions as F
 from small import done, paid, seen, sent
@@ -190,3 +192,23 @@ def test_offers_are_joined_without_a_shuffle_on_their_key(campaign):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     many = spark.range(30).select(F.col("id").cast("string").alias("id"))
     assert cleaning.small_dimension(many, most=20) is many
+
+
+def test_customers_are_dealt_out_once(spark):
+    """Without hot customers sums and sorts share the exchange by customer, also across the purchases' union."""
+    rng = random.Random(5)
+    kinds = (sent, seen, done)
+    rows = [rng.choice(kinds)(f"c{rng.randrange(30)}", rng.choice("bdi"), rng.randrange(40) / 4) for _ in range(500)]
+    rows += [paid(f"c{rng.randrange(12)}", rng.randrange(60) / 4) for _ in range(100)]
+    rows += [sent(None, "b", 1.0), sent("c1", None, 2.0), seen(None, "b", 1.5), paid(None, 3.0)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        events = cleaning.flatten_transactions(small.transactions(spark, rows))
+        offers, profile = cleaning.small_dimension(small.offers(spark)), F.broadcast(cleaning.clean_profile(small.profile(spark)))
+        opps = attribution.opportunities(events, offers, profile, hot=())
+        plan = opps._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(customer_id") == 2
+        everyone = [r[0] for r in spark.createDataFrame([(r[0],) for r in rows], "c string").select(F.xxhash64("c")).distinct().collect()]
+        assert small.rows(opps) == small.rows(build(spark, rows, hot=everyone))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
